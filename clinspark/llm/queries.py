@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinspark.llm import piece_bpe, simhash, token_count, token_output
+from clinspark.llm import piece_bpe, sharding, simhash, token_count, token_output
 from clinspark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.op1(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op5(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6(spark, table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op5_sharding": op5_sharding,
         "op6_simhash": op6_simhash,
         "op7_token_output": op7_token_output,
         "op8_token_counts": op8_token_counts,
