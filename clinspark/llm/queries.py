@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinspark.llm import piece_bpe, sharding, simhash, token_count, token_output
+from clinspark.llm import piece_bpe, sharding, simhash, token_count, token_output, toxicity, url_filter
 from clinspark.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op8(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op10(spark, table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -44,6 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_token_output": op7_token_output,
         "op8_token_counts": op8_token_counts,
+        "op9_toxicity": op9_toxicity,
+        "op10_url_filter": op10_url_filter,
     }
 
 
