@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinspark.llm import line_dedup, piece_bpe, sharding, simhash, token_count, token_output, toxicity, url_filter
+from clinspark.llm import decontaminate, line_dedup, piece_bpe, sharding, simhash, token_count, token_output, toxicity, url_filter
 from clinspark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.op1(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op2(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op3(spark, table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_decontamination": op2_decontamination,
         "op3_line_dedup": op3_line_dedup,
         "op5_sharding": op5_sharding,
         "op6_simhash": op6_simhash,
