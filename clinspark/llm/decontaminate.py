@@ -44,7 +44,7 @@ _MARK = "\x01"
 
 def words_of(text: Column) -> Column:
     """Words of a text: letters and digits, in lower case; a capital inside a sentence is marked."""
-    marked = F.regexp_replace(text, "(?<=[^\\s.!?:;\"'(\\[\\u0001][\"',)\\]]?[ \\t])(?=\\p{Lu}\\p{Ll})", _MARK)
+    marked = F.regexp_replace(text, "(?=\\p{Lu}\\p{Ll})(?<=[^\\s.!?:;\"'(\\[\\u0001][\"',)\\]]?[ \\t])", _MARK)
     plain = F.regexp_replace(F.lower(marked), "[^\\p{L}\\p{N}\\u0001]+", " ")
     return F.split(F.btrim(plain), " ")
 
