@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinspark.llm import decontaminate, line_dedup, piece_bpe, sharding, simhash, token_count, token_output, toxicity, url_filter
+from clinspark.llm import ann, decontaminate, line_dedup, piece_bpe, sharding, simhash, token_count, token_output, toxicity, url_filter
 from clinspark.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op3(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op4(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op5(spark, table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_decontamination": op2_decontamination,
         "op3_line_dedup": op3_line_dedup,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_sharding": op5_sharding,
         "op6_simhash": op6_simhash,
         "op7_token_output": op7_token_output,
