@@ -1,21 +1,23 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries by name, with the SQL that gives the same rows where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from clinspark.plans import aggregates, clinical, ordered, text
+
+_MODULES = (aggregates, ordered, text, clinical)
 
 
 def document_quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"))
+    return text.document_quality_profile(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"document_quality_profile": document_quality_profile}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"document_quality_profile": "SELECT source, count(*) AS n_docs FROM documents GROUP BY source"}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
