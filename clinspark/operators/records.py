@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import js_round, missing_to_null
+from clinspark.sources.store import cut_lineage
 
 TRIAGE = ("RED", "YELLOW", "GREEN", "GRAY", "BLACK")
 
@@ -89,11 +90,11 @@ def one_to_one(pairs: DataFrame, group: str, left: str, right: str, score: str)
     while True:
         order = [F.desc(score), F.asc(left), F.asc(right)]
         both = rest.withColumns({"__l": F.row_number().over(Window.partitionBy(group, left).orderBy(*order)), "__r": F.row_number().over(Window.partitionBy(group, right).orderBy(*order))})
-        best = both.where("__l = 1 AND __r = 1").drop("__l", "__r").checkpoint()
+        best = cut_lineage(both.where("__l = 1 AND __r = 1").drop("__l", "__r"))
         if best.isEmpty():
             return taken if taken is not None else pairs.limit(0)
         taken = best if taken is None else taken.unionByName(best)
-        rest = rest.join(best.select(group, left), [group, left], "left_anti").join(best.select(group, right), [group, right], "left_anti").checkpoint()
+        rest = cut_lineage(rest.join(best.select(group, left), [group, left], "left_anti").join(best.select(group, right), [group, right], "left_anti"))
 
 
 def validation_errors(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -134,13 +135,13 @@ def link_pairs(records: DataFrame, key: str, blocks: Sequence[Column]) -> DataFr
 
 def merge_groups(nodes: DataFrame, key: str, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """key and group, the least key that is reachable over the edges: minima spread and jump until nothing changes."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
+    both = cut_lineage(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = nodes.select(F.col(key).alias("node"), F.col(key).alias("group"))
-    labels = labels.checkpoint()
+    labels = cut_lineage(labels)
     for _ in range(rounds):
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("group").alias("near"))
         step = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("group", F.coalesce("near", "group")).alias("group"))
-        jump = step.alias("a").join(step.alias("b"), F.col("a.group") == F.col("b.node")).select(F.col("a.node").alias("node"), F.least("a.group", "b.group").alias("group")).checkpoint()
+        jump = cut_lineage(step.alias("a").join(step.alias("b"), F.col("a.group") == F.col("b.node")).select(F.col("a.node").alias("node"), F.least("a.group", "b.group").alias("group")))
         changed = jump.alias("n").join(labels.alias("o"), "node").where("n.group <> o.group").limit(1).count()
         labels = jump
         if not changed:

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def cut_lineage(table: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; a local one where none is set (tests)."""
+    spark = table.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clinspark-checkpoint-"))
+    return table.checkpoint()
+
+
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
