@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+#: Own folders, by application, where none is set.
+_own: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -34,11 +36,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one of this machine's (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="clinspark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="clinspark-shared-")
+        _own[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
 
 
