@@ -7,6 +7,7 @@ do.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,9 +21,10 @@ from pyspark.sql import types as T
 from clinspark.llm import simple8b
 from clinspark.llm.common import ship_package, written
 
-KEPT_WORDS = 400_000
+#: Words that one generation of a worker's table holds; it keeps two, so frequent words stay.
+KEPT_WORDS = 200_000
 #: Ids that a segment holds before it is closed; a longer document still lies in one segment.
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 17
 #: White space to Python, but not to the tokenizer's pattern.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -41,50 +43,45 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        vocab = self.lib.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.ends[i] = token.endswith("</w>")
+        # Bytes as the model's characters: printable ones stand for themselves, the others follow from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        other = iter(range(256, 512))
+        self.characters = {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.marks = dict(zip(("", ".", ","), (b"", *self.whole([".", ","])), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def _stems(self, stems: list[str]) -> None:
-        """Letters only: one token of the pre-tokenizer each, which ends with the one id that is marked so."""
-        for lo in range(0, len(stems), 4096):
-            part = stems[lo : lo + 4096]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                self.stems.update(zip(part, self.whole(part), strict=True))
-                continue
-            data, at = ids.tobytes(), 0
-            for stem, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self.stems[stem] = data[at:end]
-                at = end
-
-    def learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
-        if len(self.stems) > KEPT_WORDS:
-            self.stems.clear()
-        rest, cut = [], []
-        for w in new:
-            low = w.lower()
-            if low.isalpha():
-                cut.append((w, low, ""))
-            elif low[-1] in ".," and low[:-1].isalpha():
-                cut.append((w, low[:-1], low[-1]))
-            else:
-                rest.append(w)
-        stems = self.stems
-        self._stems(list({s for _, s, _ in cut if s not in stems}))
-        marks = dict(zip(("", ".", ","), (b"", *self.whole([".", ","])), strict=True))
-        for w, s, m in cut:
-            self.words[w] = stems[s] + marks[m]
-        self.words.update(zip(rest, self.whole(rest), strict=True))
+    def stem(self, stem: str) -> bytes:
+        """Ids of lower-case letters: a single token of the pre-tokenizer, so the model alone decides."""
+        ids = self.stems.get(stem)
+        if ids is None:
+            if len(self.stems) >= KEPT_WORDS:
+                self.stems.clear()
+            as_bytes = stem if stem.isascii() else "".join(map(self.characters.__getitem__, stem.encode()))
+            ids = self.stems[stem] = array("I", [t.id for t in self.lib.model.tokenize(as_bytes)]).tobytes()
+        return ids
+
+    def learn(self, missing: set[str]) -> None:
+        """Put words into the younger generation."""
+        older, words = self.older, self.words
+        rest = []
+        for w in missing:
+            ids = older.get(w)
+            if ids is None:
+                low = w.lower()
+                if low.isalpha():
+                    ids = self.stem(low)
+                elif low[-1] in ".," and low[:-1].isalpha():
+                    ids = self.stem(low[:-1]) + self.marks[low[-1]]
+                else:
+                    rest.append(w)
+                    continue
+            words[w] = ids
+        words.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -108,15 +105,14 @@ class WordTokenizer:
             while k < len(split) and (k == 0 or len(new) < KEPT_WORDS // 4):
                 new.update(split[k][1])
                 k += 1
-            have = self.words
-            missing = new.difference(have)
+            missing = new.difference(self.words)
             if missing:
-                if len(have) + len(missing) > KEPT_WORDS:
-                    have.clear()
+                if len(self.words) + len(missing) > KEPT_WORDS:
+                    self.older, self.words = self.words, {}
                     missing = new
                 self.learn(missing)
             for i, words in split[:k]:
-                out[i] = b"".join(map(have.__getitem__, words))
+                out[i] = b"".join(map(self.words.__getitem__, words))
             split = split[k:]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
