@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE}

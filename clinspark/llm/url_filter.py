@@ -130,3 +130,33 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple[Rule, ...] = RULES
 def op10(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     return judge(spark, pages)
+
+
+_HOST = f"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')"
+_RULED = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(RULES, key=lambda r: (-len(r.name), r.action != "allow"))
+)
+_ACTION = " ".join(f"WHEN '{r.name}' THEN '{r.action}'" for r in RULES)
+#: The same rows, with the classes by a recursive query from every linked URL.
+ORACLE = f"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*', 0), '') AS origin,
+         CASE WHEN {_HOST} <> '' THEN {_HOST} || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) ELSE '' END AS node FROM pages
+), ruled AS (SELECT *, CASE {_RULED} END AS rule FROM p),
+judged AS (SELECT *, CASE rule {_ACTION} END AS own FROM ruled),
+tags AS (SELECT node, origin, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+links AS (
+  SELECT node, origin, path, trim(CASE WHEN regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]*)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\bcontent\\s*=\\s*["'']?[^"''>]*?\\burl\\s*=\\s*["'']?([^"''\\s>]*)', 1) END) AS link FROM tags
+), absolute AS (
+  SELECT node, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN origin || link
+    WHEN starts_with(link, '?') THEN origin || path || link ELSE origin || CASE WHEN contains(path, '/') THEN regexp_replace(path, '[^/]*$', '') ELSE '/' END || link END AS url FROM links WHERE link <> ''
+), edges AS (
+  SELECT DISTINCT node AS a, {_HOST} || regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM absolute WHERE node <> '' AND {_HOST} <> ''
+), ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, a FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+spread AS (SELECT r.a AS node, bool_or(j.own = 'allow') AS allowed, bool_or(j.own = 'block') AS blocked FROM reach r JOIN judged j ON j.node = r.b WHERE j.own IS NOT NULL GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN host <> '' THEN CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END END, 'allow') AS verdict
+FROM judged LEFT JOIN spread USING (node)
+"""

@@ -169,6 +169,12 @@ def test_block_spreads_over_aliases_and_allow_goes_first(spark):
     got = {r.page_id: r.verdict for r in url_filter.op10(spark, pages).collect()}
     # 4, 5, 8, 9 and 10 are one class with an explicit allow (5): pages without a rule are allowed, 8 keeps its own block.
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "allow", 10: "allow", 11: "allow"}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted(con.sql(url_filter.ORACLE).fetchall(), key=str) == sorted((tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in url_filter.op10(spark, pages).collect()), key=str)
     more = spark.createDataFrame([("http://f.org/q", "http://a.example.com/en/1"), (None, "x")], "src_url string, dst_url string")
     assert {r.verdict for r in url_filter.judge(spark, pages, edges=more).where("page_id = 11").collect()} == {"block"}
     assert url_filter.op10(spark, pages).count() == len(rows) and url_filter.op10(spark, pages.limit(0)).count() == 0
