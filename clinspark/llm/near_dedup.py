@@ -1,7 +1,7 @@
 """Near-duplicate removal by wide SimHash: five-word shingles, a similarity of 0.8 or more, one document of each group.
 
 A 64-bit fingerprint can't tell a similarity of 0.8 from 0.7, so this stage takes 512 bits. Their Hamming distance gives
-the similarity within about 0.02; ``RADIUS`` is the distance that belongs to 0.77, so pairs of 0.8 and more hardly slip.
+the similarity within about 0.02; ``RADIUS`` is the distance that belongs to 0.75, so pairs of 0.8 and more hardly slip.
 At such radii no choice of agreeing blocks names small shards. Here shards are named by min-hash triples: texts of a
 similarity of 0.8 share one of twelve with a probability of 0.9998. In a shard, a BK-tree over the fingerprints finds the
 links; exact copies are one member, and each shard gives a spanning forest of its links, as for
@@ -47,7 +47,7 @@ def radius_of(similarity: float, bits: int = 64 * WORDS) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-RADIUS = radius_of(0.77)
+RADIUS = radius_of(0.75)
 
 
 def sketch(hashes: list[int]) -> tuple[bytes, list[int]]:
@@ -133,7 +133,7 @@ def links(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
     return rows.mapInArrow(walk, "src long, dst long")
 
 
-def duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS, max_shard: int = 2000) -> tuple[DataFrame, bool]:
+def duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS, max_shard: int = 500) -> tuple[DataFrame, bool]:
     """key and class_id (the least key of its group) of every row with a key; and whether some key occurs twice."""
     marked, _ = written(spark, sketches(docs, key, text, width).withColumn("node", F.xxhash64("fingerprint")), "sketches")
     distinct, _ = written(spark, marked.groupBy("node").agg(F.min("key").alias("least"), F.min_by("fingerprint", "key").alias("fingerprint"), F.min_by("shards", "key").alias("shards")).where("least IS NOT NULL"), "distinct-sketches")
