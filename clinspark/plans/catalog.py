@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinspark.plans import aggregates, clinical, ordered, registry, text
+from clinspark.plans import aggregates, clinical, history, ordered, registry, text
 
-_MODULES = (aggregates, ordered, text, clinical, registry)
+_MODULES = (aggregates, ordered, text, clinical, registry, history)
 
 
 def document_quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
