@@ -24,7 +24,7 @@ from clinspark.llm.common import written
 
 WIDTH = 8
 ANCHOR = 3
-SHARE = 0.8
+SHARE = 0.65
 ENOUGH = 18
 #: Literal words that a window needs, so that a row of placeholders alone matches nothing.
 LITERALS = 4
