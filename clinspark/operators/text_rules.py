@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -108,9 +108,11 @@ def plain_text_words(docs: DataFrame, key: str, text: str, char_w: float = 10.0,
     """Words of plain text with boxes, as if each character and line had a fixed size; lines of up to two characters go."""
     lines = docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw")).where(F.length(F.trim("raw")) > 2)
     words = lines.select(key, "line", F.split(F.trim(F.regexp_replace("raw", "[ \\t]+", " ")), " ").alias("ws"))
-    before = F.aggregate(F.slice("ws", F.lit(1), F.col("i")), F.lit(0), lambda a, w: a + F.length(w) + 1)
-    at = words.select(key, "line", "ws", F.posexplode("ws").alias("i", "text"))
-    x = before * char_w
+    at = words.select(key, "line", F.posexplode("ws").alias("i", "text"))
+    # A word begins after the words before it in its line and a space for each.
+    w = Window.partitionBy(key, "line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)))
+    x = F.col("before") * char_w
     return at.select(key, "line", "i", "text", x.alias("x"), (F.col("line") * line_h).alias("y"), (F.length("text") * char_w).alias("w"), F.lit(20.0).alias("h"), (x + F.length("text") * char_w / 2).alias("cx"), (F.col("line") * line_h + 10.0).alias("cy"))
 
 
