@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinspark.llm.common import ship_package, without
+from clinspark.llm.common import remove, ship_package, without, written
 
 #: Labelled rows that a fit takes at most, by the hash of their id.
 SAMPLE_ROWS = 20_000
@@ -34,7 +34,7 @@ SAMPLE_ROWS = 20_000
 LEXICON = 4096
 #: Word beginnings of these lengths are tried as stems.
 STEMS = range(3, 11)
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 WORD = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 # Closed classes of words in English, German, French and Spanish.
@@ -50,6 +50,11 @@ PATTERNS = ("plain", "target", "negated", "reported")
 class Hit(NamedTuple):
     pattern: int
     weight: float
+    word: str
+
+
+#: The numbers that :meth:`Grammar.features` gives.
+FEATURES = len(PATTERNS) + 3
 
 
 class Grammar:
@@ -120,7 +125,7 @@ class Grammar:
         if not any(k is not None and k[0] in ("hit", "threat") for k in set(kinds)):
             return
         state, hits, idle = (0, 0, 0), [], 0
-        for k in kinds:
+        for word, k in zip(tokens, kinds, strict=True):
             if k is None:
                 idle += 1
                 continue
@@ -134,21 +139,27 @@ class Grammar:
                     yield hits
                     hits = []
             elif k[0] == "hit":
-                hits.append(Hit(pattern, k[1]))
+                hits.append(Hit(pattern, k[1], word))
             elif k[0] == "threat" and pattern == 1:
-                hits.append(Hit(1, 1.0))
+                hits.append(Hit(1, 1.0, word))
         if hits:
             yield hits
 
     def features(self, text: str) -> list[float]:
-        """For each pattern, the matched clauses' strongest weights: their sum (damped); then the most and the number."""
+        """What a score depends on.
+
+        For each pattern, the sum of the matched clauses' strongest weights (damped); then the strongest weight, the
+        number of matched clauses (damped), and the weights of all different words that matched.
+        """
         sums, most, n = [0.0] * len(PATTERNS), 0.0, 0
+        words: dict[str, float] = {}
         for hits in self.clauses(text):
             h = max(hits, key=lambda h: h.weight)
             sums[h.pattern] += h.weight
             most = max(most, h.weight)
             n += 1
-        return [*map(math.log1p, sums), most, math.log1p(n)]
+            words.update((x.word, x.weight) for x in hits)
+        return [*map(math.log1p, sums), most, math.log1p(n), min(sum(words.values()), 40.0)]
 
 
 def stems_of(word: str) -> Iterator[str]:
@@ -211,7 +222,7 @@ def learn_lexicon(rows: DataFrame, positives: int, negatives: int) -> tuple[dict
     p = positives / (positives + negatives)
     n = F.col("pos") + F.col("neg")
     odds = F.log((F.col("pos") + 0.5) / (positives + 1.0)) - F.log((F.col("neg") + 0.5) / (negatives + 1.0))
-    strong = count_forms(rows).where("pos >= 4").withColumns({"odds": odds, "precision": F.col("pos") / n}).where("odds > 2.5")
+    strong = count_forms(rows).where("pos >= 4").withColumns({"odds": odds, "precision": F.col("pos") / n}).where("odds > 1.5")
     top = strong.orderBy(F.desc("pos"), F.desc("odds"), "form").limit(LEXICON).collect()
     contexts = {r["form"]: r["contexts"] for r in count_contexts(rows.where("label = 1"), [r["form"] for r in top]).collect()}
 
@@ -307,40 +318,47 @@ class Toxicity:
         return _featured(docs, self.to_json(), text, out, True)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def loaded(model: str) -> Toxicity:
     m = json.loads(model)
     return Toxicity(m["words"], m["stems"], m["weights"])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Toxicity:
-    """Fit on at most about ``sample_rows`` labelled rows, chosen by the hash of their key. Null labels are left out.
+def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Toxicity:
+    """Fit on all given rows, a bounded sample (:func:`training_rows`). Null labels are left out.
 
     Without rows of both labels nothing can be learned: then every score is that of a text without matches.
     """
-    ship_package(labelled.sparkSession)
-    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("label IS NOT NULL")
-    n = rows.select("key").count()
-    if n > sample_rows:
-        part = int(sample_rows / n * (1 << 30))
-        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < part)
+    spark = labelled.sparkSession
+    ship_package(spark)
+    rows, path = written(spark, labelled.select(F.col(text).alias("text"), (F.col(label) == 1).cast("int").alias("label")).where("label IS NOT NULL"), "labelled")
     by = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = by.get(1, 0), by.get(0, 0)
-    plain = [0.0] * (len(PATTERNS) + 2)
+    plain = [0.0] * FEATURES
     if not pos or not neg:
+        remove(spark, path)
         return Toxicity({}, {}, [*plain, -4.0])
     words, stems = learn_lexicon(rows, pos, neg)
     model = Toxicity(words, stems, [*plain, 0.0])
-    seen = _featured(rows, model.to_json(), "text", "features", False).groupBy("label", "features").agg(F.count("*").alias("n")).collect()  # at most sample_rows rows
+    seen = _featured(rows, model.to_json(), "text", "features", False).groupBy("label", "features").agg(F.count("*").alias("n")).collect()  # no more rows than the sample
+    remove(spark, path)
     x = np.repeat(np.array([r["features"] for r in seen]), [r["n"] for r in seen], axis=0)
     y = np.repeat(np.array([r["label"] for r in seen]), [r["n"] for r in seen])
     return Toxicity(words, stems, fit_logistic(x, y.astype(float)).tolist())
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and label of the labelled rows that are not held out, a row for each."""
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).join(known, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, text and label of about ``sample_rows`` labelled rows that are not held out, chosen by the hash of their id.
+
+    Only the sampled ids, so bounded, are broadcast to the documents; no text is shuffled. A document with labels that
+    contradict each other counts as toxic.
+    """
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    n = known.count()
+    if n > sample_rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
