@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from clinspark.llm.common import ship_package, written
 
 DEGREE = 32
+#: Places beyond the degree for edges back, so that a node is pruned once for many of them.
+SLACK = 16
 BUILD_BEAM = 64
 SEARCH_BEAM = 128
 ALPHA = 1.2
@@ -41,7 +43,7 @@ def usable(embedding: Column) -> Column:
 
 
 class Graph:
-    """A directed graph over the rows of ``x``; ``edges`` holds up to ``degree`` neighbours each, -1 where there is none."""
+    """A directed graph over the rows of ``x``; ``edges`` holds each one's neighbours from the front, -1 where there is none."""
 
     def __init__(self, x: np.ndarray, edges: np.ndarray, entry: int):
         self.x, self.edges, self.entry = x, edges, entry
@@ -58,17 +60,17 @@ class Graph:
         rng = np.random.default_rng(seed)
         y = cls.lifted(x)
         entry = int(np.argmin(((y - y.mean(axis=0)) ** 2).sum(axis=1)))
-        edges = np.full((n, degree), -1, dtype=np.int32)
+        edges = np.full((n, degree + SLACK), -1, dtype=np.int32)  # front-packed
         if n > 1:
             k = min(degree // 2, n - 1)
             start = rng.integers(0, n - 1, (n, k)).astype(np.int32)
             edges[:, :k] = start + (start >= np.arange(n)[:, None])
         g = cls(y, edges, entry)
-        for factor in (1.0, alpha):
+        for factor, width in ((1.0, beam // 2), (alpha, beam)):
             order = rng.permutation(n)
             for lo in range(0, n, STEP):
                 rows = order[lo : lo + STEP]
-                ids, _ = g.search(y[rows], beam, beam)
+                ids, _ = g.search(y[rows], width, width)
                 pool = np.concatenate([ids, edges[rows]], axis=1)
                 edges[rows] = g.prune(rows, pool, degree, factor)
                 g.link_back(rows, degree, factor)
@@ -92,7 +94,7 @@ class Graph:
         near = np.argsort(d, axis=1, kind="stable")
         pool, d = np.take_along_axis(pool, near, 1), np.take_along_axis(d, near, 1)
         v = self.x[pool]
-        out = np.full((len(rows), degree), -1, dtype=np.int32)
+        out = np.full((len(rows), self.edges.shape[1]), -1, dtype=np.int32)
         at = np.arange(len(rows))
         for k in range(degree):
             first = np.argmin(d, axis=1)
@@ -108,19 +110,28 @@ class Graph:
         return out
 
     def link_back(self, rows: np.ndarray, degree: int, alpha: float) -> None:
-        src = np.repeat(rows, degree)
+        """Edges back to ``rows``: into free places, and by pruning where there are none left."""
+        src = np.repeat(rows, self.edges.shape[1])
         dst = self.edges[rows].reshape(-1)
         src, dst = src[dst >= 0], dst[dst >= 0]
+        known = (self.edges[dst] == src[:, None]).any(axis=1)
+        src, dst = src[~known], dst[~known]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         targets, first, count = np.unique(dst, return_index=True, return_counts=True)
-        for lo in range(0, len(targets), STEP):
-            t, f, c = targets[lo : lo + STEP], first[lo : lo + STEP], count[lo : lo + STEP]
+        held = (self.edges[targets] >= 0).sum(axis=1)
+        slot = np.arange(len(dst)) - np.repeat(first, count)
+        room = held + count <= self.edges.shape[1]
+        fits = np.repeat(room, count)
+        self.edges[dst[fits], np.repeat(held, count)[fits] + slot[fits]] = src[fits]
+        full = np.flatnonzero(~room)
+        for lo in range(0, len(full), STEP):
+            some = full[lo : lo + STEP]
+            t, f, c = targets[some], first[some], count[some]
             more = np.full((len(t), c.max()), -1, dtype=np.int32)
-            slot = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-            more[np.repeat(np.arange(len(t)), c), slot] = src[np.repeat(f, c) + slot]
-            pool = np.concatenate([self.edges[t], more], axis=1)
-            self.edges[t] = self.prune(t, pool, degree, alpha)
+            place = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            more[np.repeat(np.arange(len(t)), c), place] = src[np.repeat(f, c) + place]
+            self.edges[t] = self.prune(t, np.concatenate([self.edges[t], more], axis=1), degree, alpha)
 
     def search(self, q: np.ndarray, beam: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search for all rows of ``q`` (lifted) at once: the k nearest nodes met, and their distances."""
