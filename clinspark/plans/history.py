@@ -92,7 +92,7 @@ def calibrator_choice(spark, d):
         return spark.createDataFrame([("identity", None, None)], "choice string, platt_ece double, isotonic_ece double")
     a, b = fit
     curve = learning.isotonic(docs, "field", "score", "quality").groupBy("field").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("c"))
-    both = docs.join(F.broadcast(curve), "field").withColumns({"platt": 1 / (1 + F.exp(-(F.lit(a) * F.col("score") + F.lit(b)))), "iso": F.coalesce(F.element_at(F.filter("c", lambda p: p["x"] <= F.col("score")), -1)["y"], F.get("c", F.lit(0))["y"])})
+    both = docs.join(F.broadcast(curve), "field").withColumns({"platt": 1 / (1 + F.exp(-(F.lit(a) * F.col("score") + F.lit(b)))), "iso": F.coalesce(F.try_element_at(F.filter("c", lambda p: p["x"] <= F.col("score")), F.lit(-1))["y"], F.get("c", F.lit(0))["y"])})
     ece = lambda c: learning.calibration_error(learning.reliability(both, c, "quality")).first()[0]
     p, i = float(ece("platt")), float(ece("iso"))
     return spark.createDataFrame([("platt" if p <= i else "isotonic", p, i)], "choice string, platt_ece double, isotonic_ece double")
