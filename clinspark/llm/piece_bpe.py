@@ -111,14 +111,12 @@ class PieceModel:
         """Ids of n spaces that no word takes up: equal scores, so the leftmost pair merges first."""
         known = self.runs.get(n)
         if known is None:
-            sizes, done = [1] * n, []
-            sizes.reverse()  # a stack of what is still to come
-            while sizes:
-                done.append(sizes.pop())
+            done: list[int] = []
+            for _ in range(n):
+                done.append(1)
                 while len(done) > 1 and done[-2] + done[-1] in self.space_ids:
                     last = done.pop()
                     done[-1] += last
-                # a piece that can't grow by one may still grow by its larger right neighbour
             known = [self.space_ids[x] for x in done]
             if len(self.runs) < 10_000 and n < 10_000:
                 self.runs[n] = known
@@ -268,10 +266,6 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _large(kind: pa.DataType) -> bool:
-    return pa.types.is_large_string(kind)
-
-
 def encode_decode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the ids of each whole text and the text that these ids decode to.
 
