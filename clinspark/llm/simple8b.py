@@ -81,9 +81,13 @@ def encode(ids: np.ndarray) -> Coded:
         at = at + _COUNT[s]
         on = at < lengths[rows]
         rows, at = rows[on], at[on]
-    start, s, block = np.concatenate(starts), np.concatenate(chosen), np.concatenate(of)
-    order = np.argsort(start, kind="stable")
-    start, s, block = start[order], s[order], block[order]
+    # The k-th step of a block is its k-th word.
+    block = np.concatenate(of)
+    offsets = np.zeros(blocks + 1, dtype=np.int64)
+    np.cumsum(np.bincount(block, minlength=blocks), out=offsets[1:])
+    place = offsets[block] + np.repeat(np.arange(len(of)), [len(r) for r in of])
+    start, s = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.uint8)
+    start[place], s[place] = np.concatenate(starts), np.concatenate(chosen)
     words = s.astype(np.uint64) << np.uint64(60)
     values = wide.reshape(-1)
     for k, (count, bits) in SELECTORS.items():
@@ -93,8 +97,6 @@ def encode(ids: np.ndarray) -> Coded:
                 words[here] |= values[start[here] + j] << np.uint64(j * bits)
     odd = np.flatnonzero(s == ESCAPE)
     words[odd] = np.arange(odd.size, dtype=np.uint64)
-    offsets = np.zeros(blocks + 1, dtype=np.int64)
-    np.cumsum(np.bincount(block, minlength=blocks), out=offsets[1:])
     return Coded(n, words, offsets, values[start[odd]])
 
 
