@@ -1,14 +1,17 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders, windows meet in a hash join.
 
-A text is read as words without punctuation. A word with a digit first is a number, a listed unit is a unit, and a word
-with a capital and a small letter inside a sentence is a name; all else is literal, in lower case. Every run of ``width`` template words is a
-window. A document window that equals an item's window (as a template, word by word) is a match; it carries the words
-that fill the slots on both sides. Matches count only while slots are consistent: one word of the item always stands for
-the same word of the document. So a question with other numbers or names is still caught, and a template that merely
-looks alike, filled at random, is not.
-
-A document leaks an item if the longest chain of consistent matches, with the same offset, covers ``share`` of the
-item's windows, or at least ``enough`` windows in a row of a longer item.
+A text is read twice: as plain words (letters and digits, in lower case), and as slots, in which a number with its
+decimals or groups is one <number>, a listed unit a <unit>, and a run of words with a capital and a small letter inside a
+sentence one <name>; all else is literal. Every run of ``width`` slots, and of ``width`` plain words, is a window. A
+document window that equals an item's window of the same form, word by word, is a match: plain words find a copy in any
+case or wrapping and windows of hardly any literals, templates find other numbers and names. A template match carries
+the words that fill the slots on both sides. Template matches count only while slots are consistent: one word of the item
+always stands for the same word of the document. So a question with other numbers or names is still caught, and a
+template that merely looks alike, filled at random, is not.
+
+Matches whose offsets (document word less item word) lie within a small band belong together, so an inserted, dropped or
+changed word costs the words of the item that no window covers any more, not the windows beside them. A document leaks an
+item if such matches cover ``share`` of the item's words or windows, or at least ``enough`` windows of a longer item.
 
 All of it is DataFrame operations. Before windows are built, each position of a document is held against the hashes of
 the first ``anchor`` words of all item windows, a set that is only used while the benchmark is below a checked size;
@@ -26,7 +29,9 @@ WIDTH = 8
 ANCHOR = 3
 SHARE = 0.65
 ENOUGH = 18
-#: Literal words that a window needs, so that a row of placeholders alone matches nothing.
+#: Offsets that differ by up to half of this belong together.
+BAND = 16
+#: Literal words that a template window needs, so that a row of placeholders alone matches nothing; plain words need none.
 LITERALS = 4
 #: Item windows up to which their anchors are put into the plan as a set.
 ANCHORS = 50_000
@@ -38,15 +43,21 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit kelvin volt volts watt watts joule joules"
 ).split()
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
-#: Put before a word that has a capital inside a sentence.
-_MARK = "\x01"
+#: Put before a word that has a capital inside a sentence, and between the words of one slot.
+_MARK, _JOIN = "\x01", "\x02"
+#: Forms of a window.
+TEMPLATE, PLAIN = 0, 1
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text: letters and digits, in lower case; a capital inside a sentence is marked."""
+def slots_of(text: Column) -> Column:
+    """Slots of a text, one blank between two: letters and digits, in lower case, with marks and joints."""
     marked = F.regexp_replace(text, "(?=\\p{Lu}\\p{Ll})(?<=[^\\s.!?:;\"'(\\[\\u0001][\"',)\\]]?[ \\t])", _MARK)
-    plain = F.regexp_replace(F.lower(marked), "[^\\p{L}\\p{N}\\u0001]+", " ")
-    return F.split(F.btrim(plain), " ")
+    return F.btrim(F.regexp_replace(F.lower(marked), "[^\\p{L}\\p{N}\\u0001\\u0002]+", " "))
+
+
+def plain_of(slots: Column) -> Column:
+    """The same without marks and joints: plain words."""
+    return F.translate(slots, _JOIN + _MARK, " ")
 
 
 def template_of(words: Column) -> Column:
@@ -61,71 +72,124 @@ def template_of(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def _templated(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, words and template of every row with a text of at least ``width`` words."""
-    worded = rows.select(F.col(key).alias("key"), words_of(F.col(text)).alias("words")).where(F.size("words") >= width)
-    return worded.select("key", "words", template_of(F.col("words")).alias("template"))
+def _read(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, slots, words and template of every row; a text without words has one empty word."""
+    joined = rows.select(F.col(key).alias("key"), slots_of(F.col(text)).alias("s"))
+    parts = joined.select("key", F.split("s", " ").alias("slots"), F.split(plain_of(F.col("s")), " ").alias("words"))
+    return parts.select("key", "slots", "words", template_of(F.col("slots")).alias("template"))
+
+
+def _plain_at(slots: Column, at: Column) -> Column:
+    """The place among the plain words of the slot at ``at``."""
+    before = F.array_join(F.slice(slots, F.lit(1), at), "")
+    return at + F.length(before) - F.length(F.translate(before, _JOIN, ""))
 
 
 def item_windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """item, at, n (windows of the item), hash, words and template of every window; short items are one window.
+    """item, m (plain words), n (plain windows), form, at (plain word), len (plain words), width, hash, anchor, window, item_words and pos of every window.
 
-    An item of fewer than ``width`` words has no window and can't be found.
+    An item of fewer than ``width`` words has no window. One of up to twice ``width`` has windows of under half its words
+    (over half of ``width`` at least), so that one changed word leaves some.
     """
-    t = _templated(items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key, text]), key, text, width)
-    n = F.size("template") - width + 1
-    at = t.select(F.col("key").alias("item"), "words", "template", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
-    out = at.select("item", "at", "n", F.slice("words", F.col("at") + 1, width).alias("item_words"), F.slice("template", F.col("at") + 1, width).alias("item_template"))
-    literal = F.size(F.filter("item_template", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    return out.where(literal >= min(LITERALS, width)).withColumns({"hash": F.xxhash64("item_template"), "anchor": F.xxhash64(F.slice("item_template", 1, ANCHOR))})
+    t = _read(items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key, text]), key, text).where(F.size("words") >= width)
+    m, least = F.size("words"), width // 2 + 1
+    wide = F.when(m < width, m).when(m <= 2 * width, F.greatest(F.lit(min(least, width)), F.floor((m - 1) / 2).cast("int"))).otherwise(width)
+    pos = F.transform(F.sequence(F.lit(0), F.size("slots") - 1), lambda i: _plain_at(F.col("slots"), i))
+    t = t.select(F.col("key").alias("item"), "slots", "words", "template", m.alias("m"), wide.alias("wide"), pos.alias("pos")).withColumn("n", F.col("m") - F.col("wide") + 1)
+    short = t.withColumn("width", F.least("wide", F.size("slots")))
+    at = short.select("*", F.explode(F.sequence(F.lit(0), F.size("slots") - F.col("width"))).alias("i"))
+    cut = lambda c: F.slice(c, F.col("i") + 1, F.col("width"))
+    start = F.get("pos", F.col("i"))
+    length = F.coalesce(F.get("pos", F.col("i") + F.col("width")), F.col("m")) - start
+    shaped = at.select("item", "m", "n", F.lit(TEMPLATE).alias("form"), start.alias("at"), length.alias("len"), "width", cut("template").alias("window"), cut("slots").alias("item_words"), cut("pos").alias("pos"))
+    literal = F.size(F.filter("window", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
+    shaped = shaped.where(literal >= F.least(F.lit(LITERALS), F.col("width")))
+    return shaped.withColumns({"hash": F.xxhash64("form", "window"), "anchor": F.xxhash64(F.slice("window", 1, ANCHOR))})
 
 
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int) -> DataFrame:
-    """key, item, n, doc_at, at and the filled slots of every window match."""
+    """key, of, item, m, n, doc_at, at, len and the filled slots of every window match; places are plain words."""
     windows, _ = written(spark, item_windows(items, item_key, item_text, width), "item-windows")
     few = windows.count() <= ANCHORS
-    t = _templated(docs.where(F.col(text).isNotNull()), key, text, width)
-    # Consistency is a matter of one text; equal keys with different texts stay apart by its hash.
-    last = F.size("template") - width
-    places = F.sequence(F.lit(0), last)
+    t = _read(docs.where(F.col(text).isNotNull()), key, text)
+    sorts = windows.select("form", "width").distinct().collect()  # a row for each form and width
+    anchors: dict[tuple[int, int], list[int]] = {}
     if few:
-        anchors = [r["anchor"] for r in windows.select("anchor").distinct().collect()]  # at most ANCHORS hashes
-        places = F.filter(places, lambda i: F.xxhash64(*[F.get(F.col("template"), i + k) for k in range(ANCHOR)]).isin(anchors)) if anchors else F.array().cast("array<int>")
-    at = t.select("key", F.xxhash64("words").alias("of"), "words", "template", F.explode(places).alias("doc_at"))
-    cut = at.select("key", "of", "doc_at", F.slice("words", F.col("doc_at") + 1, width).alias("words"), F.slice("template", F.col("doc_at") + 1, width).alias("template"))
-    hashed = cut.withColumn("hash", F.xxhash64("template"))
-    joined = hashed.join(F.broadcast(windows) if few else windows, "hash").where(F.col("template") == F.col("item_template"))
-    filled = F.filter(F.zip_with("item_words", F.zip_with("words", "template", lambda w, s: F.struct(w.alias("w"), s.alias("s"))), lambda i, x: F.struct(x["s"].alias("kind"), i.alias("item"), x["w"].alias("doc"))), lambda x: x["kind"].isin(NUMBER, NAME, UNIT))
-    return joined.select("key", "of", "item", "n", "doc_at", "at", filled.alias("slots"))
+        for r in windows.select("form", F.least("width", F.lit(ANCHOR)).alias("first"), "anchor").distinct().collect():  # at most ANCHORS hashes
+            anchors.setdefault((r["form"], r["first"]), []).append(r["anchor"])
+
+    def places(form: int, first: int) -> Column:
+        """form, at and width of the windows of this form that may be an item's: ``first`` words of each are looked up."""
+        read, known = F.col("template" if form == TEMPLATE else "words"), anchors.get((form, first), [])
+        widths = F.array(*[F.lit(r["width"]) for r in sorts if (r["form"], min(r["width"], ANCHOR)) == (form, first)])
+        found = F.sequence(F.lit(0), F.size(read) - 1)
+        if few:
+            found = F.filter(found, lambda i: F.xxhash64(*[F.get(read, i + k) for k in range(first)]).isin(known))
+        return F.flatten(F.transform(found, lambda i: F.transform(widths, lambda w: F.struct(F.lit(form).alias("form"), i.alias("at"), w.alias("width")))))
+
+    kinds = sorted({(r["form"], min(r["width"], ANCHOR)) for r in sorts})
+    all_places = F.concat(*[places(*k) for k in kinds]) if kinds else F.array().cast("array<struct<form:int,at:int,width:int>>")
+    # Consistency is a matter of one text; equal keys with different texts stay apart by its hash.
+    at = t.select("key", F.xxhash64("words").alias("of"), "slots", "words", "template", F.explode(all_places).alias("p"))
+    shaped = F.col("p.form") == TEMPLATE
+    cut = lambda c: F.slice(c, F.col("p.at") + 1, F.col("p.width"))
+    made = at.select(
+        "key",
+        "of",
+        F.when(shaped, _plain_at(F.col("slots"), F.col("p.at"))).otherwise(F.col("p.at")).alias("doc_at"),
+        F.col("p.form").alias("form"),
+        F.when(shaped, cut("template")).otherwise(cut("words")).alias("doc_window"),
+        F.when(shaped, cut("slots")).otherwise(F.array().cast("array<string>")).alias("words"),
+    )
+    hashed = made.withColumn("hash", F.xxhash64("form", "doc_window"))
+    joined = hashed.join(F.broadcast(windows) if few else windows, ["hash", "form"]).where(F.col("doc_window") == F.col("window"))
+    one = lambda i: F.struct(F.get("window", i).alias("kind"), F.get("item_words", i).alias("item"), F.get("words", i).alias("doc"), F.get("pos", i).alias("pos"))
+    filled = F.filter(F.transform(F.sequence(F.lit(0), F.size("window") - 1), one), lambda x: x["kind"].isin(NUMBER, NAME, UNIT))
+    none = F.array().cast("array<struct<kind:string,item:string,doc:string,pos:int>>")
+    return joined.select("key", "of", "item", "m", "n", "doc_at", "at", "len", F.when(F.col("form") == TEMPLATE, filled).otherwise(none).alias("slots"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
     """key, item, windows, coverage, changed_slots and kind of every leak: one row for each pair of document and item.
 
-    Windows of one alignment (document position less item position) belong together. Slots of an alignment are
-    consistent if each word of the item stands for one word of the document; else the windows whose slots take up the
-    less frequent words don't count. ``kind`` is ``verbatim`` if no slot was refilled, else ``re-parameterised``.
-    Null texts and texts of fewer than ``width`` words leak nothing. A document that repeats an item has the best
-    alignment's figures; repeated rows give one leak.
+    Windows of one alignment (document word less item word), and those of alignments within a band, belong together.
+    Their slots are consistent if each word of the item stands for one word of the document; else the windows whose slots
+    take up the less frequent words don't count, and words that were refilled don't count as covered. ``windows`` is the
+    number of item windows matched, ``coverage`` the larger share of windows or of covered words. ``kind`` is
+    ``verbatim`` if no slot was refilled, else ``re-parameterised``. Null texts and texts without words leak nothing. A
+    document that repeats an item has the best figures; repeated rows give one leak.
     """
     found = matches(spark, docs, items, key, text, item_key, item_text, width)
     found, _ = written(spark, found.distinct(), "window-matches")
-    run = ["key", "of", "item", "shift"]
-    found = found.withColumn("shift", F.col("doc_at") - F.col("at"))
-    # The commonest document word for each item word of an alignment; ties to the lesser word.
+    run = ["key", "of", "item", "grid", "cell"]
+    shift = F.col("doc_at") - F.col("at")
+    # Two grids of bands, half a band apart, so that offsets within half a band meet in one; and each offset alone.
+    cells = F.array(*[F.struct(F.lit(g).alias("grid"), c.cast("long").alias("cell")) for g, c in enumerate((shift, F.floor(shift / BAND), F.floor((shift + BAND // 2) / BAND)))])
+    found = found.select("*", F.explode(cells).alias("c")).select("*", "c.grid", "c.cell").drop("c")
+    # The commonest document word for each item word of a run; ties to the lesser word.
     slots = found.select(*run, F.explode("slots").alias("s")).groupBy(*run, "s.kind", F.col("s.item").alias("item_word"), F.col("s.doc").alias("doc_word")).agg(F.count("*").alias("c"))
     best = slots.groupBy(*run, "kind", "item_word").agg(F.max_by("doc_word", F.struct("c", F.col("doc_word"))).alias("doc_word"))
     chosen = best.groupBy(*run).agg(F.collect_set(F.struct("kind", F.col("item_word").alias("item"), F.col("doc_word").alias("doc"))).alias("chosen"), F.sum((F.col("item_word") != F.col("doc_word")).cast("int")).alias("changed"))
-    kept = found.join(chosen, run, "left").where((F.size("slots") == 0) | (F.size(F.array_except("slots", "chosen")) == 0))
-    aligned = kept.groupBy(*run, "n").agg(F.count_distinct("at").alias("windows"), F.coalesce(F.max("changed"), F.lit(0)).alias("changed_slots"))
-    per = aligned.groupBy("key", "item").agg(F.max_by(F.struct("windows", "n", "changed_slots"), F.struct("windows", -F.col("changed_slots"))).alias("b"))
-    coverage = F.col("b.windows") / F.col("b.n")
-    out = per.where((coverage >= share) | (F.col("b.windows") >= enough))
-    return out.select(
+    fills = F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["item"].alias("item"), s["doc"].alias("doc")))
+    fits = (F.size("slots") == 0) | F.coalesce(F.size(F.array_except(fills, "chosen")) == 0, F.lit(False))
+    refilled = F.transform(F.filter("slots", lambda s: s["item"] != s["doc"]), lambda s: F.sequence(s["pos"], s["pos"] + F.length(s["item"]) - F.length(F.translate(s["item"], _JOIN, ""))))
+    judged = found.join(chosen, run, "left").select(*run, "m", "n", fits.alias("fits"), F.struct("at", "len").alias("span"), F.flatten(refilled).alias("refilled"), "changed")
+    aligned = judged.groupBy(*run, "m", "n").agg(
+        F.collect_set(F.when(F.col("fits"), F.col("span"))).alias("spans"),
+        F.flatten(F.collect_set(F.when(F.col("fits"), F.col("refilled")))).alias("refilled"),
+        F.max(~F.col("fits")).alias("torn"),
+        F.coalesce(F.max("changed"), F.lit(0)).alias("changed_slots"),
+    )
+    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
+    held = aligned.withColumn("covered", covered).withColumn("windows", F.size(F.array_distinct(F.transform("spans", lambda s: s["at"]))).cast("long"))
+    held = held.withColumn("coverage", F.greatest(F.col("windows") / F.col("n"), F.size(F.when(F.col("torn"), F.array_except("covered", "refilled")).otherwise(F.col("covered"))) / F.col("m")))
+    leaked = held.where((F.col("coverage") >= share) | (F.col("windows") >= enough))
+    per = leaked.groupBy("key", "item").agg(F.max_by(F.struct("windows", "coverage", "changed_slots"), F.struct("coverage", "windows", -F.col("changed_slots"))).alias("b"))
+    return per.select(
         F.col("key").alias(key),
         F.col("item").alias(item_key),
         F.col("b.windows").alias("windows"),
-        coverage.alias("coverage"),
+        F.col("b.coverage").alias("coverage"),
         F.col("b.changed_slots").cast("long").alias("changed_slots"),
         F.when(F.col("b.changed_slots") > 0, "re-parameterised").otherwise("verbatim").alias("kind"),
     )
