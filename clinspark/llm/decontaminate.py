@@ -52,7 +52,9 @@ TEMPLATE, PLAIN = 0, 1
 def slots_of(text: Column) -> Column:
     """Slots of a text, one blank between two: letters and digits, in lower case, with marks and joints."""
     marked = F.regexp_replace(text, "(?=\\p{Lu}\\p{Ll})(?<=[^\\s.!?:;\"'(\\[\\u0001][\"',)\\]]?[ \\t])", _MARK)
-    return F.btrim(F.regexp_replace(F.lower(marked), "[^\\p{L}\\p{N}\\u0001\\u0002]+", " "))
+    named = F.regexp_replace(marked, "(\\u0001[\\p{L}\\p{N}]+)[ \\t]+(?=\\u0001)", "$1" + _JOIN)
+    numbered = F.regexp_replace(named, "[.,](?<=\\p{Nd}.)(?=\\p{Nd})", _JOIN)
+    return F.btrim(F.regexp_replace(F.lower(numbered), "[^\\p{L}\\p{N}\\u0001\\u0002]+", " "))
 
 
 def plain_of(slots: Column) -> Column:
@@ -104,7 +106,10 @@ def item_windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame
     shaped = at.select("item", "m", "n", F.lit(TEMPLATE).alias("form"), start.alias("at"), length.alias("len"), "width", cut("template").alias("window"), cut("slots").alias("item_words"), cut("pos").alias("pos"))
     literal = F.size(F.filter("window", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
     shaped = shaped.where(literal >= F.least(F.lit(LITERALS), F.col("width")))
-    return shaped.withColumns({"hash": F.xxhash64("form", "window"), "anchor": F.xxhash64(F.slice("window", 1, ANCHOR))})
+    at = t.withColumn("width", F.col("wide")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    none = F.array().cast("array<int>")
+    plain = at.select("item", "m", "n", F.lit(PLAIN).alias("form"), F.col("i").alias("at"), F.col("width").alias("len"), "width", cut("words").alias("window"), cut("words").alias("item_words"), none.alias("pos"))
+    return shaped.unionByName(plain).withColumns({"hash": F.xxhash64("form", "window"), "anchor": F.xxhash64(F.slice("window", 1, ANCHOR))})
 
 
 def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int) -> DataFrame:
