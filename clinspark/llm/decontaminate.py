@@ -90,10 +90,10 @@ def _plain_at(slots: Column, at: Column) -> Column:
 def item_windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """item, m (plain words), n (plain windows), form, at (plain word), len (plain words), width, hash, anchor, window, item_words and pos of every window.
 
-    An item of fewer than ``width`` words has no window. One of up to twice ``width`` has windows of under half its words
+    An item of fewer than ``width`` words is one window. One of up to twice ``width`` has windows of under half its words
     (over half of ``width`` at least), so that one changed word leaves some.
     """
-    t = _read(items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key, text]), key, text).where(F.size("words") >= width)
+    t = _read(items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key, text]), key, text).where(F.element_at("words", 1) != "")
     m, least = F.size("words"), width // 2 + 1
     wide = F.when(m < width, m).when(m <= 2 * width, F.greatest(F.lit(min(least, width)), F.floor((m - 1) / 2).cast("int"))).otherwise(width)
     pos = F.transform(F.sequence(F.lit(0), F.size("slots") - 1), lambda i: _plain_at(F.col("slots"), i))
