@@ -171,7 +171,10 @@ def gap_epsilon(spark, d):
 @query()
 def tlv_decoding(spark, d):
     """Elements of binary card data."""
-    raw = scan(spark, d, "customer").where("c_custkey <= 20").select("c_custkey", F.concat(F.unhex(F.lit("5A03")), F.encode(F.lpad(F.col("c_custkey").cast("string"), 3, "0"), "UTF-8"), F.unhex(F.lit("5F1F0141"))).alias("raw"))
+    digits = F.col("c_custkey").cast("string")
+    number = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+    size = F.unhex(F.lpad(F.hex(F.length(number)), 2, "0"))
+    raw = scan(spark, d, "customer").select("c_custkey", F.concat(F.unhex(F.lit("5A")), size, F.encode(number, "UTF-8"), F.unhex(F.lit("5F1F0141"))).alias("raw"))
     return codecs.tlv_elements(raw, "c_custkey", "raw").select("c_custkey", "place", "tag", F.decode("value", "UTF-8").alias("value"))
 
 

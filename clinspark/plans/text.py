@@ -295,7 +295,7 @@ def record_linkage(spark, d):
 @query()
 def fieldwise_accuracy(spark, d):
     """Predicted against true records of a page, matched one to one by score, and their share of right fields."""
-    truth = scan(spark, d, "orders").where("o_custkey <= 300").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("t"), "o_orderstatus", "o_orderpriority")
+    truth = scan(spark, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("t"), "o_orderstatus", "o_orderpriority")
     seen = truth.select("page", (F.col("t") * 10).alias("p"), "o_orderstatus", F.when(F.col("t") % 7 == 0, "5-LOW").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
     pairs = seen.alias("s").join(truth.alias("t"), "page")
     score = (F.col("s.o_orderstatus") == F.col("t.o_orderstatus")).cast("int") * 10 + (F.col("s.o_orderpriority") == F.col("t.o_orderpriority")).cast("int") * 5
