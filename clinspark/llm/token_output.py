@@ -10,9 +10,11 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,19 +23,27 @@ from pyspark.sql import types as T
 from clinspark.llm import simple8b
 from clinspark.llm.common import ship_package, written
 
-#: Words that one generation of a worker's table holds; it keeps two, so frequent words stay.
-KEPT_WORDS = 200_000
+#: Words that a worker keeps; beyond it, those met more than once stay, half of the table at most.
+KEPT_WORDS = 300_000
+#: Bytes of text that are tokenized at a time; a longer text is on its own.
+STEP_BYTES = 1 << 21
 #: Ids that a segment holds before it is closed; a longer document still lies in one segment.
 SEGMENT_IDS = 1 << 17
-#: White space to Python, but not to the tokenizer's pattern.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Texts that can't be taken word by word: characters beyond Latin-1, controls and spaces on whose meaning Arrow and the
+#: tokenizer may differ, and what may be a special token.
+ODD = "[^\\t-\\r\\x20-\\x7e\\x{a1}-\\x{ff}]|<\\|"
+#: Letters, as the tokenizer's pattern takes them, and other characters after them: always a border between tokens.
+LETTER = "a-zA-Z\\x{aa}\\x{b5}\\x{ba}\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{ff}"
+BORDER = f"([{LETTER}])([^{LETTER}\\s])"
 
 
 class WordTokenizer:
     """The tokenizers library behind a bounded table of words.
 
-    The tokenizer drops white space and never looks across it, so the ids of a text are those of its words. A text with
-    characters beyond Latin-1, or with control characters that Python takes for spaces, goes to the library whole.
+    The tokenizer drops white space, folds case and never looks across white space or past the end of a run of letters, so
+    the ids of a text are those of its lower-case words. Arrow splits the texts and numbers their different words; only
+    words that the table lacks are tokenized, and the ids of all occurrences are gathered by their numbers at once. Odd
+    texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,76 +56,76 @@ class WordTokenizer:
         # Bytes as the model's characters: printable ones stand for themselves, the others follow from 256 on.
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         other = iter(range(256, 512))
-        self.characters = {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.marks = dict(zip(("", ".", ","), (b"", *self.whole([".", ","])), strict=True))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-
-    def stem(self, stem: str) -> bytes:
-        """Ids of lower-case letters: a single token of the pre-tokenizer, so the model alone decides."""
-        ids = self.stems.get(stem)
-        if ids is None:
-            if len(self.stems) >= KEPT_WORDS:
-                self.stems.clear()
-            as_bytes = stem if stem.isascii() else "".join(map(self.characters.__getitem__, stem.encode()))
-            ids = self.stems[stem] = array("I", [t.id for t in self.lib.model.tokenize(as_bytes)]).tobytes()
-        return ids
-
-    def learn(self, missing: set[str]) -> None:
-        """Put words into the younger generation."""
-        older, words = self.older, self.words
-        rest = []
-        for w in missing:
-            ids = older.get(w)
-            if ids is None:
-                low = w.lower()
-                if low.isalpha():
-                    ids = self.stem(low)
-                elif low[-1] in ".," and low[:-1].isalpha():
-                    ids = self.stem(low[:-1]) + self.marks[low[-1]]
-                else:
-                    rest.append(w)
-                    continue
-            words[w] = ids
-        words.update(zip(rest, self.whole(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        odd: list[int] = []
-        for i, t in enumerate(texts):
-            try:
-                t.encode("latin-1")
-            except UnicodeEncodeError:
-                odd.append(i)
-                continue
-            if any(c in t for c in ODD_SPACE):
-                odd.append(i)
-            else:
-                split.append((i, t.split()))
-        while split:
-            # A few texts at a time, so that the words of one round always fit into the table.
-            new: set[str] = set()
-            k = 0
-            while k < len(split) and (k == 0 or len(new) < KEPT_WORDS // 4):
-                new.update(split[k][1])
-                k += 1
-            missing = new.difference(self.words)
-            if missing:
-                if len(self.words) + len(missing) > KEPT_WORDS:
-                    self.older, self.words = self.words, {}
-                    missing = new
-                self.learn(missing)
-            for i, words in split[:k]:
-                out[i] = b"".join(map(self.words.__getitem__, words))
-            split = split[k:]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        self.characters = {b: b if b in plain else next(other) for b in range(256)}
+        #: Word -> its number in ``sizes`` and ``met``; ``ids`` holds the words' ids one after another.
+        self.number: dict[str, int] = {}
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, missing: list[str]) -> None:
+        """Give words numbers. Of letters alone, the model decides; the others go to the library in one call."""
+        letters = [w for w in missing if w.isalpha()]
+        others = [w for w in missing if not w.isalpha()]
+        model, sizes, ids = self.lib.model, array("q"), array("I")
+        if letters:
+            for w in " ".join(letters).encode().decode("latin-1").translate(self.characters | {32: 32}).split(" "):
+                tokens = [t.id for t in model.tokenize(w)]
+                sizes.append(len(tokens))
+                ids.extend(tokens)
+        rest = self.whole(others)
+        self.number.update(zip(letters + others, range(len(self.sizes), len(self.sizes) + len(missing)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.frombuffer(sizes, np.int64), np.array([len(x) for x in rest], dtype=np.int64)])
+        self.met = np.concatenate([self.met, np.zeros(len(missing), dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, "<u4"), *rest])
+
+    def forget(self) -> None:
+        """Keep the words met more than once, and of these half a table of the most frequent."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > KEPT_WORDS // 2:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: KEPT_WORDS // 2]])
+        words = list(self.number)  # in order of their numbers
+        self.number = {words[i]: n for n, i in enumerate(keep.tolist())}
+        stay = np.zeros(len(self.sizes), dtype=bool)
+        stay[keep] = True
+        self.ids = self.ids[np.repeat(stay, self.sizes)]
+        self.sizes, self.met = self.sizes[keep], self.met[keep]
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Numbers of different words."""
+        if len(self.number) > KEPT_WORDS:
+            self.forget()
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            new = [words[i] for i in missing]
+            self.learn(new)
+            found[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers; a null text counts as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD)
+        plain = pc.utf8_lower(pc.if_else(odd, "", texts))
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, BORDER, "\\1 \\2"))
+        coded = split.flatten().dictionary_encode()
+        number = self.look_up(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        self.met[number] += np.bincount(index, minlength=len(number))
+        starts = (np.cumsum(self.sizes) - self.sizes)[number]
+        per = self.sizes[number][index]
+        ends = np.zeros(len(index) + 1, dtype=np.int64)
+        np.cumsum(per, out=ends[1:])
+        ids = self.ids[np.repeat(starts[index] - ends[:-1], per) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        out = [ids[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i, x in zip(at, self.whole([texts[i].as_py() for i in at]), strict=True):
+            out[i] = x
         return out
 
 
@@ -124,6 +134,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``STEP_BYTES`` together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP_BYTES, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 SEGMENTS = T.StructType(
     [
         T.StructField("part", T.IntegerType(), False),
@@ -144,31 +164,31 @@ def segments(docs: DataFrame, path: str, end_id: int | None = None, key: str = "
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part = tokenizer(path), TaskContext.get().partitionId()
         start = held = 0
         keys: list[int | None] = []
-        ids: list[bytes] = []
+        lengths: list[int] = []
+        ids: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(ids), dtype="<u4")
-            row = {"part": part, "local_start": start - len(data), "n_ids": len(data), "keys": keys, "lengths": [len(x) // 4 for x in ids], "payload": simple8b.to_bytes(simple8b.encode(data))}
+            data = np.concatenate(ids)
+            row = {"part": part, "local_start": start - len(data), "n_ids": len(data), "keys": keys, "lengths": lengths, "payload": simple8b.to_bytes(simple8b.encode(data))}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("local_start", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                for k, x in zip(some.column(0).to_pylist(), t.encode([s or "" for s in some.column(1).to_pylist()]), strict=True):
+            for lo, hi in steps(batch.column(1)):
+                for k, x in zip(batch.column(0)[lo:hi].to_pylist(), t.encode(batch.column(1)[lo:hi]), strict=True):
                     keys.append(k)
-                    ids.append(x + end)
-                    n = len(x + end) // 4
-                    start += n
-                    held += n
+                    lengths.append(len(x) + len(end))
+                    ids += (x, end)
+                    start += lengths[-1]
+                    held += lengths[-1]
                     if held >= SEGMENT_IDS:
                         yield close()
-                        keys, ids, held = [], [], 0
+                        keys, lengths, ids, held = [], [], [], 0
         if keys:
             yield close()
 

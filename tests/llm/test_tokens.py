@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents
 from hypothesis import given, settings
@@ -103,8 +104,30 @@ def test_simple8b_packs():
 
 def test_words_equal_the_library(word_model, edge_texts):
     t = token_output.WordTokenizer(word_model)
-    texts = [*random_texts(3000, 4), *(x or "" for x in edge_texts)]
-    assert t.encode(texts) == t.whole(texts)
+    r = random.Random(14)
+    marked = [" ".join(r.choice(["abc", "Abc'", "it's", "don't.", "a.b", "x...", "...y", "'s", "'sword", "3.5", "a_b", "_a", "ÀÉ,", "straße!?", "²m", "ªº", "1st", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|b", "\xa0", "\x85", "\x00", "\t\n", "\xad-"]) for _ in range(9)) for _ in range(3000)]
+    texts = [*random_texts(3000, 4), *marked, *(x or "" for x in edge_texts)]
+    want = [x.tolist() for x in t.whole(texts)]
+    assert [x.tolist() for x in t.encode(pa.array(texts))] == want
+    small = token_output.WordTokenizer(word_model)
+    small_steps = [x.tolist() for lo in range(0, len(texts), 50) for x in small.encode(pa.array(texts).slice(lo, 50))]
+    assert small_steps == want and t.encode(pa.array([None, ""]))[0].size == 0
+
+
+def test_steps_cover_all_texts(monkeypatch):
+    monkeypatch.setattr(token_output, "STEP_BYTES", 10)
+    texts = pa.array(["", None, "abc", "x" * 30, "", "abcde", "fghij", "k"])
+    assert list(token_output.steps(texts)) == [(0, 3), (3, 4), (4, 7), (7, 8)]
+    assert list(token_output.steps(pa.array([], pa.string()))) == []
+
+
+def test_a_small_table_of_words_changes_nothing(word_model, monkeypatch):
+    monkeypatch.setattr(token_output, "KEPT_WORDS", 5)
+    t = token_output.WordTokenizer(word_model)
+    r = random.Random(15)
+    for _ in range(60):
+        texts = [" ".join(r.choice("abcdefghijkl") * r.randint(1, 3) for _ in range(8)) for _ in range(3)]
+        assert [x.tolist() for x in t.encode(pa.array(texts))] == [x.tolist() for x in t.whole(texts)]
 
 
 def test_op7_reads_back_what_the_library_gives(spark, word_model, edge_texts):
