@@ -1,11 +1,18 @@
-"""Near-duplicate removal by wide SimHash: five-word shingles, a similarity of 0.8 or more, one document of each group.
-
-A 64-bit fingerprint can't tell a similarity of 0.8 from 0.7, so this stage takes 512 bits. Their Hamming distance gives
-the similarity within about 0.02; ``RADIUS`` is the distance that belongs to 0.75, so pairs of 0.8 and more hardly slip.
-At such radii no choice of agreeing blocks names small shards. Here shards are named by min-hash triples: texts of a
-similarity of 0.8 share one of twelve with a probability of 0.9998. In a shard, a BK-tree over the fingerprints finds the
-links; exact copies are one member, and each shard gives a spanning forest of its links, as for
-:mod:`clinspark.llm.simhash`. Shards beyond ``max_shard`` are dealt into groups, each pair of which is a task's work.
+"""Near-duplicate removal by wide SimHash: five-word shingles, a Jaccard similarity of 0.8 or more, one document of each group.
+
+1. Each different set of shingles is a node, with a SimHash of 512 bits over its different shingles (64 bits can't tell a
+   similarity of 0.8 from 0.7), and with shards named by min-hash triples: sets of a similarity of 0.8 share one of
+   twelve with a probability of 0.9998.
+2. In a shard, a BK-tree over the fingerprints gives a spanning forest of the pairs within ``RADIUS``, the distance that
+   belongs to a similarity of 0.65. At 0.8 the distance is larger for one pair in some ten thousand. These are candidates
+   only; their components are loose classes.
+3. The members of a loose class travel once more, with the hashes of their shingles. A BK-tree proposes pairs, nearest
+   first, and the exact similarity of the two sets decides. Pairs that are linked by others already need no look, so a
+   class of n copies takes about n comparisons.
+
+A class beyond ``max_block`` members is held against one member first; those that are its copies need no more looks at
+each other, only the rest is dealt into groups, each pair of which is a task's work. So a huge group of copies costs in
+proportion to its size, and every link within the rest and between both is still looked for.
 """
 
 from __future__ import annotations
@@ -17,14 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clinspark.llm.common import ship_package, written
 from clinspark.llm.components import connected_components
-from clinspark.llm.simhash import forest, shingle_hashes
+from clinspark.llm.simhash import BKTree, forest, shingle_hashes
 
 WORDS = 8
 KEYS, PER_KEY = 12, 3
 STEP = 8_160
+SIMILARITY = 0.8
+#: Bytes of pivots that a broadcast may hold; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 _U = np.uint64
 
 
@@ -47,14 +58,17 @@ def radius_of(similarity: float, bits: int = 64 * WORDS) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-RADIUS = radius_of(0.75)
+RADIUS = radius_of(0.65)
 
 
-def sketch(hashes: list[int]) -> tuple[bytes, list[int]]:
-    """The wide fingerprint of a text's shingle hashes, and its shards."""
-    if not hashes:
-        return bytes(8 * WORDS), [0]
-    h = np.array(hashes, dtype=np.uint64)
+def sketch(hashes: list[int]) -> tuple[int, bytes, list[int], bytes]:
+    """Of a text's shingle hashes: the node, the wide fingerprint, the shards, and the different hashes' lower halves."""
+    from xxhash import xxh64_intdigest
+
+    h = np.unique(np.array(hashes, dtype="<u8"))
+    node = int(np.uint64(xxh64_intdigest(h.tobytes())).view(np.int64))
+    if not len(h):
+        return node, bytes(8 * WORDS), [0], b""
     counts = np.zeros(64 * WORDS, dtype=np.int64)
     mins = np.full(len(_MINS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(h), STEP):
@@ -75,26 +89,51 @@ def sketch(hashes: list[int]) -> tuple[bytes, list[int]]:
         keys = (keys ^ mins[k::PER_KEY]) * _JOIN[k]
         keys ^= keys >> _U(31)
     keys += np.arange(KEYS, dtype=np.uint64)
-    return fingerprint, keys.view(np.int64).tolist()
+    return node, fingerprint, keys.view(np.int64).tolist(), np.unique(h.astype("<u4")).tobytes()
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, fingerprint (binary) and shards of every row."""
+    """key, text_hash, node, fingerprint, shards and shingles of every row with a key, which keeps its type."""
     ship_package(docs.sparkSession)
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    made = T._parse_datatype_string("node long, fingerprint binary, shards array<long>, shingles binary")
+    schema = T.StructType([*rows.schema.fields[:2], *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 with np.errstate(over="ignore"):
-                    made = [sketch(shingle_hashes(t, width) if t else []) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _ in made], pa.binary()), pa.array([s for _, s in made], pa.list_(pa.int64()))], names=["key", "fingerprint", "shards"])
+                    made = [sketch(shingle_hashes(t, width) if t else []) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Runs of sorted rows that agree in the first ``keys`` columns, if of more than one row; an empty list ends a batch."""
+    block: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block and row[:keys] != block[0][:keys]:
+                if len(block) > 1:
+                    yield block
+                block = []
+            block.append(row)
+        yield []
+    if len(block) > 1:
+        yield block
+
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fingerprint binary, shards array<long>")
+def _pairs(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    for pairs in found:
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
 
-def links(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
-    """src, dst: a spanning forest of each shard's links. members: shard, node, fingerprint, each node once in a shard."""
+def candidates(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
+    """src, dst: a spanning forest of each shard's pairs within the radius. members: shard, node, fingerprint, each node once in a shard."""
     sizes = members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
     sized = members.join(sizes, "shard")
     groups = F.ceil(F.col("size") / max_shard).cast("int")
@@ -105,56 +144,130 @@ def links(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
     def found(block: list[tuple]) -> list[tuple[int, int]]:
-        """Links of one shard (or pair of groups), as node pairs."""
-        value = {int.from_bytes(f, "little"): n for *_, n, f in block}
-        left = [int.from_bytes(r[5], "little") for r in block if not r[3]]
-        same = block[0][1] == block[0][2]
-        right = None if same else [int.from_bytes(r[5], "little") for r in block if r[3]]
-        if same:
-            left = list(value)
-        return [(value[a], value[b]) for a, b in forest(left, right, radius)]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block and row[:3] != block[0][:3]:
-                    if len(block) > 1:
-                        out += found(block)
-                    block = []
-                block.append(row)
-            yield as_batch(out)
-        yield as_batch(found(block) if len(block) > 1 else [])
-
-    def as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["src", "dst"])
-
-    return rows.mapInArrow(walk, "src long, dst long")
-
-
-def duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, radius: int = RADIUS, max_shard: int = 500) -> tuple[DataFrame, bool]:
-    """key and class_id (the least key of its group) of every row with a key; and whether some key occurs twice."""
-    marked, _ = written(spark, sketches(docs, key, text, width).withColumn("node", F.xxhash64("fingerprint")), "sketches")
-    distinct, _ = written(spark, marked.groupBy("node").agg(F.min("key").alias("least"), F.min_by("fingerprint", "key").alias("fingerprint"), F.min_by("shards", "key").alias("shards")).where("least IS NOT NULL"), "distinct-sketches")
-    members = distinct.select("node", "fingerprint", F.explode("shards").alias("shard")).select("shard", "node", "fingerprint")
-    edges, _ = written(spark, links(members, radius, max_shard), "near-links")
+        nodes: dict[int, list[int]] = {}
+        for *_, n, f in block:
+            nodes.setdefault(int.from_bytes(f, "little"), []).append(n)
+        alike = [(same[0], n) for same in nodes.values() for n in same[1:]]
+        left = list(dict.fromkeys(int.from_bytes(r[5], "little") for r in block if not r[3]))
+        right = None if block[0][1] == block[0][2] else list(dict.fromkeys(int.from_bytes(r[5], "little") for r in block if r[3]))
+        return alike + [(nodes[a][0], nodes[b][0]) for a, b in forest(left, right, radius)]
+
+    return rows.mapInArrow(lambda batches: _pairs(found(b) for b in _blocks(batches, 3) if b), "src long, dst long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; empty ones are alike."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def exact_links(block: list[tuple], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links of a block: within it, or between its two groups. Rows end with second, node, fingerprint, shingles."""
+    across = block[0][1] != block[0][2]
+    value = [int.from_bytes(r[-2], "little") for r in block]
+    sets = [np.frombuffer(r[-1], "<u4") for r in block]
+    parent = list(range(len(block)))
+    tree, held, out = BKTree(), {}, []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def hold(i: int) -> None:
+        held.setdefault(tree.add(value[i]), []).append(i)
+
+    if across:
+        for i, r in enumerate(block):
+            if not r[-4]:
+                hold(i)
+    for i, r in enumerate(block):
+        if across and not r[-4]:
+            continue
+        near = sorted(((tree.values[k] ^ value[i]).bit_count(), j) for k in tree.within(value[i], radius) for j in held[k])
+        for _, j in near:
+            if (a := root(i)) != (b := root(j)) and similar(sets[i], sets[j], similarity):
+                parent[a] = b
+                out.append((r[-3], block[j][-3]))
+        if not across:
+            hold(i)
+    return out
+
+
+def links(spark: SparkSession, members: DataFrame, radius: int, similarity: float, max_block: int) -> DataFrame:
+    """src, dst: links of at least this exact similarity that connect all that are linked within a class. members: component, least, node, fingerprint, shingles."""
+    sizes, _ = written(spark, members.groupBy("component").agg(F.count("*").alias("size")), "class-sizes")
+    columns = ["component", "node", "fingerprint", "shingles"]
+    keys = ["component", "a", "b"]
+    small = members.join(sizes.where(F.col("size") <= max_block), "component")
+    rows = small.select("component", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("second"), *columns[1:])
+    found = []
+    large = sizes.where(F.col("size") > max_block)
+    if large.limit(1).count():
+        inside = members.join(large.select("component"), "component")
+        pivots, _ = written(spark, inside.groupBy("component").agg(F.min_by(F.struct("node", "shingles"), F.struct("least", "node")).alias("pivot")), "pivots")
+        weight = pivots.agg(F.sum(F.length("pivot.shingles") + 64)).first()[0]
+        held = F.broadcast(pivots) if weight <= BROADCAST_BYTES else pivots
+
+        def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own, other = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+                yes = [similar(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), similarity) for x, y in zip(own, other, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(yes, pa.bool_())], names=[*columns, "pivot", "linked"])
+
+        judged = inside.join(held, "component").select(*columns, F.col("pivot.shingles").alias("other"), F.col("pivot.node").alias("pivot")).mapInArrow(against, "component long, node long, fingerprint binary, shingles binary, pivot long, linked boolean")
+        judged, _ = written(spark, judged, "pivot-links")
+        found.append(judged.where("linked AND node <> pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")))
+        groups = judged.groupBy("component").agg(F.ceil(F.sum((~F.col("linked")).cast("long")) / max_block).cast("int").alias("rest"), F.ceil(F.sum(F.col("linked").cast("long")) / max_block).cast("int").alias("copies"))
+        own = F.when(F.col("linked"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("copies"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+        last = F.when(F.col("linked"), F.col("rest")).otherwise(F.col("rest") + F.col("copies")) - 1
+        dealt = judged.join(groups.where("rest > 0"), "component").select(*columns, own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+        rows = rows.unionByName(dealt.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"), *columns[1:]))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    found.append(rows.mapInArrow(lambda batches: _pairs(exact_links(b, radius, similarity) for b in _blocks(batches, 3) if b), "src long, dst long"))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY, radius: int = RADIUS, max_shard: int = 500, max_block: int = 1000) -> DataFrame:
+    """key, text_hash, class_id (the least key of its group) and kept (whether the row is the one that stays) of every row with a key.
+
+    Of rows that repeat a key the one with the least text hash is the first; rows that repeat both are marked alike.
+    """
+    marked, _ = written(spark, sketches(docs, key, text, width), "sketches")
+    row = F.struct("key", "text_hash")
+    distinct, _ = written(spark, marked.groupBy("node").agg(F.min(row).alias("least"), F.min_by("fingerprint", row).alias("fingerprint"), F.min_by("shards", row).alias("shards")), "distinct-sketches")
+    pairs, _ = written(spark, candidates(distinct.select(F.explode("shards").alias("shard"), "node", "fingerprint"), radius, max_shard), "candidates")
+    loose, _ = written(spark, connected_components(spark, pairs), "loose-classes")
+    named = loose.join(distinct.select("node", "least", "fingerprint"), "node")
+    first = marked.select("node", row.alias("least"), "shingles").dropDuplicates(["node", "least"]) if _repeats(marked) else marked.select("node", row.alias("least"), "shingles")
+    members = named.join(first, ["node", "least"]).select("component", "least", "node", "fingerprint", "shingles")
+    edges, _ = written(spark, links(spark, members, radius, similarity, max_block), "near-links")
     labels = connected_components(spark, edges)
-    named = distinct.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = named.join(named.groupBy("component").agg(F.min("least").alias("class_id")), "component").select("node", "class_id")
-    out = marked.where("key IS NOT NULL").select("key", "node").join(least, "node").select(F.col("key").alias(key), "class_id")
-    repeated = bool(marked.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
-    return out, repeated
+    named = distinct.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = named.join(named.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", "first")
+    return marked.select("node", "key", "text_hash").join(least, "node").select(F.col("key").alias(key), "text_hash", F.col("first.key").alias("class_id"), (F.struct("key", "text_hash") == F.col("first")).alias("kept"))
+
+
+def _repeats(marked: DataFrame) -> bool:
+    """Whether some row occurs twice."""
+    return bool(marked.groupBy("key", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group, that of the least key. Rows with a null key stay.
+    """``docs`` with one row of each group, that of the least key; other columns stay as they are.
 
-    Texts without words are copies of each other. Rows that repeat a kept key are dropped but for one.
+    Rows with a null key stay. Texts without words, null ones included, are copies of each other. Rows go by key and text,
+    so a key that repeats with another text loses only the copies among its texts; of rows that repeat both, one stays.
+    Texts of any length are taken whole. An empty table stays one. Keys may be of any type that has an order.
     """
-    classes, repeated = duplicates(spark, docs, key, text, **options)
-    gone, _ = written(spark, classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("__gone")).distinct(), "duplicate-keys")
-    kept = docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    if repeated:
-        kept = kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
-    return kept
+    judged, _ = written(spark, classes(spark, docs, key, text, **options), "near-classes")
+    gone = judged.where(~F.col("kept")).select(F.col(key).alias("__gone"), F.col("text_hash").alias("__gone_text"))
+    same = (docs[key] == gone["__gone"]) & (F.xxhash64(docs[text]) == gone["__gone_text"])
+    rest = docs.join(gone, same, "left_anti")
+    twice = judged.where("kept").groupBy(key, "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.limit(1).count():
+        return rest
+    once = rest.where(F.col(key).isNotNull()).withColumn("__text_hash", F.xxhash64(F.col(text))).dropDuplicates([key, "__text_hash"]).drop("__text_hash")
+    return once.unionByName(rest.where(F.col(key).isNull()))

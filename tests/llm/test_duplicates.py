@@ -92,28 +92,57 @@ def test_spread_lines_go_and_copies_stay(spark):
     assert line_dedup.remove_boilerplate(spark, documents(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_one_of_each_group_of_near_copies_stays(spark):
-    r = random.Random(3)
+def near_texts(r, originals, copies, edits, length=300):
+    """Texts with groups of copies of which up to so many words are replaced."""
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
-    originals = [[r.choice(vocabulary) for _ in range(300)] for _ in range(40)]
-    texts, group = [], []
-    for i, w in enumerate(originals):
+    texts = []
+    for i in range(originals):
+        w = [r.choice(vocabulary) for _ in range(length)]
         texts.append(" ".join(w))
-        group.append(i)
-        if i < 20:
-            for k in range(3):
-                v = list(w)
-                for at in r.sample(range(300), k * 3):  # six words of 300 leave a similarity over 0.8
-                    v[at] = r.choice(vocabulary)
-                texts.append(" ".join(v))
-                group.append(i)
-    s = [set(shingles(t, 5)) for t in texts]
-    assert min(len(s[a] & s[b]) / len(s[a] | s[b]) for a in range(len(texts)) for b in range(a) if group[a] == group[b] and a - b == 1) > 0.6
+        for _ in range(copies if i % 2 else 0):
+            v = list(w)
+            for at in r.sample(range(length), r.randint(0, edits)):
+                v[at] = r.choice(vocabulary)
+            texts.append(" ".join(v))
+    r.shuffle(texts)
+    return texts
+
+
+def exact_classes(texts, width=5, least=0.8):
+    s = [set(shingles(t, width)) for t in texts]
+    alike = lambda a, b: len(a & b) >= least * len(a | b)
+    return components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(s[i], s[j])])
+
+
+def test_near_classes_equal_brute_force(spark):
+    texts = near_texts(random.Random(3), 30, 8, 14)
+    want = exact_classes(texts)
+    for options in ({}, {"max_block": 4, "max_shard": 5}):
+        got = {x.doc_id: x.class_id for x in near_dedup.classes(spark, documents(spark, texts), **options).collect()}
+        assert got == want
     kept = {x.doc_id for x in near_dedup.deduplicate(spark, documents(spark, texts)).collect()}
-    firsts = {group.index(g) for g in range(40)}
-    assert firsts <= kept
-    lost = [i for i in range(len(texts)) if i not in firsts and i in kept and any(len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.82 for j in firsts if group[j] == group[i])]
-    assert not lost
+    assert kept == set(want.values()) and 30 <= len(kept) < len(texts)
+
+
+def test_a_large_class_is_held_against_one_member(spark):
+    texts = near_texts(random.Random(5), 2, 150, 9)
+    want = exact_classes(texts)
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark, documents(spark, texts), max_block=20, max_shard=40).collect()}
+    assert got == want
+
+
+def test_repeated_lines_do_not_make_copies(spark):
+    line = "this one line is said again and again in many texts. "
+    texts = [line * 200 + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    assert near_dedup.deduplicate(spark, documents(spark, texts)).count() == 4
+
+
+def test_rows_go_by_key_and_text(spark):
+    rows = [(3, "one text that is here"), (7, "one text that is here"), (7, "some other text altogether"), (7, "some other text altogether"), (9, "a third text"), (None, "a third text")]
+    kept = near_dedup.deduplicate(spark, documents(spark, rows).withColumn("__text", F.lit(1)).withColumnRenamed("lang", "class_id"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "one text that is here"), (7, "some other text altogether"), (9, "a third text"), (None, "a third text")], key=str)
+    named = documents(spark, rows[:4]).withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    assert sorted(r.doc_id for r in near_dedup.deduplicate(spark, named).collect()) == ["k3", "k7"]
 
 
 def test_near_dedup_of_odd_rows(spark, edge_texts):
