@@ -67,18 +67,45 @@ def test_counts_equal_the_library_for_every_chunk_size(pieces, piece_model, edge
         assert {counter.count(t, c) for c in ((1, 2, 3, 7) if len(t) < 100 else (1000, 4096)) + (1 << 14,)} == {want}
 
 
-def test_chunk_maps_compose_in_any_order(piece_model):
-    counter = token_count.TokenCounter(piece_model)
+def test_chunk_maps_compose_in_any_order(piece_model, pieces):
+    counter, lib = token_count.TokenCounter(piece_model), pieces[1]
     r = random.Random(9)
+
+    def total(m):
+        state, n = counter.apply(m, token_count.OUTSIDE)
+        return n + counter.finish(state)
+
     for t in random_texts(300, 3):
-        maps = [counter.chunk_map(c) for c in " " + t.replace("▁", " ")]
-        scan = counter.prefix_scan(maps)
-        total = lambda m: counter.spaced(m.head) + m.count + counter.spaced(m.tail)
-        assert total(scan[-1]) == total(counter.fold(list(maps))) == counter.count(t) or not t
+        if not t:
+            continue
+        chunks = list(" " + t.replace("▁", " "))
+        maps = [counter.chunk_map(c) for c in chunks]
+        after = [n + counter.finish(state) for state, n in counter.scan(maps)[1:]]
+        assert after[-1] == len(lib.encode(t))
         while len(maps) > 1:
             i = r.randrange(len(maps) - 1)
             maps[i : i + 2] = [counter.compose(maps[i], maps[i + 1])]
-        assert not t or total(maps[0]) == counter.count(t)
+        assert total(maps[0]) == len(lib.encode(t))
+
+
+def test_prefix_counts_equal_the_library(piece_model, pieces):
+    counter, lib = token_count.TokenCounter(piece_model), pieces[1]
+    for t in random_texts(200, 17):
+        got = counter.prefix_counts(t, 3)
+        spaced = " " + t.replace("▁", " ")
+        if len(spaced) > 3:
+            assert got == [len(lib.encode(t[: i + 2])) for i in range(0, len(spaced) - 3, 3)] + [len(lib.encode(t))]
+
+
+def test_texts_without_spaces_are_bounded(piece_model, pieces, monkeypatch):
+    monkeypatch.setattr(token_count, "KEPT_STATES", 500)
+    counter, lib = token_count.TokenCounter(piece_model), pieces[1]
+    r = random.Random(18)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "日本語ab", "aab"):
+        t = "".join(r.choice(letters) for _ in range(20_000))
+        for chunk in (50, 700, 16_384, 1 << 20):
+            assert counter.count(t, chunk) == len(lib.encode(t))
+        assert len(counter.machine.open) <= 502
 
 
 def test_op8(spark, piece_model, pieces, edge_texts):
