@@ -2,13 +2,17 @@
 
 1. Every line of at least ``min_words`` words is counted by its hash; lines that are rare, or of one site alone, can't
    spread, and go (an exact condition: as many distinct sites need as many occurrences). Counts pre-aggregate per task.
-2. A HyperLogLog sketch of the sites is built for each remaining line, merged by aggregation.
+2. The sites of each remaining line's occurrences go into HyperLogLog sketches, one per task and line, which aggregation
+   merges.
 3. Lines whose estimate lies near the threshold get the exact distinct count; far ones are decided by the estimate.
-4. A document loses its spread lines, but where these make up ``copy_share`` of its words or more, the document is a copy
-   of others rather than a carrier of boilerplate: it stays whole, for near-duplicate detection to judge.
+4. A document loses its spread lines, whatever their share, unless it is as a whole a copy of others: then its lines lie on
+   many sites because it does, and near-duplicate detection has to judge it. It is one if ``copy_share`` of its words lie
+   in spread lines, or in lines of which other such documents hold a piece. (Two documents that share 8/9 of their words
+   have a similarity of 0.8.) Only documents of which spread lines make up ``copy_from`` or more are asked.
 
 All of it is DataFrame operations. A line on a third of all documents is never gathered: it meets others only in
-pre-aggregated counts and sketches, and in joins that are split at run time or broadcast below a checked size.
+pre-aggregated counts and sketches, and in joins that are split at run time or broadcast below a checked size. While the
+spread lines are few, each text is judged where it lies; beyond, their places are joined to it. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -23,12 +27,17 @@ MIN_WORDS = 3
 MIN_SITES = 8
 LONG_WORDS = 20
 LONG_SITES = 3
-COPY_SHARE = 0.5
+COPY_FROM = 0.2
+COPY_SHARE = 8 / 9
+#: Words of a line's pieces, the first and the last ones of it.
+PIECE = 5
 #: Sketches of 2**LG_K registers, and the band around a threshold in which they aren't trusted.
 LG_K = 8
 BAND = 0.35
-#: Spread lines that a broadcast may hold (16 bytes each); beyond, the join shuffles.
+#: Rows of hashes that a broadcast may hold (16 to 32 bytes each); beyond, the join shuffles.
 BROADCAST_LINES = 500_000
+#: Spread lines that are put into the plan as a set.
+SET_LINES = 20_000
 
 
 def lines_of(text: Column) -> Column:
@@ -37,8 +46,8 @@ def lines_of(text: Column) -> Column:
 
 
 def words_of(line: Column) -> Column:
-    """One more than the spaces of a line."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    """One more than the spaces of a line; none in an empty one."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1)
 
 
 def line_keys(text: Column) -> Column:
@@ -53,44 +62,76 @@ def spread_lines(spark: SparkSession, docs: DataFrame, text: str = "text", site:
     seen = lines.groupBy("h", "w").agg(F.count("*").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
     likely, _ = written(spark, seen.where((F.col("n") >= need) & ((F.col("lo") != F.col("hi")) | (need <= 1))).select("h", "w"), "likely-lines")
     few = likely.count() <= BROADCAST_LINES
-    kept, _ = written(spark, lines.join(F.broadcast(likely) if few else likely, ["h", "w"]).groupBy("h", "w", "site").agg(F.count("*").alias("n")), "line-sites")
-    sketched = kept.groupBy("h", "w").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-    band = need * BAND
-    decided = sketched.withColumn("near", F.abs(F.col("sites") - need) <= band)
+    found, _ = written(spark, lines.join(F.broadcast(likely) if few else likely, ["h", "w"]), "line-occurrences")
+    sketched = found.groupBy("h", "w").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    decided, _ = written(spark, sketched.withColumn("near", F.abs(F.col("sites") - need) <= need * BAND), "line-estimates")
     sure = decided.where(~F.col("near") & (F.col("sites") >= need)).select("h")
     near = decided.where("near").select("h", "w")
-    exact = kept.join(near, ["h", "w"]).groupBy("h", "w").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= need).select("h")
+    exact = found.join(F.broadcast(near) if few else near, ["h", "w"]).groupBy("h", "w").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= need).select("h")
     return sure.union(exact).distinct()
 
 
-def remove_boilerplate(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", copy_share: float = COPY_SHARE, **limits: int) -> DataFrame:
+def marked_lines(spark: SparkSession, docs: DataFrame, spread: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with __t (the text's hash), __lines (:func:`line_keys`) and __marks: whether each line is spread. Marks may be null, or end with the last spread line."""
+    keyed = docs.withColumns({"__t": F.xxhash64(text), "__lines": line_keys(F.col(text))})
+    known = spread.limit(SET_LINES + 1).collect()  # hashes of at most SET_LINES + 1 lines
+    if len(known) <= SET_LINES:
+        hashes = [r["h"] for r in known]
+        return keyed.withColumn("__marks", F.transform("__lines", lambda k: k["h"].isin(hashes)) if hashes else F.lit(None).cast("array<boolean>"))
+    few = spread.count() <= BROADCAST_LINES
+    # Texts are told apart by key and hash, and only places are shuffled.
+    at = keyed.select(F.col(key).alias("__k"), "__t", F.posexplode("__lines").alias("__p", "k")).select("__k", "__t", "__p", F.col("k.h").alias("h"))
+    hits = at.join(F.broadcast(spread) if few else spread, "h").groupBy("__k", "__t").agg(F.sort_array(F.collect_set("__p")).alias("s"))
+    # One mark for each line up to the last that is hit, so that lines and marks pair up in one pass however many there are.
+    mark = F.transform("s", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i > 0, F.get(F.col("s"), i - 1)).otherwise(-1) - 1), F.lit("1")))
+    places = hits.select(F.col("__k").alias("__k2"), F.col("__t").alias("__t2"), F.transform(F.split(F.array_join(mark, ""), ""), lambda m: m == "1").alias("__marks"))
+    return keyed.join(places, F.col(key).eqNullSafe(F.col("__k2")) & (F.col("__t") == F.col("__t2")), "left").drop("__k2", "__t2")
+
+
+def pieces_of(line: Column) -> Column:
+    """The first and the last words of a line, twice ``PIECE`` of each if it has so many; a shorter line is one piece."""
+    words = F.split(line, " ")
+    cut = lambda at: F.array_join(F.slice(words, at, PIECE), " ")
+    return F.when(F.size(words) < PIECE, F.array(line)).when(F.size(words) < 2 * PIECE, F.array(cut(1), cut(-PIECE))).otherwise(F.array(cut(1), cut(1 + PIECE), cut(-PIECE), cut(-2 * PIECE)))
+
+
+def whole_copies(spark: SparkSession, marked: DataFrame, key: str, text: str, copy_from: float, copy_share: float) -> DataFrame:
+    """__k, __t: documents that are copies as a whole although spread lines make up less than ``copy_share`` of them."""
+    asked = marked.where((F.col("__lost") > 0) & (F.col("__lost") >= F.col("__total") * copy_from))
+    all_lines = F.zip_with(lines_of(F.col(text)), "__marks", lambda x, m: F.struct(x.alias("x"), m.eqNullSafe(True).alias("hit")))
+    lines = asked.select(F.col(key).alias("__k"), "__t", "__lost", "__total", F.posexplode(all_lines).alias("p", "line")).where("line.x <> ''")
+    pieces = lines.select("__k", "__t", "__lost", "__total", "p", "line.hit", words_of(F.col("line.x")).alias("w"), F.explode(F.transform(pieces_of(F.col("line.x")), lambda x: F.xxhash64(x))).alias("piece"))
+    pieces, _ = written(spark, pieces.withColumn("doc", F.xxhash64("__k", "__t")), "line-pieces")
+    shared = pieces.groupBy("piece").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("piece")
+    near = pieces.where(~F.col("hit") & (F.col("__lost") < F.col("__total") * copy_share)).join(shared, "piece").groupBy("__k", "__t", "__lost", "__total", "p").agg(F.max("w").alias("w"))
+    return near.groupBy("__k", "__t", "__lost", "__total").agg(F.sum("w").alias("w")).where(F.col("__lost") + F.col("w") >= F.col("__total") * copy_share).select("__k", "__t")
+
+
+def remove_boilerplate(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", copy_from: float = COPY_FROM, copy_share: float = COPY_SHARE, **limits: int) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and the columns n_removed and is_copy.
 
     Null texts stay null. A text that loses nothing stays as it is, byte for byte; another keeps its other lines as they
-    are, joined by newlines. Repeated rows are treated alike. Clashing columns of the new names are replaced.
+    are, joined by newlines. Repeated rows are treated alike. Clashing columns of the new names are replaced. An empty
+    table stays one. Texts are taken whole, however long.
     """
     spread, _ = written(spark, spread_lines(spark, docs, text, site, **limits), "spread-lines")
     kept = without(docs, "n_removed", "is_copy")
-    few = spread.count() <= BROADCAST_LINES
-    # Which lines of which text: texts are told apart by key and hash, and only places are shuffled.
-    at = kept.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__t"), F.posexplode(line_keys(F.col(text))).alias("__p", "k")).select("__k", "__t", "__p", F.col("k.h").alias("h"), F.col("k.w").alias("w"))
-    hits = at.join(F.broadcast(spread) if few else spread, "h").groupBy("__k", "__t").agg(F.sort_array(F.collect_set(F.struct(F.col("__p").alias("p"), "w"))).alias("s"))
-    # One mark for each line up to the last that is hit, so that lines and marks pair up in one pass however many there are.
-    mark = F.transform("s", lambda e, i: F.concat(F.repeat(F.lit("0"), e["p"] - F.when(i > 0, F.get(F.col("s"), i - 1)["p"]).otherwise(-1) - 1), F.lit("1")))
-    places = hits.select(F.col("__k").alias("__k2"), F.col("__t").alias("__t2"), F.size("s").alias("__n"), F.aggregate("s", F.lit(0), lambda a, e: a + e["w"]).alias("__lost"), F.split(F.array_join(mark, ""), "").alias("__marks"))
-    joined = kept.withColumns({"__k": F.col(key), "__t": F.xxhash64(text)}).join(places, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__t") == F.col("__t2")), "left")
-    total = F.length(text) - F.length(F.translate(F.col(text), " \n", "")) + 1
-    drop = F.col("__n").isNotNull() & (F.col("__lost") < total * F.lit(copy_share))
-    rest = F.filter(F.zip_with(F.split(F.col(text), "\n"), "__marks", lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda e: e["x"].isNotNull() & ~e["m"].eqNullSafe("1"))
-    cut = joined.withColumn("__drop", F.coalesce(drop, F.lit(False)))
-    cut = cut.withColumns(
-        {
-            text: F.when(F.col("__drop"), F.array_join(F.transform(rest, lambda e: e["x"]), "\n")).otherwise(F.col(text)),
-            "n_removed": F.when(F.col("__drop"), F.col("__n")).otherwise(0),
-            "is_copy": F.col("__n").isNotNull() & ~F.col("__drop"),
-        }
+    marked = marked_lines(spark, kept, spread, key, text)
+    hit = F.filter(F.zip_with("__lines", "__marks", lambda k, m: F.when(m, k["w"])), lambda w: w.isNotNull())
+    marked = marked.withColumn("__hit", F.coalesce(hit, F.array().cast("array<int>"))).withColumns(
+        {"__lost": F.aggregate("__hit", F.lit(0), lambda a, w: a + w), "__total": F.aggregate("__lines", F.lit(0), lambda a, k: a + k["w"])}
     )
-    return cut.select(*[F.col(f"`{c}`") for c in kept.columns], "n_removed", "is_copy")
+    copies, _ = written(spark, whole_copies(spark, marked, key, text, copy_from, copy_share), "whole-copies")
+    few = copies.count() <= BROADCAST_LINES
+    copies = copies.select(F.col("__k").alias("__k2"), F.col("__t").alias("__t2"), F.lit(True).alias("__whole"))
+    joined = marked.join(F.broadcast(copies) if few else copies, F.col(key).eqNullSafe(F.col("__k2")) & (F.col("__t") == F.col("__t2")), "left")
+    has = F.coalesce(F.size("__hit") > 0, F.lit(False))
+    copy = has & (F.col("__whole").isNotNull() | (F.col("__lost") >= F.col("__total") * copy_share))
+    cut = joined.withColumns({"__has": has, "__copy": copy})
+    rest = F.filter(F.zip_with(F.split(F.col(text), "\n"), "__marks", lambda x, m: F.when(~m.eqNullSafe(True), x)), lambda x: x.isNotNull())
+    drop = F.col("__has") & ~F.col("__copy")
+    out = {text: F.when(drop, F.array_join(rest, "\n")).otherwise(F.col(text)), "n_removed": F.when(drop, F.size("__hit")).otherwise(0), "is_copy": F.col("__copy")}
+    return cut.withColumns(out).select(*[F.col(f"`{c}`") for c in kept.columns], "n_removed", "is_copy")
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -98,27 +139,37 @@ def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return remove_boilerplate(spark, docs.select("doc_id", "text", "source")).select("doc_id", "text", "n_removed", "is_copy")
 
 
+_W = "string_split(line, ' ')"
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, text, source, i, string_split(text, chr(10))[i] AS raw,
          trim(string_split(text, chr(10))[i], ' ' || chr(9) || chr(13)) AS line
   FROM (SELECT doc_id, text, source, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), worded AS (
-  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS w FROM lines
+  SELECT *, CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, ' ', '')) + 1 END AS w FROM lines
 ), spread AS (
   SELECT line FROM worded WHERE w >= {MIN_WORDS} AND source IS NOT NULL GROUP BY line, w
   HAVING count(DISTINCT source) >= CASE WHEN w >= {LONG_WORDS} THEN {LONG_SITES} ELSE {MIN_SITES} END
 ), marked AS (
   SELECT *, line IN (SELECT line FROM spread) AS hit FROM worded
 ), judged AS (
-  SELECT doc_id, text, count(*) FILTER (hit) AS hits,
-         coalesce(sum(w) FILTER (hit), 0) >= {COPY_SHARE} * (length(text) - length(replace(replace(text, ' ', ''), chr(10), '')) + 1) AS much,
+  SELECT doc_id, text, count(*) FILTER (hit) AS hits, coalesce(sum(w) FILTER (hit), 0) AS lost, sum(w) AS total,
          string_agg(raw, chr(10) ORDER BY i) FILTER (NOT hit) AS rest
   FROM marked GROUP BY doc_id, text
+), pieces AS (
+  SELECT doc_id, text, lost, total, i, w, hit, unnest(CASE WHEN w < {PIECE} THEN [line]
+    WHEN w < {2 * PIECE} THEN [array_to_string({_W}[1:{PIECE}], ' '), array_to_string({_W}[-{PIECE}:], ' ')]
+    ELSE [array_to_string({_W}[1:{PIECE}], ' '), array_to_string({_W}[{PIECE + 1}:{2 * PIECE}], ' '), array_to_string({_W}[-{PIECE}:], ' '), array_to_string({_W}[-{2 * PIECE}:-{PIECE + 1}], ' ')] END) AS piece
+  FROM marked JOIN judged USING (doc_id, text) WHERE line <> '' AND lost > 0 AND lost >= {COPY_FROM} * total
+), shared AS (
+  SELECT piece FROM pieces GROUP BY piece HAVING count(DISTINCT (doc_id, text)) > 1
+), near AS (
+  SELECT doc_id, text, sum(w) AS w FROM (SELECT DISTINCT doc_id, text, i, w FROM pieces SEMI JOIN shared USING (piece) WHERE NOT hit) GROUP BY 1, 2
+), copied AS (
+  SELECT j.*, hits > 0 AND lost + coalesce(near.w, 0) >= {COPY_SHARE!r}::DOUBLE * total AS whole FROM judged j LEFT JOIN near ON j.doc_id = near.doc_id AND j.text = near.text
 )
-SELECT doc_id, CASE WHEN hits > 0 AND NOT much THEN coalesce(rest, '') ELSE text END AS text,
-       CAST(CASE WHEN hits > 0 AND NOT much THEN hits ELSE 0 END AS INTEGER) AS n_removed,
-       hits > 0 AND much AS is_copy
-FROM judged
+SELECT doc_id, CASE WHEN hits > 0 AND NOT whole THEN coalesce(rest, '') ELSE text END AS text,
+       CAST(CASE WHEN hits > 0 AND NOT whole THEN hits ELSE 0 END AS INTEGER) AS n_removed, whole AS is_copy
+FROM copied
 UNION ALL SELECT doc_id, text, 0, FALSE FROM documents WHERE text IS NULL
 """

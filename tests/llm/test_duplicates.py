@@ -77,21 +77,39 @@ def test_op3_equals_its_sql(spark, tiny):
     assert_same(queries()["op3_line_dedup"](spark, tiny), oracle_sql()["op3_line_dedup"], tiny)
 
 
-def test_spread_lines_go_and_copies_stay(spark):
-    passage = " ".join(f"w{i}" for i in range(60))
-    own = [f"an own line of the document number {i} with more words than that and then some\nand another one {i} that is here only for its length of words, so that the passage is the smaller part of it all, " + " ".join(f"x{i}y{j}" for j in range(60)) for i in range(12)]
-    carriers = [f"{t}\n  {passage} \nlast {i}" for i, t in enumerate(own)]
+def test_spread_lines_go_and_copies_stay(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passage = line(60)
+    own = [f"{line(40)}\n{line(9)}" for _ in range(12)]
+    carriers = [f"{t}\n  {passage} \nlast {i}" for i, t in enumerate(own)]  # more than half of each is the passage
     copies = ["a copied document of one line\nand of another line"] * 10
-    texts = [*carriers, *copies, None, "", "short", "short", "One\n\nTwo"]
-    out = line_dedup.remove_boilerplate(spark, documents(spark, texts, [f"s{i % 10}" for i in range(len(texts))]).withColumn("N_Removed", F.lit(1)))
-    got = {r.doc_id: (r.text, r.n_removed, r.is_copy) for r in out.collect()}
-    for i, t in enumerate(carriers):
-        assert got[i] == (f"{own[i]}\nlast {i}", 1, False)
-    assert all(got[12 + i] == (copies[0], 0, True) for i in range(10))
-    assert [got[i][:2] for i in range(22, 27)] == [(None, 0), ("", 0), ("short", 0), ("short", 0), ("One\n\nTwo", 0)]
+    base = [line(30) for _ in range(6)]
+    near = ["\n".join([*base[:k], base[k].replace(base[k].split()[15], word()), *base[k + 1 :]]) for k in range(6)]
+    texts = [*carriers, *copies, *near, None, "", "short", "short", "One\n\nTwo"]
+    docs = documents(spark, texts, [f"s{i % 10}" for i in range(len(texts))]).withColumn("N_Removed", F.lit(1))
+    for lines in (line_dedup.SET_LINES, 0):  # judged in place, and by a join
+        monkeypatch.setattr(line_dedup, "SET_LINES", lines)
+        got = {r.doc_id: (r.text, r.n_removed, r.is_copy) for r in line_dedup.remove_boilerplate(spark, docs).collect()}
+        for i, t in enumerate(carriers):
+            assert got[i] == (f"{own[i]}\nlast {i}", 1, False)
+        assert all(got[12 + i] == (copies[0], 0, True) for i in range(10))
+        assert all(got[22 + i] == (near[i], 0, True) for i in range(6))
+        assert [got[i][:2] for i in range(28, 33)] == [(None, 0), ("", 0), ("short", 0), ("short", 0), ("One\n\nTwo", 0)]
     assert line_dedup.remove_boilerplate(spark, documents(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_boilerplate_of_short_and_very_long_texts(spark):
+    line = "all rights reserved by whoever it was that wrote this"
+    rows = [(i, f"own words {i}\n{line}") for i in range(9)] + [(20, f"{line}\n" + "\n".join(f"line number {j} of a long text" for j in range(30_000)))]
+    got = {r.doc_id: r for r in line_dedup.remove_boilerplate(spark, documents(spark, rows, [f"s{i}" for i in range(10)])).collect()}
+    assert [got[i].text for i in range(9)] == [f"own words {i}" for i in range(9)]
+    assert got[20].n_removed == 1 and len(got[20].text) == len(rows[-1][1]) - len(line) - 1
+    none = documents(spark, [(None, "x y z"), (None, "x y z"), (1, None)]).withColumn("source", F.lit(None).cast("string"))
+    assert sorted(r.n_removed for r in line_dedup.remove_boilerplate(spark, none).collect()) == [0, 0, 0]
+
+
 def near_texts(r, originals, copies, edits, length=300):
     """Texts with groups of copies of which up to so many words are replaced."""
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
