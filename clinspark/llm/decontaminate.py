@@ -14,8 +14,9 @@ changed word costs the words of the item that no window covers any more, not the
 item if such matches cover ``share`` of the item's words or windows, or at least ``enough`` windows of a longer item.
 
 All of it is DataFrame operations. Before windows are built, each position of a document is held against the hashes of
-the first ``anchor`` words of all item windows, a set that is only used while the benchmark is below a checked size;
-beyond that every window is built and the join shuffles. Neither way drops a match.
+the first ``anchor`` words of all item windows: a set in the plan while the benchmark is small, a broadcast table of them
+up to a checked number of rows. Beyond that every window's hash is shuffled to the benchmark's, with the document's key
+and the place alone; the words are fetched for the documents that have a match. No way drops a match.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BAND = 16
 LITERALS = 4
 #: Item windows up to which their anchors are put into the plan as a set.
 ANCHORS = 50_000
+#: Different anchors up to which a table of them is broadcast (about 50 bytes each).
+BROADCAST_ANCHORS = 2_000_000
 #: Words for units.
 UNITS = (
     "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -122,20 +125,52 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, te
     if few:
         for r in windows.select("form", F.least("width", F.lit(ANCHOR)).alias("first"), "anchor").distinct().collect():  # at most ANCHORS hashes
             anchors.setdefault((r["form"], r["first"]), []).append(r["anchor"])
+    kinds = sorted({(r["form"], min(r["width"], ANCHOR)) for r in sorts})
+
+    def read(form: int) -> Column:
+        return F.col("template" if form == TEMPLATE else "words")
+
+    def anchor_at(form: int, first: int, i: Column) -> Column:
+        return F.xxhash64(*[F.get(read(form), i + k) for k in range(first)])
+
+    def widths_of(form: int, first: int) -> list[int]:
+        return sorted(r["width"] for r in sorts if (r["form"], min(r["width"], ANCHOR)) == (form, first))
+
+    def place(form: int, i: Column, w: Column) -> Column:
+        return F.struct(F.lit(form).alias("form"), i.alias("at"), w.alias("width"))
 
     def places(form: int, first: int) -> Column:
         """form, at and width of the windows of this form that may be an item's: ``first`` words of each are looked up."""
-        read, known = F.col("template" if form == TEMPLATE else "words"), anchors.get((form, first), [])
-        widths = F.array(*[F.lit(r["width"]) for r in sorts if (r["form"], min(r["width"], ANCHOR)) == (form, first)])
-        found = F.sequence(F.lit(0), F.size(read) - 1)
-        if few:
-            found = F.filter(found, lambda i: F.xxhash64(*[F.get(read, i + k) for k in range(first)]).isin(known))
-        return F.flatten(F.transform(found, lambda i: F.transform(widths, lambda w: F.struct(F.lit(form).alias("form"), i.alias("at"), w.alias("width")))))
+        widths = F.array(*map(F.lit, widths_of(form, first)))
+        found = F.filter(F.sequence(F.lit(0), F.size(read(form)) - 1), lambda i: anchor_at(form, first, i).isin(anchors[form, first]))
+        return F.flatten(F.transform(found, lambda i: F.transform(widths, lambda w: place(form, i, w))))
 
-    kinds = sorted({(r["form"], min(r["width"], ANCHOR)) for r in sorts})
-    all_places = F.concat(*[places(*k) for k in kinds]) if kinds else F.array().cast("array<struct<form:int,at:int,width:int>>")
+    def hashed_places(form: int, first: int) -> Column:
+        """All windows of this form, with the hashes of their first words and of the whole."""
+        widths = F.array(*map(F.lit, widths_of(form, first)))
+
+        def one(i: Column) -> Column:
+            anchor = anchor_at(form, first, i)
+            whole = lambda w: F.xxhash64(F.lit(form), F.slice(read(form), i + 1, w))
+            return F.transform(widths, lambda w: F.struct(place(form, i, w).alias("p"), anchor.alias("anchor"), whole(w).alias("hash")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(read(form)) - 1), one))
+
+    no_place = F.array().cast("array<struct<form:int,at:int,width:int>>")
     # Consistency is a matter of one text; equal keys with different texts stay apart by its hash.
-    at = t.select("key", F.xxhash64("words").alias("of"), "slots", "words", "template", F.explode(all_places).alias("p"))
+    t = t.withColumn("of", F.xxhash64("words"))
+    if few:
+        at = t.select("key", "of", "slots", "words", "template", F.explode(F.concat(*[places(*k) for k in kinds]) if kinds else no_place).alias("p"))
+    else:
+        near = t.select("key", "of", F.explode(F.concat(*[hashed_places(*k) for k in kinds])).alias("e")).select("key", "of", "e.*")
+        known = windows.select("anchor").distinct()
+        if known.count() <= BROADCAST_ANCHORS:
+            near = near.join(F.broadcast(known), "anchor", "left_semi")
+        hashes = windows.select("hash").distinct()
+        near = near.select("key", "of", "p", "hash").join(hashes, "hash", "left_semi").groupBy("key", "of").agg(F.collect_set("p").alias("ps"))
+        near, _ = written(spark, near.withColumnsRenamed({"key": "__key", "of": "__of"}), "window-places")
+        same = F.col("key").eqNullSafe(F.col("__key")) & (F.col("of") == F.col("__of"))
+        at = t.join(near, same).select("key", "of", "slots", "words", "template", F.explode("ps").alias("p"))
     shaped = F.col("p.form") == TEMPLATE
     cut = lambda c: F.slice(c, F.col("p.at") + 1, F.col("p.width"))
     made = at.select(

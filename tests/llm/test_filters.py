@@ -45,9 +45,13 @@ def test_whole_passages_equal_brute_force(spark):
 def test_a_large_benchmark_takes_the_shuffled_way_to_the_same_rows(spark, monkeypatch):
     docs, bench = documents(spark, [QUESTION, "x " + QUESTION.replace("15", "16")]), items(spark, QUESTION)
     small = {tuple(r) for r in decontaminate.op2(spark, docs, bench).collect()}
+    whole = {tuple(r) for r in queries()["op2_decontamination"](spark, "/root/testdata/sf0.001").collect()}
     monkeypatch.setattr(decontaminate, "ANCHORS", 0)
-    assert {tuple(r) for r in decontaminate.op2(spark, docs, bench).collect()} == small
-    assert len(small) == 2
+    for anchors in (decontaminate.BROADCAST_ANCHORS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ANCHORS", anchors)
+        assert {tuple(r) for r in decontaminate.op2(spark, docs, bench).collect()} == small
+        assert {tuple(r) for r in queries()["op2_decontamination"](spark, "/root/testdata/sf0.001").collect()} == whole
+    assert len(small) == 2 and whole
 
 
 def test_empty_tables(spark):
