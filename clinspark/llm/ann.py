@@ -7,8 +7,11 @@ only where no kept edge leads closer (by the factor ``alpha``), back edges are a
 become distances by one more coordinate that brings all vectors of a shard to the same length.
 
 Queries run a beam search in every shard; the shards' best are merged, and scores are exact inner products of the original
-vectors in double precision. Queries travel in chunks, each (chunk, shard) pair in a task of its own, so neither the
-queries nor the index ever lie in one place.
+vectors in double precision. A shard's graph travels once, to the task that searches it, and the queries stream past it
+there in batches; each is a narrow row, and only its best of a shard leave the task.
+
+Null and empty vectors, those that are all zero and those with a null or non-finite component take no part. Vectors of
+another number of dimensions are no candidates. Repeated rows are candidates each; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +36,8 @@ ALPHA = 1.2
 #: A table has at least this many shards, and more once a shard would hold more vectors than this.
 SHARDS = 12
 SHARD_ROWS = 65_536
-QUERY_CHUNK = 2_048
+#: Bytes of vectors that a shard holds, so that its graph fits one row.
+SHARD_BYTES = 64 << 20
 STEP = 256
 
 
@@ -182,8 +187,10 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 def build_index(spark: SparkSession, rows: DataFrame, keep: int, shards: int | None = None) -> tuple[DataFrame, int]:
     """Rows of a written index: shard, its graph and vectors, and the ids of each vector. All usable rows are indexed."""
     ship_package(spark)
-    distinct, _ = written(spark, distinct_vectors(rows.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), keep), "vectors")
-    count = shards or max(SHARDS, math.ceil(distinct.count() / SHARD_ROWS))
+    usable_rows = rows.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    distinct, _ = written(spark, distinct_vectors(usable_rows, keep), "vectors")
+    n, most = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    count = shards or max(SHARDS, math.ceil(n / min(SHARD_ROWS, SHARD_BYTES // (8 * (most or 1)) or 1)))
     placed = distinct.select(F.pmod(F.xxhash64("embedding"), F.lit(count)).cast("int").alias("shard"), "embedding", "ids")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
@@ -205,48 +212,72 @@ def build_index(spark: SparkSession, rows: DataFrame, keep: int, shards: int | N
     return index, count
 
 
+class Shard:
+    """A shard's graph with the ids of its vectors, as read from a row of the index."""
+
+    def __init__(self, row: dict):
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dims"])
+        self.graph = Graph(Graph.lifted(self.x), np.frombuffer(row["edges"], np.int32).reshape(row["n"], -1), row["entry"])
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def nearest(self, own: np.ndarray, y: np.ndarray, k: int, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and exact scores of the k nearest found for each query, its own row left out."""
+        found, _ = self.graph.search(self.graph.lift_queries(y), beam, min(k + 1, len(self.x)))
+        for i, v, nodes in zip(own.tolist(), y, found, strict=True):
+            nodes = nodes[nodes >= 0]
+            c = np.concatenate([self.ids[self.first[n] : self.first[n] + self.sizes[n]] for n in nodes])
+            s = np.repeat(np.einsum("ij,j->i", self.x[nodes], v), self.sizes[nodes])
+            c, s = c[c != i], s[c != i]
+            top = np.lexsort((c, -s))[:k]
+            yield c[top], s[top]
+
+
 def search(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest, its own row left out; ties to the smaller id."""
-    usable_q = queries.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"))
-    n = usable_q.count()
-    chunks = max(1, math.ceil(n / QUERY_CHUNK))
-    dealt = usable_q.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+    asked = queries.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("query_id"), "embedding", F.size("embedding").alias("dims"))
     keys = index.select((F.col("shard") + 0).alias("shard"), (F.col("dims") + 0).alias("dims"))
-    # The stated queries meet every shard, chunk by chunk; the index side repeats by chunk, not by query.
-    asked = dealt.join(F.broadcast(keys), "dims")  # a row for each graph, checked small: one per SHARD_ROWS vectors
-    repeated = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(q) and len(g):
-            n, dims = int(g["n"].iat[0]), int(g["dims"].iat[0])
-            x = np.frombuffer(g["vectors"].iat[0], np.float64).reshape(n, dims)
-            graph = Graph(Graph.lifted(x), np.frombuffer(g["edges"].iat[0], np.int32).reshape(n, -1), int(g["entry"].iat[0]))
-            sizes = np.frombuffer(g["sizes"].iat[0], np.int64)
-            ids = np.frombuffer(g["ids"].iat[0], np.int64)
-            first = np.cumsum(sizes) - sizes
-            for lo in range(0, len(q), STEP):
-                part = q.iloc[lo : lo + STEP]
-                y = np.array(part["embedding"].tolist(), dtype=np.float64)
-                found, _ = graph.search(graph.lift_queries(y), beam, min(k + 1, n))
-                for own, v, nodes in zip(part["query_id"].tolist(), y, found, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    scores = np.einsum("ij,j->i", x[nodes], v)
-                    c = np.concatenate([ids[first[i] : first[i] + sizes[i]] for i in nodes])
-                    s = np.repeat(scores, sizes[nodes])
-                    c, s = c[c != own], s[c != own]
-                    top = np.lexsort((c, -s))[:k]
-                    out["query_id"].append(np.full(len(top), own))
-                    out["vec_id"].append(c[top])
-                    out["score"].append(s[top])
-        return pd.DataFrame({name: np.concatenate(x) if x else np.zeros(0, float if name == "score" else int) for name, x in out.items()})
-
-    found = asked.groupBy("shard", "dims", "chunk").cogroup(repeated.groupBy("shard", "dims", "chunk")).applyInPandas(run, "query_id long, vec_id long, score double")
+    # The stated queries meet every shard: a row of ids and components for each, and one row for each graph.
+    graph = [f.name for f in index.schema if f.name not in ("shard", "dims")]
+    none = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in graph]
+    asked = asked.join(F.broadcast(keys), "dims").select("shard", "dims", F.lit(1).alias("part"), "query_id", "embedding", *none)
+    held = index.select("shard", "dims", F.lit(0).alias("part"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast(queries.schema["embedding"].dataType).alias("embedding"), *graph)
+    rows = held.unionByName(asked).repartition("shard", "dims").sortWithinPartitions("shard", "dims", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
+        at: tuple[int, int] | None = None
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            place = list(zip(batch.column("shard").to_pylist(), batch.column("dims").to_pylist(), strict=True))
+            lo = 0
+            while lo < len(part):
+                if part[lo] == 0:
+                    shard, at = Shard({c: batch.column(c)[lo].as_py() for c in ("dims", *graph)}), place[lo]
+                    lo += 1
+                    continue
+                hi = lo
+                while hi < len(part) and part[hi] and place[hi] == place[lo] and hi - lo < STEP:
+                    hi += 1
+                if shard is not None and at == place[lo]:
+                    own = batch.column("query_id")[lo:hi].to_numpy()
+                    y = np.array(batch.column("embedding")[lo:hi].to_pylist(), dtype=np.float64)
+                    top = list(shard.nearest(own, y, k, beam))
+                    names = np.repeat(own, [len(c) for c, _ in top])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.concatenate([c for c, _ in top]), pa.int64()), pa.array(np.concatenate([s for _, s in top]), pa.float64())], names=["query_id", "vec_id", "score"])
+                lo = hi
+
+    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4(spark: SparkSession, embeddings: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id and score for every query row (vec_id divisible by 20) against all rows."""
+    """query_id, rank, vec_id and score for every query row (vec_id divisible by 20) against all rows.
+
+    Without a usable vector there are no rows; with fewer candidates than ``k`` all of them. Other columns don't matter.
+    """
+    embeddings = embeddings.select("vec_id", "embedding")
     index, _ = build_index(spark, embeddings, k + 1)
     return search(spark, index, embeddings.where(F.col("vec_id") % 20 == 0), k)

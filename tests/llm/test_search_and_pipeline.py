@@ -40,6 +40,16 @@ def test_ties_repeats_and_unusable_vectors(spark):
         assert [(r.vec_id, pytest.approx(r.score)) for r in got if r.query_id == q] == want[q]
 
 
+def test_repeated_rows_other_lengths_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 50, [float(i % 7), 1.0]) for i in range(90)] + [(200, [1.0, 2.0, 3.0]), (201, [3.0, 2.0, 1.0])]
+    e = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).withColumns({"shard": F.lit("x"), "DIMS": F.lit(1), "query_id": F.lit(7)})
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.op4(spark, e).collect()}
+    assert got[200, 1] == (201, 10.0) and (200, 2) not in got
+    assert {q for q, _ in got} == {0, 20, 40, 200} and all((q, 20) in got for q in (0, 20, 40))
+
+
 def test_few_candidates(spark):
     got = ann.op4(spark, spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], VECTORS)).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 2.0)]
