@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are read into classes: insult and threat (learned, weighted), target, negation and reported speech (closed lists in
-four languages). Five small transducers over the classes are composed into one deterministic machine that reads a clause
-from left to right: it carries whether a target, a negation or a reporting verb came shortly before, and turns each hit
-into one of a few patterns (plain, at a target, negated, reported). A clause adds the weight of its strongest hit under
-its pattern; a document's score is a logistic function of these sums.
+Words are read into classes: insult (learned, weighted), threat, target, negation and reported speech (closed lists in four
+languages). Each class has a transducer of its own, built apart: those of target, negation and reported speech mark the
+words that they reach; that of threats joins a threat with a target before or after it; that of insults turns a hit with
+its marks into a pattern (plain, at a target, negated, reported). :func:`compose` chains them, the output of one being the
+input of the next, and :func:`compiled` gives the composition as one table of numbered states. A clause adds the weight of
+its strongest hit under its pattern; a document's score is a logistic function of these sums.
 
 Learned from a bounded sample of labelled rows: which word forms and word beginnings (stems, so that inflected forms
 match too) mark insults, and the weight of each pattern. The words of a text are all that a score depends on.
@@ -16,8 +17,8 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Hashable, Iterator
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,10 +29,8 @@ from pyspark.sql import types as T
 
 from clinspark.llm.common import remove, ship_package, without, written
 
-#: Labelled rows that a fit takes at most, by the hash of their id.
+#: Labelled rows that a fit takes at most, by the hash of their id. What is learned from them is bounded by them.
 SAMPLE_ROWS = 20_000
-#: Patterns that a lexicon holds at most, strongest first.
-LEXICON = 4096
 #: Word beginnings of these lengths are tried as stems.
 STEMS = range(3, 11)
 KEPT_WORDS = 150_000
@@ -42,9 +41,94 @@ TARGETS = frozenset("you your yours yourself u ya he she they him her them his t
 NEGATIONS = frozenset("not no never nobody isn aren wasn don doesn didn nicht kein keine nie niemals pas jamais aucun aucune nunca jamás ningún ninguna tampoco".split())
 REPORTS = frozenset("said says say called calls told tells wrote writes quoted quote claims claimed accused sagte sagt nannte nennt schrieb zitierte dit disait appelle appelait écrit dijo dice llamó llama escribió".split())
 THREATS = frozenset("kill hurt destroy beat stab shoot murder burn töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split())
-#: How many words a target, a negation or a reporting verb reaches.
-REACH = {"target": 4, "negation": 3, "report": 6}
+#: How many words a target, a negation or a reporting verb reaches, and a threat its target.
+REACH = {"target": 4, "negation": 3, "report": 6, "threat": 3}
 PATTERNS = ("plain", "target", "negated", "reported")
+KINDS = ("hit", "threat", "target", "negation", "report", "end", "other")
+NONE = -1
+THREAT_WEIGHT = 1.0
+
+
+class Symbol(NamedTuple):
+    """What the transducers read and write: a word's class, its marks, and the pattern that it completes."""
+
+    kind: str
+    target: bool = False
+    negation: bool = False
+    report: bool = False
+    pattern: int = NONE
+
+
+class Machine(NamedTuple):
+    """A deterministic transducer: its first state, and what a state and a symbol lead to and write."""
+
+    start: Hashable
+    step: Callable[[Hashable, Symbol], tuple[Hashable, Symbol]]
+
+
+def marker(kind: str) -> Machine:
+    """Marks the words that a word of this kind reaches. The state: how many words more."""
+
+    def step(left: int, x: Symbol) -> tuple[int, Symbol]:
+        out = x._replace(**{kind: left > 0})
+        return REACH[kind] if x.kind == kind else 0 if x.kind == "end" else max(0, left - 1), out
+
+    return Machine(0, step)
+
+
+def pattern_of(x: Symbol) -> int:
+    return 3 if x.report else 2 if x.negation else 1 if x.target else 0
+
+
+def threats() -> Machine:
+    """A threat at a target that came before it, or comes within reach after. The state: how long a threat still waits."""
+
+    def step(left: int, x: Symbol) -> tuple[int, Symbol]:
+        if x.kind == "end":
+            return 0, x
+        if x.kind == "threat":
+            at = pattern_of(x)
+            return (0, x._replace(pattern=1)) if at == 1 else (REACH["threat"] if at == 0 else 0, x)
+        if x.kind == "target" and left:
+            return 0, x._replace(pattern=1)
+        return max(0, left - 1), x
+
+    return Machine(0, step)
+
+
+def insults() -> Machine:
+    """A hit under the pattern that its marks show; it needs no state."""
+    return Machine(0, lambda s, x: (s, x._replace(pattern=pattern_of(x)) if x.kind == "hit" else x))
+
+
+def compose(a: Machine, b: Machine) -> Machine:
+    """``b`` reads what ``a`` writes; associative."""
+
+    def step(state: tuple, x: Symbol) -> tuple[tuple, Symbol]:
+        left, y = a.step(state[0], x)
+        right, z = b.step(state[1], y)
+        return (left, right), z
+
+    return Machine((a.start, b.start), step)
+
+
+@lru_cache(maxsize=1)
+def compiled() -> tuple[list[dict[str, int]], list[dict[str, int]]]:
+    """The composition of the five as tables: next state and pattern for each numbered state (0 first) and class."""
+    m = reduce(compose, (marker("target"), marker("negation"), marker("report"), threats(), insults()))
+    number, to, out = {m.start: 0}, [], []
+    states = [m.start]
+    for state in states:
+        to.append({})
+        out.append({})
+        for kind in KINDS:
+            new, y = m.step(state, Symbol(kind))
+            if new not in number:
+                number[new] = len(states)
+                states.append(new)
+            to[-1][kind] = number[new]
+            out[-1][kind] = y.pattern
+    return to, out
 
 
 class Hit(NamedTuple):
@@ -58,13 +142,14 @@ FEATURES = len(PATTERNS) + 3
 
 
 class Grammar:
-    """The composed machine. A state is how far each of the three contexts still reaches."""
+    """The composed machine with a lexicon of weighted words and stems."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         self.known: dict[str, tuple[str, float] | None] = {}
-        self.step: dict[tuple[tuple[int, int, int], str], tuple[tuple[int, int, int], int]] = {}
+        self.to, self.out = compiled()
+        self.rest = max(REACH.values())
 
     def kind(self, word: str) -> tuple[str, float] | None:
         """The class of a lower-case word and its weight; an accepted stem is the longest that the word begins with."""
@@ -97,26 +182,6 @@ class Grammar:
             self.known[word] = k
         return k
 
-    def read(self, state: tuple[int, int, int], kind: str) -> tuple[tuple[int, int, int], int]:
-        """The next state and the pattern that a hit shows (-1: none)."""
-        key = (state, kind)
-        to = self.step.get(key)
-        if to is None:
-            t, n, r = (max(0, x - 1) for x in state)
-            out = -1
-            if kind in ("hit", "threat"):
-                out = 3 if state[2] else 2 if state[1] else 1 if state[0] else 0
-            elif kind == "target":
-                t = REACH["target"]
-            elif kind == "negation":
-                n = REACH["negation"]
-            elif kind == "report":
-                r = REACH["report"]
-            elif kind == "end":
-                t = n = r = 0
-            to = self.step[key] = ((t, n, r), out)
-        return to
-
     def clauses(self, text: str) -> Iterator[list[Hit]]:
         """The hits of each clause that has any; a threat counts where it has a target."""
         tokens = WORD.findall(text.lower())
@@ -124,24 +189,21 @@ class Grammar:
         kinds = [known[t] if t in known else kind(t) for t in tokens]
         if not any(k is not None and k[0] in ("hit", "threat") for k in set(kinds)):
             return
-        state, hits, idle = (0, 0, 0), [], 0
+        to, out, rest = self.to, self.out, self.rest
+        state, hits, idle = 0, [], 0
         for word, k in zip(tokens, kinds, strict=True):
             if k is None:
                 idle += 1
                 continue
-            if idle:
-                t, n, r = state
-                state = (max(0, t - idle), max(0, n - idle), max(0, r - idle))
-                idle = 0
-            state, pattern = self.read(state, k[0])
-            if k[0] == "end":
-                if hits:
-                    yield hits
-                    hits = []
-            elif k[0] == "hit":
-                hits.append(Hit(pattern, k[1], word))
-            elif k[0] == "threat" and pattern == 1:
-                hits.append(Hit(1, 1.0, word))
+            for _ in range(min(idle, rest)):  # by then nothing reaches any more
+                state = to[state]["other"]
+            idle = 0
+            pattern, state = out[state][k[0]], to[state][k[0]]
+            if pattern != NONE:
+                hits.append(Hit(pattern, k[1] if k[0] == "hit" else THREAT_WEIGHT, word))
+            elif k[0] == "end" and hits:
+                yield hits
+                hits = []
         if hits:
             yield hits
 
@@ -149,7 +211,7 @@ class Grammar:
         """What a score depends on.
 
         For each pattern, the sum of the matched clauses' strongest weights (damped); then the strongest weight, the
-        number of matched clauses (damped), and the weights of all different words that matched.
+        number of matched clauses, and the weights of all different words that matched (both damped).
         """
         sums, most, n = [0.0] * len(PATTERNS), 0.0, 0
         words: dict[str, float] = {}
@@ -159,7 +221,7 @@ class Grammar:
             most = max(most, h.weight)
             n += 1
             words.update((x.word, x.weight) for x in hits)
-        return [*map(math.log1p, sums), most, math.log1p(n), min(sum(words.values()), 40.0)]
+        return [*map(math.log1p, sums), most, math.log1p(n), math.log1p(sum(words.values()))]
 
 
 def stems_of(word: str) -> Iterator[str]:
@@ -214,16 +276,16 @@ def count_contexts(labelled: DataFrame, forms: list[str], text: str = "text") ->
 
 
 def learn_lexicon(rows: DataFrame, positives: int, negatives: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that mark the label, with their log-odds, if too strong for chance. A bounded top list is collected.
+    """Words and stems that mark the label, with their log-odds, if too strong for chance.
 
-    Copies of one text are no further evidence: a form must follow many different words. A stem must be productive,
+    The strong forms are collected: no more than the sample, which bounds them, has. Copies of one text are no further evidence: a form must follow many different words. A stem must be productive,
     that is, no single word may make up most of it; it is as long as its coverage allows.
     """
     p = positives / (positives + negatives)
     n = F.col("pos") + F.col("neg")
     odds = F.log((F.col("pos") + 0.5) / (positives + 1.0)) - F.log((F.col("neg") + 0.5) / (negatives + 1.0))
     strong = count_forms(rows).where("pos >= 4").withColumns({"odds": odds, "precision": F.col("pos") / n}).where("odds > 1.5")
-    top = strong.orderBy(F.desc("pos"), F.desc("odds"), "form").limit(LEXICON).collect()
+    top = sorted(strong.collect(), key=lambda r: (-r["pos"], -r["odds"], r["form"]))
     contexts = {r["form"]: r["contexts"] for r in count_contexts(rows.where("label = 1"), [r["form"] for r in top]).collect()}
 
     def evident(r) -> bool:
@@ -362,7 +424,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document.
+
+    Null and empty texts score as texts without matches; repeated rows score alike, each with its row; other columns, of
+    whatever name, are not read. Texts are scored whole.
+    """
     model = fit(training_rows(docs, labels))
     out = model.score_documents(docs.select("doc_id", "text"), out="score")
     return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))

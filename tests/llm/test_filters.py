@@ -114,9 +114,100 @@ def test_grammar_tells_contexts_apart():
     assert kinds("she said it. A zork!") == ["plain"]
     assert kinds("blargung, blargst") == ["plain", "plain"]
     assert kinds("kill the lights") == [] and kinds("you, kill") == ["target"]
+    assert kinds("will kill you all") == ["target"] and kinds("not kill you") == [] and kinds("kill it. You") == []
     assert kinds("") == [] and g.features("nothing") == [0.0] * toxicity.FEATURES
 
 
+def plain_features(text, lexicon, stems):
+    """What a score depends on, clause by clause and word by word, by looking back at the words before."""
+    sums, most, n, words = [0.0] * 4, 0.0, 0, {}
+    tokens = re.findall(r"[^\W\d_]+|[.!?;:\n]", text.lower())
+    clauses, clause = [], []
+    for t in tokens:
+        if t in ".!?;:\n":
+            clauses.append(clause)
+            clause = []
+        else:
+            clause.append(t)
+    for clause in [*clauses, clause]:
+        weight = [lexicon.get(t) or next((stems[t[:k]] for k in range(len(t), 0, -1) if t[:k] in stems), None) for t in clause]
+        free = lambda i: weight[i] is None and clause[i] not in toxicity.THREATS
+        near = lambda i, kind, reach: any(free(j) and clause[j] in kind for j in range(max(0, i - reach), i))
+        negation, report = toxicity.NEGATIONS - toxicity.TARGETS, toxicity.REPORTS - toxicity.TARGETS - toxicity.NEGATIONS
+        hits, waits = [], None
+        for i, t in enumerate(clause):
+            pattern = 3 if near(i, report, 6) else 2 if near(i, negation, 3) else 1 if near(i, toxicity.TARGETS, 4) else 0
+            if weight[i] is not None:
+                hits.append((pattern, weight[i], t))
+            elif t in toxicity.THREATS:
+                waits = i if pattern == 0 else None
+                if pattern == 1:
+                    hits.append((1, 1.0, t))
+            elif t in toxicity.TARGETS and waits is not None and i - waits <= 3:
+                hits.append((1, 1.0, t))
+                waits = None
+        if hits:
+            best = max(hits, key=lambda h: h[1])
+            sums[best[0]] += best[1]
+            most, n = max(most, best[1]), n + 1
+            words.update({h[2]: h[1] for h in hits})
+    import math
+
+    return [*map(math.log1p, sums), most, math.log1p(n), math.log1p(sum(words.values()))]
+
+
+def test_features_equal_brute_force():
+    r = random.Random(21)
+    lexicon, stems = {"zork": 5.0, "fib": 2.5}, {"blarg": 4.0, "bla": 3.0}
+    parts = ["zork", "fib", "blargung", "blau", "you", "not", "said", "kill", "hurt", "word", "other", "a", ".", "!", "\n", ",", "1", "You", "never", "du", "il", "x"]
+    grammar = toxicity.Grammar(lexicon, stems)
+    for _ in range(3000):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        assert grammar.features(text) == pytest.approx(plain_features(text, lexicon, stems)), text
+
+
+def test_composition_is_associative():
+    import itertools
+
+    a, b, c = toxicity.marker("target"), toxicity.marker("report"), toxicity.threats()
+    left, right = toxicity.compose(toxicity.compose(a, b), c), toxicity.compose(a, toxicity.compose(b, c))
+    for kinds in itertools.product(("threat", "target", "report", "end", "other"), repeat=4):
+        s, t = left.start, right.start
+        for k in kinds:
+            s, x = left.step(s, toxicity.Symbol(k))
+            t, y = right.step(t, toxicity.Symbol(k))
+            assert x == y
+    to, out = toxicity.compiled()
+    assert len(to) == len(out) and all(set(row) == set(toxicity.KINDS) for row in to)
+
+
+def test_op9_equals_a_plain_scorer(spark):
+    import math
+    import zlib
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(toxicity.training_rows(docs, labels))
+    got = {r.doc_id: r for r in queries()["op9_toxicity"](spark, d).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        z = sum(w * x for w, x in zip(model.weights, [*plain_features(t or "", model.words, model.stems), 1.0], strict=True))
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_repeated_documents_and_clashing_columns_are_scored(spark, edge_texts):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(1, "a text"), (1, "a text"), (2, "you zork")]).withColumns({"SCORE": F.lit("x"), "label": F.lit(3), "predicted": F.lit(9)})
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.op9(docs, labels).collect()
+    assert [r.doc_id for r in sorted(got)] == [1, 1, 2] and got[0].__fields__ == ["doc_id", "held_out", "score", "predicted"]
+    scored = toxicity.Toxicity({"zork": 5.0}, {}, [1.0] * toxicity.FEATURES + [-3.0]).score_documents(docs, out="score")
+    assert scored.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "predicted", "score"]
+
+
 def test_odd_training_tables(spark, edge_texts):
     docs = documents(spark, edge_texts)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(3, 12)] + [(None, 1, 1), (5, 1, None), (4, 0, 1)], "doc_id long, quality int, toxic int")
