@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import preserve_case
+from clinspark.operators import fuzzy
 
 #: Own small tables: text as read, text as meant.
 CONFUSIONS = {"arnodarone": "amiodarone", "dally": "daily", "metforrnin": "metformin", "asprin": "aspirin", "diabetis": "diabetes"}
@@ -42,11 +43,12 @@ def candidate_score(distance: Column, term: Column, seen: Column, boost: Column)
 
 
 def top_candidates(tokens: DataFrame, key: Sequence[str], token: str, lexicon: DataFrame, term: str, boost: str, limit: int = 2, k: int = 5) -> DataFrame:
-    """The k best terms within ``limit`` edits; exact ones are found by an equi join, the rest in length bands."""
-    exact = tokens.join(F.broadcast(lexicon), F.col(token) == F.col(term)).withColumn("distance", F.lit(0))
-    rest = tokens.join(lexicon.select(F.col(term).alias("__x")), F.col(token) == F.col("__x"), "left_anti").withColumn("__b", F.explode(F.sequence(F.length(token) - limit, F.length(token) + limit)))
-    fuzzy = rest.join(F.broadcast(lexicon.withColumn("__b", F.length(term))), "__b").withColumn("distance", F.levenshtein(F.col(token), F.col(term), limit)).where("distance >= 0").drop("__b")
-    both = exact.unionByName(fuzzy).withColumn("score", candidate_score(F.col("distance"), F.col(term), F.col(token), F.col(boost)))
+    """The k best terms within ``limit`` edits; tokens that are terms have themselves alone, the rest join by deletion neighbourhoods."""
+    exact = tokens.join(lexicon, F.col(token) == F.col(term)).withColumn("distance", F.lit(0))
+    rest = tokens.join(lexicon.select(F.col(term).alias("__x")), F.col(token) == F.col("__x"), "left_anti")
+    near = fuzzy.near_pairs(rest, token, lexicon, term, limit)
+    found = rest.join(near, token).join(lexicon, term)
+    both = exact.unionByName(found).withColumn("score", candidate_score(F.col("distance"), F.col(term), F.col(token), F.col(boost)))
     w = Window.partitionBy(*key).orderBy(F.desc("score"), term)
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

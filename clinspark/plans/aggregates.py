@@ -161,12 +161,12 @@ def not_selected(spark, d):
 
 @query("""
 WITH s AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal AS v, 1 AS version FROM supplier),
-n AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v, 2 AS version FROM customer WHERE c_custkey <= 50),
+n AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v, 2 AS version FROM customer),
 u AS (SELECT * FROM n UNION ALL SELECT * FROM s WHERE id NOT IN (SELECT id FROM n))
 SELECT * FROM u WHERE id NOT IN (SELECT n_nationkey FROM nation)""")
 def upsert_delete(spark, d):
     s = scan(spark, d, "supplier").selectExpr("s_suppkey AS id", "s_name AS name", "s_acctbal AS v", "1 AS version")
-    n = scan(spark, d, "customer").where("c_custkey <= 50").selectExpr("c_custkey AS id", "c_name AS name", "c_acctbal AS v", "2 AS version")
+    n = scan(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS name", "c_acctbal AS v", "2 AS version")
     return delete(upsert(s, n, "id", "version"), scan(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id"), "id")
 
 
@@ -238,9 +238,9 @@ def paired_export(spark, d):
 
 
 @query("""
-SELECT c_mktsegment AS class, list_sort(list(c_name)) AS names FROM customer WHERE c_custkey <= 200 GROUP BY 1""")
+SELECT c_mktsegment AS class, list_sort(list(c_name)) AS names FROM customer GROUP BY 1""")
 def drug_categories(spark, d):
-    return scan(spark, d, "customer").where("c_custkey <= 200").groupBy(F.col("c_mktsegment").alias("class")).agg(F.sort_array(F.collect_list("c_name")).alias("names"))
+    return scan(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("class")).agg(F.sort_array(F.collect_list("c_name")).alias("names"))
 
 
 @query("""

@@ -46,12 +46,16 @@ def gaps_and_islands(spark, d):
 
 
 @query("""
-WITH h AS (SELECT user_id, event_id, ts, sha256(CAST(event_id AS VARCHAR) || '|' || event_type || '|' || props) AS record_hash FROM events)
-SELECT event_id, record_hash, coalesce(lag(record_hash) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'GENESIS') AS prev_hash, TRUE AS content_ok, TRUE AS link_ok FROM h""")
+WITH h AS (SELECT user_id, event_id, ts, sha256(CAST(event_id AS VARCHAR) || '|' || event_type || '|' || props) AS record_hash FROM events),
+l AS (SELECT *, lag(record_hash) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM h),
+t AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'forged' ELSE coalesce(before, 'GENESIS') END AS prev_hash FROM l)
+SELECT event_id, record_hash, prev_hash, event_id % 89 <> 0 AS content_ok, prev_hash = coalesce(before, 'GENESIS') AS link_ok FROM t""")
 def hash_chain_verify(spark, d):
+    """Chains of events, some of which were changed after they were hashed, and some of whose links were forged."""
     payload = ["event_id", "event_type", "props"]
     built = ordered.chain(scan(spark, d, "events"), "user_id", ["ts", "event_id"], payload)
-    return ordered.verify_chain(built, "user_id", ["ts", "event_id"], payload).select("event_id", "record_hash", "prev_hash", "content_ok", "link_ok")
+    changed = built.withColumns({"props": F.when(F.col("event_id") % 89 == 0, F.concat("props", F.lit("!"))).otherwise(F.col("props")), "prev_hash": F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("prev_hash"))})
+    return ordered.verify_chain(changed, "user_id", ["ts", "event_id"], payload).select("event_id", "record_hash", "prev_hash", "content_ok", "link_ok")
 
 
 @query("""
@@ -62,10 +66,17 @@ def conversation_context(spark, d):
     return c.where("role = 'assistant'").select("conv_id", "turn", "asked")
 
 
-@query()
+@query("""
+WITH w AS (SELECT o_custkey AS doc_id, 10.0 * (o_orderkey % 40) + CASE WHEN o_orderkey % 3 = 0 THEN 1000.0 ELSE 0.0 END + 5.0 * (o_custkey % 7) AS cx, 20.0 + o_orderkey % 11 AS w FROM orders),
+g AS (SELECT *, lag(cx) OVER (PARTITION BY doc_id ORDER BY cx) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY cx) AS i FROM w),
+s AS (SELECT doc_id, count(*) AS n, avg(w) AS a, max(cx) - min(cx) AS span, max(cx - before) AS gap FROM g GROUP BY 1),
+b AS (SELECT g.doc_id, (cx + before) / 2 AS split, i, n, row_number() OVER (PARTITION BY g.doc_id ORDER BY i) AS r FROM g JOIN s ON g.doc_id = s.doc_id AND cx - before = gap WHERE gap > greatest(3.2 * a, 0.12 * span))
+SELECT doc_id, CAST(split AS DOUBLE) AS split FROM b WHERE r = 1 AND i - 1 >= 4 AND n - i + 1 >= 4""")
 def lane_split(spark, d):
-    """Where a page's words fall into two lanes."""
-    words = text_rules.plain_text_words(scan(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    """Where the entries of a page, laid out in one or two lanes, fall apart."""
+    k, page = F.col("o_orderkey"), F.col("o_custkey")
+    cx = 10.0 * (k % 40) + F.when(k % 3 == 0, 1000.0).otherwise(0.0) + 5.0 * (page % 7)
+    words = scan(spark, d, "orders").select(page.alias("doc_id"), cx.alias("cx"), (20.0 + k % 11).alias("w"))
     return ordered.lanes(words, "doc_id", "cx", "w")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions import distance
 from clinspark.functions.scalar import bed_key, canonical_token, cer, civil_id_key, fix_digraphs, js_round, list_values, metric_key, name_key, preserve_case, text_density
-from clinspark.operators import learning, records, text_rules
+from clinspark.operators import fuzzy, learning, records, text_rules
 from clinspark.sources.store import scan
 
 QUERIES, SQL = {}, {}
@@ -88,21 +88,19 @@ m AS (SELECT c_custkey, term, levenshtein(replace(c_name, 'Customer', 'Supplier'
       FROM q JOIN lex ON abs(length(replace(c_name, 'Customer', 'Supplier')) - length(term)) <= 2)
 SELECT c_custkey, term, CAST(dist AS INTEGER) AS dist FROM m WHERE r = 1 AND dist <= 2""")
 def fuzzy_lexicon_match(spark, d):
-    """The nearest term within two edits; the lexicon is as small as its list and is broadcast, lengths meet in bands."""
-    lex = scan(spark, d, "supplier").select(F.col("s_name").alias("term")).distinct().withColumn("band", F.explode(F.sequence(F.length("term") - 2, F.length("term") + 2)))
-    q = scan(spark, d, "customer").select("c_custkey", F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Supplier")).alias("seen")).withColumn("band", F.length("seen"))
-    m = q.join(lex, "band").withColumn("dist", F.levenshtein("seen", "term", 2)).where("dist >= 0")
-    return m.withColumn("r", F.row_number().over(Window.partitionBy("c_custkey").orderBy("dist", "term"))).where("r = 1").select("c_custkey", "term", "dist")
+    """The nearest term within two edits, by deletion neighbourhoods."""
+    lex = scan(spark, d, "supplier").select(F.col("s_name").alias("term"))
+    q = scan(spark, d, "customer").select("c_custkey", F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Supplier")).alias("seen"))
+    return q.join(fuzzy.nearest_terms(q, "seen", lex, "term", 2), "seen").select("c_custkey", "term", F.col("distance").alias("dist"))
 
 
 @query()
 def ocr_distance_match(spark, d):
-    """Names against a lexicon by confusion-aware distance; the native lower bound comes first."""
-    lex = scan(spark, d, "supplier").select(F.col("s_name").alias("term")).distinct()
+    """The nearest name of a lexicon by confusion-aware distance of at most 2; edits of canonical tokens bound it from below."""
+    lex = scan(spark, d, "supplier").select(F.col("s_name").alias("term"))
     q = scan(spark, d, "customer").select("c_custkey", F.replace(F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Supp1ier")), F.lit("0"), F.lit("O")).alias("seen"))
-    lex, q = (t.withColumn("key", F.substring(canonical_token(F.col(c)), 1, 8)) for t, c in ((lex, "term"), (q, "seen")))
-    m = q.join(lex, "key").where(distance.within(F.col("seen"), F.col("term"), 1.0)).withColumn("dist", distance.ocr_distance(F.col("seen"), F.col("term"))).where("dist <= 2")
-    return m.withColumn("r", F.row_number().over(Window.partitionBy("c_custkey").orderBy("dist", "term"))).where("r = 1").select("c_custkey", "term", F.round("dist", 6).alias("dist"))
+    near = fuzzy.nearest_by_weight(q, "seen", lex, "term", canonical_token, distance.ocr_distance, 2.0)
+    return q.join(near, "seen").select("c_custkey", "term", F.round("distance", 6).alias("dist"))
 
 
 @query("""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_tlv(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -32,18 +34,17 @@ def read_tlv(data: bytes) -> Iterator[tuple[str, bytes]]:
 
 
 def tlv_elements(table: DataFrame, key: str, data: str) -> DataFrame:
-    """key, place, tag and value of every element of a binary column."""
-
-    @F.udtf(returnType="place int, tag string, value binary")
-    class Elements:
-        def eval(self, raw: bytes):
-            for i, (tag, value) in enumerate(read_tlv(bytes(raw or b""))):
-                yield i, tag, value
-
-    spark = table.sparkSession
-    spark.udtf.register("clinspark_tlv", Elements)
-    table.select(F.col(key).alias("k"), F.col(data).alias("d")).createOrReplaceTempView("clinspark_tlv_rows")
-    return spark.sql(f"SELECT k AS {key}, place, tag, value FROM clinspark_tlv_rows, LATERAL clinspark_tlv(d)")
+    """key, place, tag and value of every element of a binary column; a null has none."""
+    kind = table.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("place", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("value", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, place, tag, value) for i, raw in enumerate(batch.column(1).to_pylist()) for place, (tag, value) in enumerate(read_tlv(raw or b""))]
+            rows, places, tags, values = zip(*found, strict=True) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(tags, pa.string()), pa.array(values, pa.binary())], names=schema.names)
+
+    return table.select(key, data).mapInArrow(run, schema)
 
 
 def mrz_lines(text: Column) -> Column:
