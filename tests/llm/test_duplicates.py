@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from helpers import components, documents, shingles, simhash
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -64,7 +65,9 @@ def test_every_choice_of_blocks_is_exact():
         assert blocks - 4 == agree
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("hub", [1_000, 20])
+def test_components_equal_union_find(spark, monkeypatch, hub):
+    monkeypatch.setattr(C, "HUB_EDGES", hub)
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(7000, 7000)]
     rows = spark.createDataFrame([*edges, (None, 4), (4, None)], "src long, dst long")
