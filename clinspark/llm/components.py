@@ -5,23 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import remove, written
+from clinspark.llm.common import join_counted, remove, written
 
 MAX_ROUNDS = 60
-#: A node of more edges than this is a hub, and of more than one in so many of all edges; so hubs are at most 2 * HUB_SHARE.
-HUB_EDGES = 1_000
-HUB_SHARE = 50_000
-
-
-def _meet(rows: DataFrame, minima: DataFrame, on: str, edges: int) -> DataFrame:
-    """``rows`` with the minimum of their node. Hubs, few by their definition, are broadcast, so no task gets all rows of one."""
-    limit = max(HUB_EDGES, edges // HUB_SHARE)
-    hubs = minima.where(F.col("degree") > limit)
-    there = rows.join(F.broadcast(hubs.select(on, "r")), on)
-    rest = rows.join(F.broadcast(hubs.select(on)), on, "left_anti").join(minima.where(F.col("degree") <= limit).select(on, "r"), on)
-    return there.unionByName(rest)
-
-
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node, component for every node of ``edges`` (src, dst); the component is the least node of its own.
 
@@ -42,10 +28,10 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         # Large step. u > v: each edge seen from both ends.
         both = current.select(F.col("u").alias("n"), F.col("v").alias("m")).union(current.select(F.col("v").alias("n"), F.col("u").alias("m")))
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r"), F.count("*").alias("degree"))
-        large = _meet(both.where("m > n"), least, "n", before[0]).select(F.col("m").alias("u"), F.col("r").alias("v")).distinct()
+        large = join_counted(both.where("m > n"), least, "n", "degree", 2 * before[0]).select(F.col("m").alias("u"), F.col("r").alias("v")).distinct()
         # Small step: u keeps its least neighbour, and hands it to the others.
         root = large.groupBy("u").agg(F.min("v").alias("r"), F.count("*").alias("degree"))
-        small = _meet(large, root, "u", before[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("r").alias("v")), F.struct("u", F.col("r").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = join_counted(large, root, "u", "degree", 2 * before[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("r").alias("v")), F.struct("u", F.col("r").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new, at = written(spark, small, "edges")
         state = _state(new)
         remove(spark, path)

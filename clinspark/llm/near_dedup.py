@@ -1,11 +1,14 @@
-"""Near-duplicate removal by wide SimHash: five-word shingles, a Jaccard similarity of 0.8 or more, one document of each group.
+"""Near-duplicate removal by wide SimHash: five-word shingles, a similarity of 0.8 or more, one document of each group.
+
+The similarity is the cosine of the two sets of different shingles, which is what SimHash estimates: the shared ones over
+the root of the product of the sizes. For texts of one length 0.8 is a Jaccard similarity of 2/3.
 
 1. Each different set of shingles is a node, with a SimHash of 512 bits over its different shingles (64 bits can't tell a
    similarity of 0.8 from 0.7), and with shards named by min-hash triples: sets of a similarity of 0.8 share one of
-   twelve with a probability of 0.9998.
+   twenty with a probability of at least 0.997.
 2. In a shard, a BK-tree over the fingerprints gives a spanning forest of the pairs within ``RADIUS``, the distance that
-   belongs to a similarity of 0.65. At 0.8 the distance is larger for one pair in some ten thousand. These are candidates
-   only; their components are loose classes.
+   belongs to a similarity of 0.8 and 3.5 standard deviations more. These are candidates only; their components are loose
+   classes.
 3. The members of a loose class travel once more, with the hashes of their shingles. A BK-tree proposes pairs, nearest
    first, and the exact similarity of the two sets decides. Pairs that are linked by others already need no look, so a
    class of n copies takes about n comparisons.
@@ -26,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinspark.llm.common import ship_package, written
+from clinspark.llm.common import join_counted, ship_package, written
 from clinspark.llm.components import connected_components
 from clinspark.llm.simhash import BKTree, forest, shingle_hashes
 
 WORDS = 8
-KEYS, PER_KEY = 12, 3
+KEYS, PER_KEY = 20, 3
 STEP = 8_160
 SIMILARITY = 0.8
 #: Bytes of pivots that a broadcast may hold; beyond, the join shuffles.
@@ -53,12 +56,13 @@ _MINS = _constants(KEYS * PER_KEY, 23)
 _JOIN = _constants(PER_KEY, 37)
 
 
-def radius_of(similarity: float, bits: int = 64 * WORDS) -> int:
-    """The expected Hamming distance of two sets of this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def radius_of(similarity: float, deviations: float = 3.5, bits: int = 64 * WORDS) -> int:
+    """The expected Hamming distance of two sets of this cosine similarity, and so many standard deviations more."""
+    p = math.acos(similarity) / math.pi
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-RADIUS = radius_of(0.65)
+RADIUS = radius_of(SIMILARITY)
 
 
 def sketch(hashes: list[int]) -> tuple[int, bytes, list[int], bytes]:
@@ -132,10 +136,10 @@ def _pairs(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
 
-def candidates(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
+def candidates(members: DataFrame, radius: int, max_shard: int, total: int) -> DataFrame:
     """src, dst: a spanning forest of each shard's pairs within the radius. members: shard, node, fingerprint, each node once in a shard."""
     sizes = members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    sized = members.join(sizes, "shard")
+    sized = join_counted(members, sizes, "shard", "size", total)
     groups = F.ceil(F.col("size") / max_shard).cast("int")
     own = F.pmod(F.xxhash64("node"), groups).cast("int")
     dealt = sized.withColumn("groups", groups).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
@@ -156,11 +160,9 @@ def candidates(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have at least this Jaccard similarity; empty ones are alike."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
+    """Whether two sorted sets have at least this cosine similarity; empty ones are alike."""
+    least = similarity * math.sqrt(len(a) * len(b))
+    return min(len(a), len(b)) >= least and len(np.intersect1d(a, b, assume_unique=True)) >= least
 
 
 def exact_links(block: list[tuple], radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -238,7 +240,7 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     marked, _ = written(spark, sketches(docs, key, text, width), "sketches")
     row = F.struct("key", "text_hash")
     distinct, _ = written(spark, marked.groupBy("node").agg(F.min(row).alias("least"), F.min_by("fingerprint", row).alias("fingerprint"), F.min_by("shards", row).alias("shards")), "distinct-sketches")
-    pairs, _ = written(spark, candidates(distinct.select(F.explode("shards").alias("shard"), "node", "fingerprint"), radius, max_shard), "candidates")
+    pairs, _ = written(spark, candidates(distinct.select(F.explode("shards").alias("shard"), "node", "fingerprint"), radius, max_shard, KEYS * distinct.count()), "candidates")
     loose, _ = written(spark, connected_components(spark, pairs), "loose-classes")
     named = loose.join(distinct.select("node", "least", "fingerprint"), "node")
     first = marked.select("node", row.alias("least"), "shingles").dropDuplicates(["node", "least"]) if _repeats(marked) else marked.select("node", row.alias("least"), "shingles")

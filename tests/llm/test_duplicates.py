@@ -5,8 +5,8 @@ from helpers import components, documents, shingles, simhash
 from oracle import assert_same
 from pyspark.sql import functions as F
 
+from clinspark.llm import common, line_dedup, near_dedup
 from clinspark.llm import components as C
-from clinspark.llm import line_dedup, near_dedup
 from clinspark.llm import simhash as S
 from clinspark.llm.queries import oracle_sql, queries
 
@@ -67,7 +67,7 @@ def test_every_choice_of_blocks_is_exact():
 
 @pytest.mark.parametrize("hub", [1_000, 20])
 def test_components_equal_union_find(spark, monkeypatch, hub):
-    monkeypatch.setattr(C, "HUB_EDGES", hub)
+    monkeypatch.setattr(common, "HOT_ROWS", hub)
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(7000, 7000)]
     rows = spark.createDataFrame([*edges, (None, 4), (4, None)], "src long, dst long")
@@ -131,14 +131,15 @@ def near_texts(r, originals, copies, edits, length=300):
 
 def exact_classes(texts, width=5, least=0.8):
     s = [set(shingles(t, width)) for t in texts]
-    alike = lambda a, b: len(a & b) >= least * len(a | b)
+    alike = lambda a, b: len(a & b) >= least * (len(a) * len(b)) ** 0.5
     return components(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if alike(s[i], s[j])])
 
 
-def test_near_classes_equal_brute_force(spark):
-    texts = near_texts(random.Random(3), 30, 8, 14)
+def test_near_classes_equal_brute_force(spark, monkeypatch):
+    texts = near_texts(random.Random(3), 30, 8, 24)
     want = exact_classes(texts)
     for options in ({}, {"max_block": 4, "max_shard": 5}):
+        monkeypatch.setattr(common, "HOT_ROWS", 3 if options else 1_000)
         got = {x.doc_id: x.class_id for x in near_dedup.classes(spark, documents(spark, texts), **options).collect()}
         assert got == want
     kept = {x.doc_id for x in near_dedup.deduplicate(spark, documents(spark, texts)).collect()}
@@ -146,7 +147,7 @@ def test_near_classes_equal_brute_force(spark):
 
 
 def test_a_large_class_is_held_against_one_member(spark):
-    texts = near_texts(random.Random(5), 2, 150, 9)
+    texts = near_texts(random.Random(5), 2, 150, 16)
     want = exact_classes(texts)
     got = {x.doc_id: x.class_id for x in near_dedup.classes(spark, documents(spark, texts), max_block=20, max_shard=40).collect()}
     assert got == want
