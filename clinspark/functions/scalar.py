@@ -133,6 +133,12 @@ def mrz_check_digit(c: Column) -> Column:
     return F.aggregate(weighted, F.lit(0), lambda a, x: a + x) % 10
 
 
+def key_seed(number: Column, birth: Column, expiry: Column) -> Column:
+    """What a chip's access key is derived from: document number (filled up to nine), birth and expiry, each with its check digit."""
+    filled = F.rpad(F.upper(number), F.greatest(F.length(number), F.lit(9)), F.lit("<"))
+    return F.concat(*[F.concat(x, mrz_check_digit(x).cast("string")) for x in (filled, birth, expiry)])
+
+
 def mrz_date(c: Column, pivot: int) -> Column:
     """YYMMDD; years beyond the pivot belong to the 1900s. Null if there is no such day."""
     yy = F.substring(c, 1, 2).cast("int")

@@ -44,20 +44,45 @@ def apply_rules(text: Column, rules: Sequence[Rule] = TRIAGE_RULES) -> dict[str,
     return {"rule": best["code"], "outcome": best["outcome"], "confidence": best["confidence"], "conflict": F.size(F.array_distinct(F.transform(hits, lambda h: h["outcome"]))) > 1}
 
 
-#: Identifiers that are masked, in this order; the first that covers a place takes it.
-IDENTIFIERS = (("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"), ("CARD", "[0-9]{16}"), ("CIVIL_ID", "[123][0-9]{11}"), ("PHONE", "[0-9]{8}"))
+#: Identifiers that are masked, in this order; the first that covers a place takes it. {<} and {>} are borders of words, and
+#: a group is what is masked of a longer match.
+IDENTIFIERS = (
+    ("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"),
+    ("CARD", "{<}[0-9]{16}{>}"),
+    ("CIVIL_ID", "{<}[123][0-9]{11}{>}"),
+    ("MRN", "(?i)({<}(?:MRN|File|ID)[:\\s#]*)[0-9]{6,8}{>}"),
+    ("DOB", "(?i){<}(?:DOB|D[.]O[.]B|Date of Birth)[:\\s]*[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}{>}"),
+    ("PHONE", "(?:[+]965[ -]?)?{<}[0-9]{4}[ -]?[0-9]{4}{>}"),
+)
+
+
+def native_pattern(pattern: str) -> str:
+    """Borders of words of letters A to Z, digits and underscores, as Spark's patterns express them."""
+    return pattern.replace("{<}", "(?<![0-9A-Za-z_])").replace("{>}", "(?![0-9A-Za-z_])")
+
 
+def plain_pattern(pattern: str) -> str:
+    """The same for engines whose borders of words know those characters alone."""
+    return pattern.replace("{<}", "\\b").replace("{>}", "\\b")
 
-def mask(text: Column) -> Column:
-    for name, pattern in IDENTIFIERS:
-        text = F.regexp_replace(text, pattern, f"[{name}]")
+
+def mask(text: Column, identifiers: Sequence[tuple[str, str]] = IDENTIFIERS) -> Column:
+    for name, pattern in identifiers:
+        text = F.regexp_replace(text, native_pattern(pattern), ("$1" if name == "MRN" else "") + f"[{name}]")
     return text
 
 
-def tokenised(docs: DataFrame, key: str, text: str, kind: str, pattern: str) -> DataFrame:
-    """key, token (numbered within the document) and the identifier's hash: what a vault keeps instead of the value."""
-    found = docs.select(F.col(key), F.posexplode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))).alias("i", "v"))
-    return found.select(key, F.concat(F.lit(f"[{kind}_"), F.lpad(F.col("i").cast("string"), 4, "0"), F.lit("]")).alias("token"), F.sha2("v", 256).alias("hash"))
+def vault(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, token (numbered over all kinds of a document, in order of kind and place) and hash of every identifier that is masked."""
+
+    def of(k: int) -> Column:
+        name, pattern = IDENTIFIERS[k]
+        seen = F.regexp_extract_all(mask(F.col(text), IDENTIFIERS[:k]), F.lit(native_pattern(pattern)), F.lit(0))
+        return F.transform(seen, lambda v: F.struct(F.lit(name).alias("kind"), (F.regexp_extract(v, "[0-9]+$", 0) if name == "MRN" else v).alias("value")))
+
+    found = [of(k) for k in range(len(IDENTIFIERS))]
+    at = docs.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(F.concat(*found)).alias("i", "v"))
+    return at.select(key, F.concat(F.lit("["), F.col("v.kind"), F.lit("_"), F.lpad(F.col("i").cast("string"), 4, "0"), F.lit("]")).alias("token"), F.sha2("v.value", 256).alias("hash"))
 
 
 #: Vital signs and laboratory values in running text: name, pattern with one group.

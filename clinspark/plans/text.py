@@ -137,7 +137,7 @@ def rule_engine(spark, d):
 
 _MASK_SQL = "text"
 for _n, _p in text_rules.IDENTIFIERS:
-    _MASK_SQL = f"regexp_replace({_MASK_SQL}, '{_p}', '[{_n}]', 'g')"
+    _MASK_SQL = f"regexp_replace({_MASK_SQL}, '{text_rules.plain_pattern(_p)}', '{'{}1'.format(chr(92)) if _n == 'MRN' else ''}[{_n}]', 'g')"
 
 
 @query(f"SELECT doc_id, md5({_MASK_SQL}) AS masked, {_MASK_SQL} <> text AS changed FROM documents WHERE text IS NOT NULL")
@@ -146,10 +146,22 @@ def pii_shield(spark, d):
     return scan(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(m).alias("masked"), (m != F.col("text")).alias("changed"))
 
 
-@query()
+def _vault_sql() -> str:
+    text, found = "text", []
+    for name, pattern in text_rules.IDENTIFIERS:
+        plain = text_rules.plain_pattern(pattern)
+        value = "regexp_extract(v, '[0-9]+$')" if name == "MRN" else "v"
+        found.append(f"list_transform(regexp_extract_all({text}, '{plain}'), lambda v: {{'kind': '{name}', 'value': {value}}})")
+        text = f"regexp_replace({text}, '{plain}', '{chr(92) + '1' if name == 'MRN' else ''}[{name}]', 'g')"
+    return f"""
+WITH f AS (SELECT doc_id, unnest(list_concat({", ".join(found)})) AS v, generate_subscripts(list_concat({", ".join(found)}), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, '[' || v.kind || '_' || lpad(CAST(i AS VARCHAR), 4, '0') || ']' AS token, sha256(v.value) AS hash FROM f"""
+
+
+@query(_vault_sql())
 def pii_vault(spark, d):
-    """Numbered tokens and hashes of the addresses that were masked."""
-    return text_rules.tokenised(scan(spark, d, "documents"), "doc_id", "text", *text_rules.IDENTIFIERS[0])
+    """Numbered tokens and hashes of the identifiers that were masked."""
+    return text_rules.vault(scan(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""
