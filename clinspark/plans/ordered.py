@@ -95,7 +95,11 @@ def text_to_records(spark, d):
     return ordered.records_from_words(rows)
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT event_id, user_id, epoch(ts) / 3600.0 AS x, value AS y FROM events),
+e AS (SELECT a.event_id AS x, b.event_id AS y FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 36),
+r(id, x) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.x)
+SELECT id AS event_id, min(x) AS "group" FROM r GROUP BY 1""")
 def dbscan_groups(spark, d):
     """Events of a user that lie close in time and value."""
     e = scan(spark, d, "events").select("event_id", "user_id", (F.unix_timestamp("ts") / 3600.0).alias("x"), F.col("value").alias("y"))

@@ -120,7 +120,8 @@ def contains_inference(spark, d):
     return correction.infer_by_contains(scan(spark, d, "part").withColumn("t", F.concat("p_name", "p_type")), "p_partkey", "t", pairs, "needle", "outcome")
 
 
-@query()
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['septic shock', 'acute kidney injury'] WHEN 1 THEN ['kidney', 'shock'] WHEN 2 THEN ['pneumonia', 'pneumonia'] ELSE []::VARCHAR[] END AS found FROM customer""")
 def phrase_evidence(spark, d):
     """Clinical phrases in texts, longest first and without overlap."""
     lex = F.array(*[F.lit(x) for x in ("septic shock", "shock", "acute kidney injury", "kidney", "pneumonia")])
@@ -154,7 +155,10 @@ def relabelled_rows(spark, d):
     return layout.identity_scores(layout.relabel_rows(ordered.row_bands(words)))
 
 
-@query()
+@query("""
+WITH t AS (SELECT p_partkey AS doc_id, p_name || ' | ' || p_brand AS line, list_filter(string_split_regex(p_name || ' | ' || p_brand, '[|\\s]+'), lambda x: x <> '') AS ws FROM part),
+p AS (SELECT doc_id, line, ws, unnest(ws) AS text, generate_subscripts(ws, 1) - 1 AS part FROM t)
+SELECT doc_id, CAST(part AS INTEGER) AS part, text, round(least(coalesce(list_sum(list_transform(ws[1:part], lambda w: length(w) + 1)), 0) / length(line), 1.0) * 300.0, 6) AS x, round(length(text) / length(line) * 300.0, 6) AS w FROM p""")
 def split_words(spark, d):
     """A box for each word of a line, as wide as its share."""
     lines = scan(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" | ", "p_name", "p_brand").alias("text"), F.lit(0.0).alias("x"), F.lit(10.0).alias("y"), F.lit(300.0).alias("w"), F.lit(12.0).alias("h"))
@@ -168,7 +172,9 @@ def gap_epsilon(spark, d):
     return layout.gap_epsilon(scan(spark, d, "events"), "user_id", "value", 2.5, 0.5, 3.0).withColumn("eps", F.round("eps", 6))
 
 
-@query()
+@query("""
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey < 100 THEN lpad(CAST(c_custkey AS VARCHAR), 3, '0') ELSE CAST(c_custkey AS VARCHAR) END AS number FROM customer)
+SELECT c_custkey, 0 AS place, '5A' AS tag, number AS value FROM c UNION ALL SELECT c_custkey, 1, '5F1F', 'A' FROM c""")
 def tlv_decoding(spark, d):
     """Elements of binary card data."""
     digits = F.col("c_custkey").cast("string")

@@ -266,10 +266,17 @@ def gaussian_landscape(spark, d):
     return learning.gaussian_landscape(scan(spark, d, "embeddings"), "label", "embedding").withColumns({"mean": F.round("mean", 6), "variance": F.round("variance", 6)})
 
 
-@query()
+@query("""
+WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+g AS (SELECT label, dim, count(*) AS n, avg(v) AS m, CASE WHEN count(*) = 1 THEN 2.0 ELSE greatest(var_pop(v), 0.1 / sqrt(count(*))) END AS s FROM x WHERE label IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT vec_id, g.label, round(-0.5 * sum((v - m) * (v - m) / (s + 1e-8)) + 0.5 * ln(max(n) + 1), 6) AS score, max(abs(v - m) / sqrt(s + 1e-8)) AS z FROM x JOIN g USING (dim) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM s)
+SELECT vec_id, max(CASE WHEN r = 1 THEN label END) AS predicted, round(max(CASE WHEN r = 1 THEN score END), 3) AS score, round(max(CASE WHEN r = 1 THEN z END), 3) AS rejection,
+  round(least(greatest((max(CASE WHEN r = 1 THEN score END) - max(CASE WHEN r = 2 THEN score END)) / nullif(max(score) - min(score), 0), 0), 1), 3) AS confidence FROM r GROUP BY 1""")
 def gaussian_classifier(spark, d):
     e = scan(spark, d, "embeddings")
-    return learning.classify_landscape(e, "vec_id", "embedding", learning.gaussian_landscape(e, "label", "embedding"))
+    found = learning.classify_landscape(e, "vec_id", "embedding", learning.gaussian_landscape(e, "label", "embedding"))
+    return found.withColumns({c: F.round(c, 3) for c in ("score", "rejection", "confidence")})
 
 
 @query("""
@@ -290,7 +297,16 @@ def learned_boosts(spark, d):
     return e.select("event_type", F.round(learning.frequency_boost(F.col("n")), 6).alias("frequency"), F.round(learning.context_boost(F.col("u")), 6).alias("context"))
 
 
-@query()
+_MERGE = """CASE WHEN a.bed IS NOT NULL AND b.bed IS NOT NULL THEN a.bed = b.bed
+  WHEN levenshtein(a.name, b.name) <= 1 THEN TRUE WHEN a.gender <> b.gender THEN FALSE WHEN abs(a.age - b.age) > 8 THEN FALSE WHEN abs(a.age - b.age) <= 2 AND a.dx = b.dx THEN TRUE ELSE levenshtein(a.name, b.name) <= 2 END"""
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'B' || c_custkey % 400 END AS bed, c_mktsegment AS name, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
+  CAST(floor(abs(c_acctbal)) % 90 AS INTEGER) AS age, CAST(c_nationkey AS VARCHAR) AS dx FROM customer),
+e AS (SELECT a.id AS x, b.id AS y FROM c a JOIN c b ON a.bed = b.bed AND a.id <> b.id AND {_MERGE} UNION SELECT a.id, b.id FROM c a JOIN c b ON a.dx = b.dx AND a.name = b.name AND a.age // 3 = b.age // 3 AND a.id <> b.id AND {_MERGE}),
+r(id, x) AS (SELECT id, id FROM c UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.x)
+SELECT id, min(x) AS "group" FROM r GROUP BY 1""")
 def record_linkage(spark, d):
     """Customers as records with a bed, an age and a name, linked inside blocks and merged over chains of links."""
     c = scan(spark, d, "customer").select(
