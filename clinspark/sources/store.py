@@ -9,12 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(table: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; a local one where none is set (tests)."""
-    spark = table.sparkSession
+#: Own folders of local sessions, by application, where none is set.
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir; where it is unset, one below the warehouse, or a temporary one of a local session."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_clinspark"
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="clinspark-shared-")
+    return _own[sc.applicationId]
+
+
+def cut_lineage(table: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    sc = table.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clinspark-checkpoint-"))
+        sc.setCheckpointDir(shared_dir(table.sparkSession))
     return table.checkpoint()
 
 

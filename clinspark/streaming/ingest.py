@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a local one where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return at.rstrip("/") if at else "file://" + tempfile.mkdtemp(prefix="clinspark-stream-")
+from clinspark.sources.store import shared_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,27 +15,39 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
 
 
-def learn_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, n and total: state is a table that each micro-batch is merged into; the checkpoint knows what was learned.
+STATE = "user_id long, n long, total double"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    A batch writes a new version of the table under its own number, so a repeated batch gives the same table again.
+
+def merge_counts(batch: DataFrame, number: int, folder: str) -> None:
+    """Batch ``number`` on top of the state after the one before, as a version of its own.
+
+    It depends on nothing but the folder, so a batch that is repeated, in this process or after a restart, gives the same
+    version again.
     """
-    import uuid
+    new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    if number:
+        new = batch.sparkSession.read.schema(STATE).parquet(f"{folder}/state-{number - 1}").unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    new.write.mode("overwrite").parquet(f"{folder}/state-{number}")
 
-    base = f"{shared_dir(spark)}/clinspark-learner-{uuid.uuid4().hex}"
-    empty = spark.createDataFrame([], "user_id long, n long, total double")
-    state = {"path": None}
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        old = batch.sparkSession.read.parquet(state["path"]) if state["path"] else batch.sparkSession.createDataFrame([], empty.schema)
-        path = f"{base}/state-{number}"
-        old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).write.mode("overwrite").parquet(path)
-        state["path"] = path
+def learn_counts(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """user_id, n and total of all events so far: state is a table that each micro-batch is merged into.
 
-    run = event_stream(spark, sf_dir).writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    ``folder`` keeps state and checkpoint; with the same one a later run goes on where the last one ended. Without, a new
+    one is taken.
+    """
+    base = folder or f"{shared_dir(spark)}/clinspark-learner-{uuid.uuid4().hex}"
+    run = event_stream(spark, sf_dir).writeStream.foreachBatch(lambda batch, number: merge_counts(batch, number, base)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.read.parquet(state["path"]) if state["path"] else empty
+    last = -1
+    while _exists(spark, f"{base}/state-{last + 1}"):
+        last += 1
+    out = spark.read.schema(STATE).parquet(f"{base}/state-{last}") if last >= 0 else spark.createDataFrame([], STATE)
     return out.withColumn("total", F.round("total", 4))
 
 

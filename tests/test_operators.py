@@ -101,3 +101,28 @@ def test_stream_drops_repeats_and_counts_windows(spark, tiny, tmp_path):
     run = ingest.windowed_counts(stream, late="10 minutes").writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("windowed").agg(F.sum("n")).first()[0] == events.count() + 50
+
+
+def test_a_learner_goes_on_after_a_restart_and_a_repeated_batch(spark, tmp_path):
+    events = spark.createDataFrame([(i, i % 3, 1.5) for i in range(9)], "event_id long, user_id long, value double")
+    where, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/learner"
+    events.where("event_id < 5").coalesce(1).write.parquet(f"{where}/events.parquet")
+    source = lambda: str(tmp_path / "in" / "events.parquet")
+    import clinspark.streaming.ingest as I
+
+    schema = events.schema
+
+    def stream(_spark, d):
+        return spark.readStream.schema(schema).parquet(d)
+
+    before, I.event_stream = I.event_stream, stream
+    try:
+        first = {r.user_id: (r.n, r.total) for r in I.learn_counts(spark, source(), folder).collect()}
+        events.where("event_id >= 5").coalesce(1).write.mode("append").parquet(f"{where}/events.parquet")
+        second = {r.user_id: (r.n, r.total) for r in I.learn_counts(spark, source(), folder).collect()}
+        again = {r.user_id: (r.n, r.total) for r in I.learn_counts(spark, source(), folder).collect()}
+    finally:
+        I.event_stream = before
+    assert first == {0: (2, 3.0), 1: (2, 3.0), 2: (1, 1.5)} and second == again == {0: (3, 4.5), 1: (3, 4.5), 2: (3, 4.5)}
+    I.merge_counts(events.where("event_id >= 5"), 1, folder)
+    assert {r.user_id: r.n for r in spark.read.parquet(f"{folder}/state-1").collect()} == {0: 3, 1: 3, 2: 3}
