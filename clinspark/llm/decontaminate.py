@@ -206,7 +206,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "do
     # Two grids of bands, half a band apart, so that offsets within half a band meet in one; and each offset alone.
     cells = F.array(*[F.struct(F.lit(g).alias("grid"), c.cast("long").alias("cell")) for g, c in enumerate((shift, F.floor(shift / BAND), F.floor((shift + BAND // 2) / BAND)))])
     found = found.select("*", F.explode(cells).alias("c")).select("*", "c.grid", "c.cell").drop("c")
-    # The commonest document word for each item word of a run; ties to the lesser word.
+    # The commonest document word for each item word of a run; ties to the greater word.
     slots = found.select(*run, F.explode("slots").alias("s")).groupBy(*run, "s.kind", F.col("s.item").alias("item_word"), F.col("s.doc").alias("doc_word")).agg(F.count("*").alias("c"))
     best = slots.groupBy(*run, "kind", "item_word").agg(F.max_by("doc_word", F.struct("c", F.col("doc_word"))).alias("doc_word"))
     chosen = best.groupBy(*run).agg(F.collect_set(F.struct("kind", F.col("item_word").alias("item"), F.col("doc_word").alias("doc"))).alias("chosen"), F.sum((F.col("item_word") != F.col("doc_word")).cast("int")).alias("changed"))
