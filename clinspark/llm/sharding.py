@@ -11,12 +11,14 @@ points of the grid are beyond n, so the driver knows the longest walk exactly an
 
 from __future__ import annotations
 
+from collections import Counter
 from math import isqrt
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clinspark.llm.common import without
+
 #: Fixed values of the round function: a prime under 2**31, and eight rounds of (multiplier, addend).
 PRIME = 2_147_483_647
 ROUNDS = 8
@@ -98,26 +100,38 @@ def permuted(number: Column, n: int, seed: int = SEED) -> Column:
     return F.aggregate(walk, number.cast("long"), lambda x, i: F.when((i == 0) | (x >= long(n)), one(x)).otherwise(x))
 
 
+#: Parts that the rows of a hot key are dealt into, by the hash of their ties.
+KEY_PARTS = 16
+
+
 def numbered(docs: DataFrame, key: str, ties: list[str], out: str = "row_number", range_rows: int = 250_000) -> tuple[DataFrame, int]:
     """``docs`` with 0-based global row numbers in the order of the whole-number ``key``, then ``ties``, and their count.
 
     Nulls come first. A range has about ``range_rows`` rows, if there are fewer than 4096 ranges by that and more than
-    64. A table of fewer distinct keys than ranges has fewer ranges. Rows that are equal in key and ties take the
-    numbers of their places in any order.
+    64. A table of fewer distinct keys than ranges has fewer ranges. The rows of a key that fills a range or more, nulls
+    included, go by a hash of their ties first, in parts of their own. Rows that are equal in key and ties take the numbers
+    of their places in any order. A column named ``out`` is replaced.
     """
+    docs = without(docs, out)
     ranges = min(4096, max(64, docs.count() // range_rows))
-    cuts = docs.select(F.percentile_approx(key, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
+    quantiles = docs.select(F.percentile_approx(key, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias("c")).first()["c"] or []
+    cuts = sorted(set(quantiles))
+    hot = sorted(k for k, n in Counter(quantiles).items() if n > 1)
     span = F.coalesce(_bucket(F.col(key), cuts), F.lit(-1))
-    ranged = docs.withColumn("__range", span)
-    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()}  # at most `ranges` + 2 rows
+    many = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
+    part = F.when(many, F.pmod(F.xxhash64(*ties), F.lit(KEY_PARTS))).otherwise(F.lit(0)) if ties else F.lit(0)
+    # A hot key is the last of its range, so its parts follow the range's other rows.
+    late = F.col(key).isin(hot) if hot else F.lit(False)
+    ranged = docs.withColumns({"__range": span, "__part": F.when(late, part + 1).otherwise(part).cast("int")})
+    sizes = sorted((r["__range"], r["__part"], r["n"]) for r in ranged.groupBy("__range", "__part").agg(F.count("*").alias("n")).collect())  # at most KEY_PARTS + 1 rows a range
     before, starts = 0, []
-    for r in range(-1, len(cuts) + 1):
-        starts.append(before)
-        before += sizes.get(r, 0)
-    w = Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("__range") + 2)
-    return ranged.withColumn(out, F.row_number().over(w) - 1 + offset).drop("__range"), before
+    for r, p, n in sizes:
+        starts.append((r, p, before))
+        before += n
+    w = Window.partitionBy("__range", "__part").orderBy(F.col(key).asc_nulls_first(), *[F.col(t).asc_nulls_first() for t in ties])
+    offsets = docs.sparkSession.createDataFrame(starts, "__range int, __part int, __start long")
+    placed = ranged.join(F.broadcast(offsets), ["__range", "__part"]).withColumn(out, F.row_number().over(w) - 1 + F.col("__start"))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], out), before
 
 
 def _bucket(x: Column, cuts: list[int]) -> Column:
@@ -141,8 +155,10 @@ def shard_of(number: int, n: int, shards: int, seed: int = SEED) -> tuple[int, i
 def assign(spark: SparkSession, docs: DataFrame, shards: int, key: str = "doc_id", ties: list[str] | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with row_number, shard and slot; counts of shards are at most one apart, slots have no gaps.
 
-    An empty table gives an empty table.
+    Columns of these names are replaced. An empty table gives an empty table. Null keys come first; repeated rows have a
+    place each.
     """
+    docs = without(docs, "shard", "slot")
     rows, n = numbered(docs, key, ties or [])
     if not n:
         return rows.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})

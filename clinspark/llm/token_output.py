@@ -159,11 +159,11 @@ SEGMENTS = T.StructType(
 def segments(docs: DataFrame, path: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Segments of ``docs`` in ascending key order (null keys first; equal keys by their text's hash).
 
-    One shuffle, by ranges of the key; then each task sorts, tokenizes and packs its range. Null texts count as empty.
+    One shuffle, by ranges of the key and the text's hash, so that a key of many rows is split; then each task sorts, tokenizes and packs its range. Null texts count as empty.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    rows = rows.repartitionByRange(F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
     end = np.array([] if end_id is None else [end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,6 +92,20 @@ def test_null_and_repeated_keys_are_numbered(spark):
     assert len(got) == 5 and len({(r.shard, r.slot) for r in got}) == 5
 
 
+def test_a_key_of_all_rows_is_split_and_clashing_columns_are_replaced(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7, f"text {i}") for i in range(500)] + [(None, f"t {i}") for i in range(300)] + [(i, "x") for i in range(100)]
+    docs = documents(spark, rows).withColumns({"ROW_NUMBER": F.lit("a"), "Shard": F.lit("b"), "slot": F.lit("c")})
+    out = sharding.assign(spark, docs, 8, ties=["text"])
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "row_number", "shard", "slot"]
+    got = sorted(out.collect(), key=lambda r: r.row_number)
+    assert [r.row_number for r in got] == list(range(900))
+    keys = [r.doc_id for r in got]
+    assert keys == [None] * 300 + sorted(k for k in keys if k is not None)
+    assert {(r.shard, r.slot) for r in got} == {sharding.shard_of(i, 900, 8) for i in range(900)}
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
