@@ -42,6 +42,64 @@ def bed_key(c: Column) -> Column:
     return F.translate(F.upper(F.regexp_replace(c, "[ \\t]+", "")), "OQ|IL", "00111")
 
 
+def bed_text(c: Column) -> Column:
+    """A bed's name as sheets write it: ``Room 12``, ``Bed 3``, ``ICU-4``, ``A-M-07``, ``401-1``; anything else with its prefix spelled out."""
+    raw = F.trim(c)
+    compact = F.regexp_replace(raw, "\\s+", "")
+    up = F.upper(compact)
+    prefix = F.translate(F.regexp_extract(up, "^([A-Z0-9-]+?)([0-9]{1,3})$", 1), "01", "OI")
+    digits = F.regexp_extract(up, "^([A-Z0-9-]+?)([0-9]{1,3})$", 2)
+    canonical = F.regexp_replace(F.replace(F.upper(raw), F.lit("O"), F.lit("0")), "\\s+", "")
+    unit = "^(ICU|CCU|HDU|NICU|PICU)-?([0-9]{1,2})$"
+    spelled = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "(?i)^r[0o]{2}m\\s*", "Room "), "(?i)^rm\\s*", "Room "), "(?i)^bed\\s*", "Bed ")
+    return (
+        F.when(raw == "", raw)
+        .when(prefix.isin("ROOM", "RM"), F.concat(F.lit("Room "), digits))
+        .when(prefix.isin("BED", "B"), F.concat(F.lit("Bed "), digits))
+        .when(prefix.rlike("^(?:ICU|CCU|HDU|NICU|PICU)$"), F.concat(prefix, F.lit("-"), digits))
+        .when(canonical.rlike("^(?:[A-E]-[MF]-[0-9]{1,2}|[0-9]{1,3}-[0-9]{1,3}|[0-9][A-Z]-[0-9]{1,2})$"), canonical)
+        .when(up.rlike(unit), F.regexp_replace(up, unit, "$1-$2"))
+        .otherwise(F.trim(F.regexp_replace(spelled, "\\s+", " ")))
+    )
+
+
+def sheet_label(c: Column) -> Column:
+    """A header's label with blanks for underscores, colons and brackets, one slash between parts and ``no`` for number."""
+    steps = [("[_:]+", " "), ("[|]+", "/"), ("[()]+", " "), ("(?i)\\bnumber\\b", "no"), ("\\s*[/\\\\]\\s*", "/"), ("\\s+", " "), ("[:\\\\-]+$", "")]
+    out = F.trim(F.coalesce(c, F.lit("")))
+    for pattern, new in steps:
+        out = F.regexp_replace(out, pattern, new)
+    return F.trim(out)
+
+
+#: Header words of a sheet.
+_HEADERS = "(?i)^(bed|room|rm|patient|patient name|name|age|sex|age/sex|gender|dx|diagnosis|diagnoses|problems?|meds|medications?|treatment|dr|doctor|consultant|physician|status|code|triage|ward|civil id|mrn|file no|no|notes?|plan)( ?(no|#))?[.:]?$"
+
+
+def header_label(c: Column) -> Column:
+    """The label of a header cell, or null for any other text; ``Dr`` alone is a title."""
+    label = sheet_label(c)
+    return F.when(label.rlike(_HEADERS) & ~label.rlike("(?i)^dr[.]?$"), label)
+
+
+#: Rewrites of free text to one form, in this order, each over the result of those before.
+REWRITES = (
+    (r"(?i)\bH/?T(?:N)?\b", "HTN"), (r"(?i)\bD\.?M\.?\s*(?:type\s*)?2?\b", "DM2"), (r"(?i)\bD\.?M\.?\s*(?:type\s*)?1\b", "DM1"), (r"(?i)\bC\.?K\.?D\.?\s*(\d)\b", "CKD$1"),
+    (r"(?i)\bA\.?\s*fib\b", "AF"), (r"(?i)\bA\.?\s*flutter\b", "Atrial flutter"), (r"(?i)\bC\.?O\.?P\.?D\.?\b", "COPD"), (r"(?i)\bC\.?H\.?F\.?\b", "CHF"),
+    (r"(?i)\bU\.?T\.?I\.?\b", "UTI"), (r"(?i)\bD\.?V\.?T\.?\b", "DVT"), (r"\bP\.?E\.?\b", "PE"), (r"(?i)\bC\.?V\.?A\.?\b", "CVA"), (r"(?i)\bA\.?K\.?I\.?\b", "AKI"),
+    (r"(?i)\bS\.?O\.?B\.?\b", "SOB"), (r"(?i)\bN/V\b", "Nausea/Vomiting"), (r"(?i)\bAb(?:d|do)(?:ominal)?\s*pain\b", "Abdominal pain"), (r"(?i)\bN\.?K\.?D\.?A\.?\b", "NKDA"),
+    (r"\s*[,;]\s*", ", "), (r"\s+", " "),
+)
+
+
+def standard_text(c: Column) -> Column:
+    """Free text with abbreviations and separators in one form; null counts as empty."""
+    out = F.trim(F.coalesce(c, F.lit("")))
+    for pattern, new in REWRITES:
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
 def civil_id_key(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, "[ \\t-]+", ""), "OoIl|", "00111")
 
