@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clinspark.functions.scalar import key_seed
 from clinspark.operators import clinical_text as X
 from clinspark.operators import text_rules
+from clinspark.sources import codecs
 from clinspark.sources.store import scan
 
 QUERIES, SQL = {}, {}
@@ -185,3 +186,20 @@ def token_entities(spark, d):
         F.split("o_orderpriority", "-")[1], F.initcap(F.lit("amina")), F.concat(F.lit("amox"), F.lit("icillin")), F.concat(F.lit("room "), s(k % 50), F.lit("A")), F.concat(F.lit("MRN "), s(k)), F.get(F.array(F.lit("AB+"), F.lit("O-"), F.lit("a+")), (k % 3).cast("int")),
     ]
     return scan(spark, d, "orders").select("o_orderkey", text_rules.classify_token(F.get(F.array(*tokens), (k % 12).cast("int"))).alias("entity"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN ['DG1', 'DG11'] ELSE []::VARCHAR[] END AS groups, CASE WHEN c_custkey % 4 = 1 THEN 'P<' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS mrz,
+  CASE WHEN c_custkey % 4 = 2 THEN 'jpeg' END AS format, CASE WHEN c_custkey % 4 = 2 THEN 7 END AS picture_bytes, CASE WHEN c_custkey % 4 = 3 THEN lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS personal_number,
+  CASE WHEN c_custkey % 4 = 3 THEN 'city' END AS birthplace FROM customer""")
+def card_contents(spark, d):
+    """Lists, lines, pictures and details in the files of cards."""
+    k = F.col("c_custkey")
+    number = F.hex(F.lpad(k.cast("string"), 9, "0"))
+    files = F.array(
+        F.lit("600C5F0104303130375C03616B01"), F.concat(F.lit("610E5F1F0B503C"), number), F.lit("7508AAFFD8FF0001FFD9BB"),
+        F.concat(F.lit("6B135F1009"), number, F.lit("5F110463697479")),
+    )
+    raw = scan(spark, d, "customer").select("c_custkey", F.unhex(F.get(files, (k % 4).cast("int"))).alias("raw"))
+    out = codecs.card_files(raw, "c_custkey", "raw")
+    return out.select("c_custkey", "groups", "mrz", "format", F.length("picture").alias("picture_bytes"), "personal_number", "birthplace")

@@ -47,6 +47,49 @@ def tlv_elements(table: DataFrame, key: str, data: str) -> DataFrame:
     return table.select(key, data).mapInArrow(run, schema)
 
 
+#: What tags stand for: groups of data in the list of a card, and details of the holder.
+GROUPS = {0x61: "DG1", 0x75: "DG2", 0x67: "DG7", 0x6B: "DG11", 0x6C: "DG12", 0x6F: "DG15"}
+DETAILS = {"5F0E": "native_name", "5F11": "birthplace", "5F42": "address", "5F12": "telephone", "5F13": "profession", "5F10": "personal_number"}
+JPEG, JPEG_END, JP2 = b"\xff\xd8\xff", b"\xff\xd9", b"\x00\x00\x00\x0c\x6a\x50"
+
+
+def inside(data: bytes, outer: str) -> Iterator[tuple[str, bytes]]:
+    """Elements of all elements of a tag."""
+    for tag, value in read_tlv(data):
+        if tag == outer:
+            yield from read_tlv(value)
+
+
+def card_file(data: bytes) -> dict:
+    """What a file of a card says, whichever it is: groups listed, machine-readable text, picture, details of the holder."""
+    out: dict = {"groups": [GROUPS[b] for tag, value in inside(data, "60") if tag == "5C" for b in value if b in GROUPS]}
+    texts = [value.decode("utf-8", "replace") for tag, value in inside(data, "61") if tag == "5F1F"]
+    if not texts:  # the whole content, if long enough, ends with the lines
+        texts = [t[-90:] for t in (v.decode("utf-8", "replace") for tag, v in read_tlv(data) if tag == "61") if len(t) >= 88]
+    out["mrz"] = texts[0] if texts else None
+    if (at := data.find(JPEG)) >= 0:
+        end = data.rfind(JPEG_END, at + 1)
+        out |= {"format": "jpeg", "picture": data[at : end + 2] if end > at else data[at:]}
+    elif (at := data.find(JP2)) >= 0:
+        out |= {"format": "jp2", "picture": data[at:]}
+    return out | {DETAILS[tag]: value.decode("utf-8", "replace") for tag, value in inside(data, "6B") if tag in DETAILS}
+
+
+def card_files(table: DataFrame, key: str, data: str) -> DataFrame:
+    """key and the contents of a binary column's card files (:func:`card_file`), null where a file says nothing of it; a null file is empty."""
+    kind = table.schema[key].dataType
+    names = ["mrz", "format", *DETAILS.values()]
+    schema = T.StructType([T.StructField(key, kind), T.StructField("groups", T.ArrayType(T.StringType())), *(T.StructField(n, T.StringType()) for n in names), T.StructField("picture", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [card_file(raw or b"") for raw in batch.column(1).to_pylist()]
+            text = [pa.array([r.get(n) for r in read], pa.string()) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r["groups"] for r in read], pa.list_(pa.string())), *text, pa.array([r.get("picture") for r in read], pa.binary())], names=schema.names)
+
+    return table.select(key, data).mapInArrow(run, schema)
+
+
 def mrz_lines(text: Column) -> Column:
     """Up to three lines of 30 characters that look machine-readable, the last ones of a text."""
     clean = F.upper(F.regexp_replace(text, "[«»{}()\\[\\]—–_-]", "<"))
