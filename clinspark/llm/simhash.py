@@ -241,9 +241,10 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     """key, fingerprint (long) and component_id, the least key reachable over links, of every row of ``docs``.
 
     Rows with a null key count in their class, but can't name it unless all its keys are null (then null). Repeated
-    rows are kept, each with its class.
+    rows are kept, each with its class. Keys may be of any type that has an order; other columns are not read. Null texts
+    and texts without words have fingerprint zero; texts of any length are taken whole. An empty table stays one.
     """
-    marked, _ = written(spark, with_fingerprints(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "text", width=width).select("key", "fingerprint"), "fingerprints")
+    marked, _ = written(spark, with_fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", width=width).select("key", "fingerprint"), "fingerprints")
     distinct, _ = written(spark, marked.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct-fingerprints")
     edges, _ = written(spark, links(spark, distinct.select("fingerprint"), radius), "links")
     # Nodes are fingerprints: those without a link are components of their own and take no part in the search.

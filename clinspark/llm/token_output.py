@@ -160,8 +160,11 @@ def segments(docs: DataFrame, path: str, end_id: int | None = None, key: str = "
     """Segments of ``docs`` in ascending key order (null keys first; equal keys by their text's hash).
 
     One shuffle, by ranges of the key and the text's hash, so that a key of many rows is split; then each task sorts, tokenizes and packs its range. Null texts count as empty.
+    Repeated rows are written as often as they occur; an empty table has no segments. Keys are whole numbers.
     """
     ship_package(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"the key {key} is no whole number")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
     end = np.array([] if end_id is None else [end_id], dtype="<u4")

@@ -34,6 +34,11 @@ def test_null_keys_and_repeated_rows(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
 
 
+def test_keys_of_any_type_and_clashing_columns(spark):
+    docs = documents(spark, [(1, "one two three"), (2, "one two three"), (3, "x " * 50_000)]).withColumns({"key": F.lit(0), "fingerprint": F.lit("x"), "text_hash": F.lit(1), "doc_id": F.concat(F.lit("k"), "doc_id")})
+    assert {r.doc_id: r.component_id for r in S.classes(spark, docs).collect()} == {"k1": "k1", "k2": "k1", "k3": "k3"}
+
+
 def test_bk_tree_finds_all_within_the_radius():
     r = random.Random(4)
     base = r.getrandbits(64)

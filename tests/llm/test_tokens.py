@@ -167,3 +167,11 @@ def test_op7_reads_back_what_the_library_gives(spark, word_model, edge_texts):
         assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
     assert token_output.op7(spark, documents(spark, edge_texts).limit(0), word_model).count() == 0
+
+
+def test_repeated_rows_null_and_other_keys(spark, word_model):
+    got = sorted((tuple(r)[:3] for r in token_output.op7(spark, documents(spark, [(None, "a"), (5, "b b"), (5, "b b"), (5, None)]), word_model).collect()), key=str)
+    assert sorted(n for *_, n in got) == [1, 2, 3, 3] and sorted(s for _, s, _ in got)[0] == 0
+    assert [s for k, s, _ in got if k is None] == [0]
+    with pytest.raises(ValueError):
+        token_output.segments(documents(spark, ["a"]).withColumn("doc_id", F.lit("x")), word_model)
