@@ -31,11 +31,11 @@ DEGREE = 32
 #: Places beyond the degree for edges back, so that a node is pruned once for many of them.
 SLACK = 16
 BUILD_BEAM = 64
-SEARCH_BEAM = 128
+SEARCH_BEAM = 192
 ALPHA = 1.2
 #: A table has at least this many shards, and more once a shard would hold more vectors than this.
 SHARDS = 12
-SHARD_ROWS = 65_536
+SHARD_ROWS = 32_768
 #: Bytes of vectors that a shard holds, so that its graph fits one row.
 SHARD_BYTES = 64 << 20
 STEP = 256
