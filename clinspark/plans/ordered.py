@@ -80,7 +80,10 @@ def lane_split(spark, d):
     return ordered.lanes(words, "doc_id", "cx", "w")
 
 
-@query()
+@query("""
+WITH l AS (SELECT item_id AS doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM benchmark),
+w AS (SELECT doc_id, line, string_split(trim(regexp_replace(raw, '[ \\t]+', ' ', 'g')), ' ') AS ws FROM l WHERE length(trim(raw)) > 2)
+SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS i, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS INTEGER) AS row_id FROM w""")
 def row_bands(spark, d):
     """Words of plain text, by rows of a running mean."""
     words = text_rules.plain_text_words(scan(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id", "text")
