@@ -53,9 +53,19 @@ def top_candidates(tokens: DataFrame, key: Sequence[str], token: str, lexicon: D
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Pairs that inference by contained words takes.
+MOST_PAIRS = 5_000
+
+
 def infer_by_contains(table: DataFrame, key: str, text: str, pairs: DataFrame, needle: str, outcome: str) -> DataFrame:
-    """key and the sorted set of outcomes whose needle the text holds; the pair table is small and is broadcast."""
-    return table.join(F.broadcast(pairs), F.contains(F.lower(F.col(text)), F.lower(F.col(needle)))).groupBy(key).agg(F.array_sort(F.collect_set(outcome)).alias("outcomes"))
+    """key and the sorted set of outcomes whose needle the text holds, for keys with any; more than ``MOST_PAIRS`` pairs are refused."""
+    known = pairs.select(F.lower(F.col(needle)).alias("n"), F.col(outcome).alias("o")).where("n IS NOT NULL").distinct().limit(MOST_PAIRS + 1).collect()
+    if len(known) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs")
+    rules = F.array(*[F.struct(F.lit(r["n"]).alias("n"), F.lit(r["o"]).alias("o")) for r in known]) if known else F.array().cast("array<struct<n:string,o:string>>")
+    low = F.lower(F.col(text))
+    hits = F.transform(F.filter(rules, lambda r: F.contains(low, r["n"])), lambda r: r["o"])
+    return table.select(key, F.explode(hits).alias("__o")).groupBy(key).agg(F.array_sort(F.collect_set("__o")).alias("outcomes"))
 
 
 def evidence(tokens: Column, lexicon: Column, longest: int = 4) -> Column:

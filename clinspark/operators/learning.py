@@ -124,15 +124,28 @@ def gaussian_landscape(table: DataFrame, label: str, vector: str) -> DataFrame:
     return g.select("label", "dim", "n", "mean", F.when(F.col("n") == 1, 2.0).otherwise(F.greatest("v", 0.1 / F.sqrt("n"))).alias("variance"))
 
 
+#: Labels that a model of classes may have; every row is scored against each.
+MOST_LABELS = 10_000
+
+
+def against_labels(table: DataFrame, model: DataFrame) -> DataFrame:
+    """Every row with every row of a model of one row a label; a model beyond ``MOST_LABELS`` is refused."""
+    labels = [r["label"] for r in model.select("label").limit(MOST_LABELS + 1).collect()]
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    each = F.explode(F.array(*[F.lit(x) for x in labels])) if labels else F.explode(F.array().cast("array<string>"))
+    return table.withColumn("label", each).join(F.broadcast(model), "label")
+
+
 def classify_landscape(table: DataFrame, key: str, vector: str, model: DataFrame) -> DataFrame:
     """key, predicted label, score, confidence (margin over range, 0 to 1) and the largest deviation from the winner.
 
-    The model is as small as labels times dimensions and is broadcast as arrays, one row for each label.
+    The model is as small as labels times dimensions: arrays, one row for each label, of which there may be ``MOST_LABELS``.
     """
     packed = model.groupBy("label").agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean", "variance"))), lambda s: F.struct(s["mean"].alias("m"), s["variance"].alias("v"))).alias("p"))
     z = F.zip_with(F.col(vector), "p", lambda x, p: (x.cast("double") - p["m"]) * (x.cast("double") - p["m"]) / (p["v"] + 1e-8))
     deviation = F.zip_with(F.col(vector), "p", lambda x, p: F.abs(x.cast("double") - p["m"]) / F.sqrt(p["v"] + 1e-8))
-    scored = table.select(key, vector).crossJoin(F.broadcast(packed)).select(key, "label", (-0.5 * F.aggregate(z, F.lit(0.0), lambda a, x: a + x) + 0.5 * F.log(F.col("n") + 1)).alias("score"), F.array_max(deviation).alias("max_z"))
+    scored = against_labels(table.select(key, vector), packed).select(key, "label", (-0.5 * F.aggregate(z, F.lit(0.0), lambda a, x: a + x) + 0.5 * F.log(F.col("n") + 1)).alias("score"), F.array_max(deviation).alias("max_z"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "label")
     ranked = scored.withColumn("r", F.row_number().over(w))
     best = lambda c, r: F.max(F.when(F.col("r") == r, F.col(c)))

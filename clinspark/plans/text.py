@@ -283,11 +283,11 @@ def gaussian_classifier(spark, d):
 WITH c AS (SELECT label, list(m ORDER BY dim) AS m FROM (SELECT label, dim, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY 1, 2) GROUP BY 1)
 SELECT vec_id, arg_min(c.label, (round(list_sum(list_transform(range(1, 65), lambda i: abs(CAST(embedding[i] AS DOUBLE) - m[i]) * CASE WHEN i <= 8 THEN 5.0 WHEN i <= 16 THEN 2.0 ELSE 1.5 END)), 9), c.label)) AS nearest FROM embeddings CROSS JOIN c GROUP BY vec_id""")
 def weighted_l1_nearest(spark, d):
-    """The nearest class centre by weighted absolute differences; centres are as few as classes and are broadcast."""
+    """The nearest class centre by weighted absolute differences."""
     e = scan(spark, d, "embeddings")
     centres = learning.gaussian_landscape(e, "label", "embedding").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("m"))
     d1 = F.round(learning.weighted_l1(F.col("embedding"), F.col("m"), [5.0] * 8 + [2.0] * 8 + [1.5] * 48), 9)
-    return e.select("vec_id", "embedding").crossJoin(F.broadcast(centres)).groupBy("vec_id").agg(F.min(F.struct(d1.alias("d"), "label"))["label"].alias("nearest"))
+    return learning.against_labels(e.select("vec_id", "embedding"), centres).groupBy("vec_id").agg(F.min(F.struct(d1.alias("d"), "label"))["label"].alias("nearest"))
 
 
 @query("""
