@@ -72,20 +72,3 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: A value of more rows than this is hot, and of more than one in HOT_SHARE of all rows; so hot values are at most HOT_SHARE.
-HOT_ROWS = 1_000
-HOT_SHARE = 50_000
-
-
-def join_counted(rows: DataFrame, counted: DataFrame, on: str, count: str, total: int) -> DataFrame:
-    """``rows`` joined with one row for each value of ``on``, which holds the value's ``count`` of ``total`` rows.
-
-    Hot values, few by their definition, are broadcast, so no task gets all rows of one.
-    """
-    limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = counted.where(F.col(count) > limit)
-    there = rows.join(F.broadcast(hot), on)
-    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(counted.where(F.col(count) <= limit), on)
-    return there.unionByName(rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import join_counted, remove, written
+from clinspark.llm.common import remove, written
 
 MAX_ROUNDS = 60
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Each round has two steps. Large: every node points its larger neighbours to the least node it knows (its own
     included). Small: every node points its smaller neighbours, and itself, to the least of them. Both keep the
     components, and the edges end as stars around the least nodes, in about the logarithm of the longest path. A hub's
-    rows are never gathered: minima pre-aggregate, and hubs meet theirs by a broadcast of bounded size. Null and self edges are
+    rows are never gathered: minima pre-aggregate, and are written, so that both sides of a join are plain tables and the
+    rows of a hub are split at run time. Null and self edges are
     dropped (a node that has only self edges is a component of its own).
     """
     clean = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
@@ -27,14 +28,15 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             break
         # Large step. u > v: each edge seen from both ends.
         both = current.select(F.col("u").alias("n"), F.col("v").alias("m")).union(current.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r"), F.count("*").alias("degree"))
-        large = join_counted(both.where("m > n"), least, "n", "degree", 2 * before[0]).select(F.col("m").alias("u"), F.col("r").alias("v")).distinct()
+        least, least_at = written(spark, both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r")), "minima")
+        large, large_at = written(spark, both.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct(), "large")
         # Small step: u keeps its least neighbour, and hands it to the others.
-        root = large.groupBy("u").agg(F.min("v").alias("r"), F.count("*").alias("degree"))
-        small = join_counted(large, root, "u", "degree", 2 * before[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("r").alias("v")), F.struct("u", F.col("r").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        root, root_at = written(spark, large.groupBy("u").agg(F.min("v").alias("r")), "minima")
+        small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("r").alias("v")), F.struct("u", F.col("r").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new, at = written(spark, small, "edges")
         state = _state(new)
-        remove(spark, path)
+        for gone in (path, least_at, large_at, root_at):
+            remove(spark, gone)
         current, path = new, at
         if state == before:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinspark.llm.common import join_counted, ship_package, written
+from clinspark.llm.common import ship_package, written
 from clinspark.llm.components import connected_components
 from clinspark.llm.simhash import BKTree, forest, shingle_hashes
 
@@ -136,10 +136,11 @@ def _pairs(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
 
-def candidates(members: DataFrame, radius: int, max_shard: int, total: int) -> DataFrame:
+def candidates(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
     """src, dst: a spanning forest of each shard's pairs within the radius. members: shard, node, fingerprint, each node once in a shard."""
-    sizes = members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    sized = join_counted(members, sizes, "shard", "size", total)
+    # Written first, so that both sides of the join are plain tables and a hot shard is split at run time.
+    sizes, _ = written(members.sparkSession, members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1"), "shard-sizes")
+    sized = members.join(sizes, "shard")
     groups = F.ceil(F.col("size") / max_shard).cast("int")
     own = F.pmod(F.xxhash64("node"), groups).cast("int")
     dealt = sized.withColumn("groups", groups).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
@@ -240,7 +241,7 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     marked, _ = written(spark, sketches(docs, key, text, width), "sketches")
     row = F.struct("key", "text_hash")
     distinct, _ = written(spark, marked.groupBy("node").agg(F.min(row).alias("least"), F.min_by("fingerprint", row).alias("fingerprint"), F.min_by("shards", row).alias("shards")), "distinct-sketches")
-    pairs, _ = written(spark, candidates(distinct.select(F.explode("shards").alias("shard"), "node", "fingerprint"), radius, max_shard, KEYS * distinct.count()), "candidates")
+    pairs, _ = written(spark, candidates(distinct.select(F.explode("shards").alias("shard"), "node", "fingerprint"), radius, max_shard), "candidates")
     loose, _ = written(spark, connected_components(spark, pairs), "loose-classes")
     named = loose.join(distinct.select("node", "least", "fingerprint"), "node")
     first = marked.select("node", row.alias("least"), "shingles").dropDuplicates(["node", "least"]) if _repeats(marked) else marked.select("node", row.alias("least"), "shingles")

@@ -11,7 +11,6 @@ groups: the tree of one group is searched with the members of another, each pair
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinspark.llm.common import join_counted, ship_package, without, written
+from clinspark.llm.common import ship_package, without, written
 from clinspark.llm.components import connected_components
 
 #: The white space that ends a word.
@@ -188,9 +187,9 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int, max_shard: int
     n = distinct.count()
     blocks, agree = plan_blocks(n, radius)
     members = distinct.select("fingerprint", F.explode(shard_keys("fingerprint", blocks, agree)).alias("shard"))
-    sizes = members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")
-    # Shards of one member have no links; the others learn their size.
-    members = join_counted(members, sizes, "shard", "size", n * math.comb(blocks, agree)).select("fingerprint", "shard.choice", "shard.bits", "size")
+    # Shards of one member have no links; the others learn their size. Written first, so that a hot shard is split at run time.
+    sizes, _ = written(spark, members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1"), "shard-sizes")
+    members = members.join(sizes, "shard").select("fingerprint", "shard.choice", "shard.bits", "size")
     groups = F.ceil(F.col("size") / max_shard).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), groups).cast("int")
     dealt = members.withColumn("groups", groups).withColumn("own", own)
