@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clinspark.sources.store import cut_lineage
+
 
 def _shorter(text: Column) -> Column:
     """All forms of a text with one character less."""
@@ -70,8 +72,8 @@ def _staged(tokens: DataFrame, token: str, lexicon: DataFrame, limit: int, found
     out = None
     for e in range(limit + 1):
         nearest = F.min(F.struct(F.col(distance).alias("d"), F.col(term).alias("t"))).alias("b")
-        best = found(rest, e).groupBy(token).agg(nearest).select(token, F.col("b.t").alias(term), F.col("b.d").alias(distance))
+        best = cut_lineage(found(rest, e).groupBy(token).agg(nearest).select(token, F.col("b.t").alias(term), F.col("b.d").alias(distance)))
         done = best.where(final(F.col(distance), e)) if e < limit else best
         out = done if out is None else out.unionByName(done)
-        rest = rest.join(done.select(token), token, "left_anti")
+        rest = cut_lineage(rest.join(done.select(token), token, "left_anti")) if e < limit else rest
     return out
