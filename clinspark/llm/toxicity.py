@@ -401,6 +401,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Toxici
         remove(spark, path)
         return Toxicity({}, {}, [*plain, -4.0])
     words, stems = learn_lexicon(rows, pos, neg)
+    if not words and not stems:  # nothing tells the labels apart: no text is toxic
+        remove(spark, path)
+        return Toxicity({}, {}, [*plain, -4.0])
     model = Toxicity(words, stems, [*plain, 0.0])
     seen = _featured(rows, model.to_json(), "text", "features", False).groupBy("label", "features").agg(F.count("*").alias("n")).collect()  # no more rows than the sample
     remove(spark, path)
