@@ -88,38 +88,6 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert docs.where("NOT round_trip").count() == 0 and len(before) > 700
 
 
-def test_pipeline_equals_plain_stages(spark, piece_model):
-    import math
-
-    import sentencepiece
-    from helpers import components, leaks, shingles, without_boilerplate
-    from test_filters import plain_features
-
-    from clinspark.llm import toxicity
-
-    d = "/root/testdata/sf0.001"
-    docs = table(spark, d, "documents")
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, d, "labels")))
-    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-
-    def score(text):
-        return sum(w * x for w, x in zip(model.weights, [*plain_features(text or "", model.words, model.stems), 1.0], strict=True))
-
-    clean = [r for r in rows if score(r[1]) < 0]
-    texts = without_boilerplate(clean)
-    sets = {i: set(shingles(t, 5)) for i, t in texts.items()}
-    ids = sorted(texts)
-    alike = lambda a, b: len(a & b) >= 0.8 * math.sqrt(len(a) * len(b))
-    classes = components(ids, [(a, b) for a in ids for b in ids if b < a and alike(sets[a], sets[b])])
-    firsts = [(i, texts[i]) for i in ids if classes[i] == i]
-    dirty = {k for k, _ in leaks(firsts, [(r.item_id, r.text) for r in table(spark, d, "benchmark").collect()])}
-    lib = sentencepiece.SentencePieceProcessor(model_file=piece_model)
-    want = {i: lib.encode(t or "") for i, t in firsts if i not in dirty}
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
-    assert {i: list(r.ids) for i, r in got.items()} == want
-    assert all(r.n_tokens == len(r.ids) for r in got.values()) and 0 < len(want) < len(clean) <= len(rows)
-
-
 def test_pipeline_of_an_empty_table(spark):
     d = "/root/testdata/sf0.001"
     docs = table(spark, d, "documents").limit(0)
