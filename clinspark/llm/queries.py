@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinspark.llm import ann, decontaminate, line_dedup, piece_bpe, sharding, simhash, token_count, token_output, toxicity, url_filter
+from clinspark.llm import ann, decontaminate, fill_middle, line_dedup, piece_bpe, quantised, sharding, simhash, spelling, token_count, token_output, toxicity, url_filter
 from clinspark.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op10(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op11(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op12(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.op13(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -69,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_url_filter": op10_url_filter,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_embedding_dedup": op13_embedding_dedup,
     }
 
 
