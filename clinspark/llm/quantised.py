@@ -107,12 +107,16 @@ class Quantiser:
         return home, asked
 
     def distances(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of the rows of ``x`` to the coded members of list ``at``, from tables."""
-        rest = self.rest(x, np.full(len(x), at))
-        out = np.zeros((len(x), len(codes)), dtype=np.float32)
+        """Squared distances of the coded members of list ``at`` (rows) to the rows of ``x`` (columns), from tables.
+
+        A table has a row for each code word, so that a look-up for all queries is one copy of a row.
+        """
+        rest = self.rest(x, np.full(len(x), at)).astype(np.float32)
+        out = np.zeros((len(codes), len(x)), dtype=np.float32)
         for m, book in enumerate(self.books):
-            table = (((rest[:, m, None, :] - book) ** 2).sum(axis=2)).astype(np.float32)
-            out += np.take(table, codes[:, m], axis=1)
+            own, book = rest[:, m], book.astype(np.float32)
+            table = np.einsum("ij,ij->i", book, book)[:, None] - 2 * (book @ own.T) + np.einsum("ij,ij->i", own, own)
+            out += table[codes[:, m]]
         return out
 
 
@@ -198,7 +202,9 @@ class Members:
         if self.quantiser is None:
             r, c = np.divmod(np.arange(len(node) * len(self.node)), len(self.node))
         else:
-            r, c = np.nonzero(self.quantiser.distances(x, self.at - self.first, self.codes) <= self.most)
+            c, r = np.nonzero(self.quantiser.distances(x, self.at - self.first, self.codes) <= self.most[:, None])
+            order = np.argsort(r, kind="stable")
+            r, c = r[order], c[order]
         fine = np.where(home[r] == self.at, node[r] < self.node[c], True)
         late = np.flatnonzero(home[r] > self.at)  # counted where the lesser list probes, if it does
         if len(late):
