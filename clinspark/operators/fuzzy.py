@@ -1,8 +1,11 @@
-"""Fuzzy joins that grow with their input: deletion neighbourhoods as keys, an exact distance after the join.
+"""Fuzzy joins that grow with their input: equi joins on segments or forms of words, an exact distance after the join.
 
-Two words within k edits have a common form after at most k deletions from each. So every word meets the lexicon under the
-hashes of its forms, an equi join without a band or prefix that all words share; the distance itself decides. A word of n
-letters has about n**k / k! forms, which suits words and names, not sentences.
+Segments: a term is cut into k + 1 segments; within k edits one of them stays as it is, at a place that can move only as far
+as the edits before and after it allow. Terms of one length are cut where their characters differ from each other, so that
+each segment tells about as much as the others: what all share (a common prefix) is no key of its own.
+
+Forms: two words within k edits have a common form after at most k deletions from each. A word of n letters has about
+n**k / k! forms, which suits short words.
 """
 
 from __future__ import annotations
@@ -42,12 +45,74 @@ def near_pairs(left: DataFrame, token: str, right: DataFrame, term: str, edits:
     return pairs.withColumn("distance", F.levenshtein(F.col(token), F.col(term), edits)).where("distance >= 0")
 
 
+#: Terms of up to so many characters are cut by what their places tell, longer ones into segments of one size.
+LONGEST = 128
+
+
+def balanced_cuts(told: list[float], parts: int) -> list[int]:
+    """Where ``parts`` segments start, none empty, so that each has about the same share of what the places tell."""
+    total, passed, starts = sum(told), told[0], [0]
+    for p in range(1, len(told)):
+        if len(starts) < parts and (passed >= total * len(starts) / parts or len(told) - p == parts - len(starts)):
+            starts.append(p)
+        passed += told[p]
+    return starts
+
+
+def segment_cuts(terms: DataFrame, term: str, edits: int) -> DataFrame:
+    """length, part, start and size of the segments of terms of each length up to ``LONGEST``: at most LONGEST * (edits + 1) rows."""
+    sized = terms.select(term, F.length(term).alias("length")).where(F.col("length").between(edits + 1, LONGEST))
+    letters = sized.select("length", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.substring(F.col(term), i, F.lit(1)))).alias("place", "letter"))
+    counts = letters.groupBy("length", "place", "letter").agg(F.count("*").alias("n"))
+    told = counts.groupBy("length", "place").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("told"))
+    by: dict[int, dict[int, float]] = {}
+    for length, place, value in told.collect():  # at most LONGEST squared
+        by.setdefault(length, {})[place] = value + 0.01
+    rows = []
+    for length, places in sorted(by.items()):
+        starts = balanced_cuts([places[p] for p in range(length)], edits + 1)
+        rows += [(length, i, a, b - a) for i, (a, b) in enumerate(zip(starts, [*starts[1:], length], strict=True))]
+    return terms.sparkSession.createDataFrame(rows, "length int, part int, start int, size int")
+
+
+def segment_pairs(left: DataFrame, token: str, right: DataFrame, term: str, edits: int) -> DataFrame:
+    """token, term and distance of all pairs of different values within ``edits``, by segments; nulls take no part."""
+    l = left.select(token).where(F.col(token).isNotNull()).distinct()
+    r = cut_lineage(right.select(term).where(F.col(term).isNotNull()).distinct())
+    if edits == 0:
+        return l.join(r, F.col(token) == F.col(term)).withColumn("distance", F.lit(0))
+    k = F.lit(edits)
+    cuts = F.broadcast(segment_cuts(r, term, edits))
+    parts = F.explode(F.sequence(F.lit(0), k)).alias("part")
+
+    def with_cuts(rows: DataFrame) -> DataFrame:
+        """Start and size of each part, from the table or, for longer terms, in even steps."""
+        even = lambda i: F.floor(i * F.col("length") / (edits + 1)).cast("int")
+        kept = [c for c in rows.columns if c not in ("length", "part")]
+        return rows.join(cuts, ["length", "part"], "left").select(*kept, "length", "part", F.coalesce("start", even(F.col("part"))).alias("start"), F.coalesce("size", even(F.col("part") + 1) - even(F.col("part"))).alias("size"))
+
+    held = with_cuts(r.select(term, F.length(term).alias("length"), parts).where(F.col("length") > k))
+    held = held.select(term, "length", "part", F.substring(F.col(term), F.col("start") + 1, F.col("size")).alias("segment"))
+    n = F.length(token)
+    asked = l.select(token, F.explode(F.sequence(F.greatest(n - k, k + 1), F.greatest(n + k, k + 1))).alias("length")).select("*", parts)
+    asked = with_cuts(asked)
+    more = n - F.col("length")
+    low, high = F.greatest(-F.col("part"), more - k + F.col("part")), F.least(F.col("part"), more + k - F.col("part"))
+    moves = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    asked = asked.select(token, "length", "part", "start", "size", F.explode(moves).alias("move")).where((F.col("start") + F.col("move") >= 0) & (F.col("start") + F.col("move") + F.col("size") <= n))
+    asked = asked.select(token, "length", "part", F.substring(F.col(token), F.col("start") + F.col("move") + 1, F.col("size")).alias("segment"))
+    pairs = asked.join(held, ["length", "part", "segment"]).select(token, term).distinct()
+    found = pairs.withColumn("distance", F.levenshtein(F.col(token), F.col(term), edits)).where("distance >= 0")
+    # Terms without enough characters for as many segments, and what is as short.
+    return found.unionByName(near_pairs(l.where(n <= 2 * edits), token, r.where(F.length(term) <= edits), term, edits))
+
+
 def nearest_terms(tokens: DataFrame, token: str, lexicon: DataFrame, term: str, limit: int) -> DataFrame:
     """token, term and distance of the nearest term within ``limit`` edits of each different token; ties to the lesser term.
 
     Exact terms first; only tokens without one look one edit further, and so on, so most need few forms.
     """
-    return _staged(tokens, token, lexicon, limit, lambda rest, e: near_pairs(rest, token, lexicon, term, e), "distance", term, lambda best, e: F.lit(True))
+    return _staged(tokens, token, lexicon, limit, lambda rest, e: segment_pairs(rest, token, lexicon, term, e), "distance", term, lambda best, e: F.lit(True))
 
 
 def nearest_by_weight(tokens: DataFrame, token: str, lexicon: DataFrame, term: str, fold: Callable[[Column], Column], weigh: Callable[[Column, Column], Column], limit: float) -> DataFrame:
@@ -61,7 +126,7 @@ def nearest_by_weight(tokens: DataFrame, token: str, lexicon: DataFrame, term: s
 
     def found(rest: DataFrame, e: int) -> DataFrame:
         near = rest.join(words, token)
-        pairs = near_pairs(near, "__a", terms, "__b", e).drop("distance")
+        pairs = segment_pairs(near, "__a", terms, "__b", e).drop("distance")
         return near.join(pairs, "__a").join(terms, "__b").select(token, term, weigh(F.col(token), F.col(term)).alias("distance")).where(F.col("distance") <= limit)
 
     return _staged(tokens, token, lexicon, int(limit), found, "distance", term, lambda best, e: best < e + 1)
@@ -75,5 +140,8 @@ def _staged(tokens: DataFrame, token: str, lexicon: DataFrame, limit: int, found
         best = cut_lineage(found(rest, e).groupBy(token).agg(nearest).select(token, F.col("b.t").alias(term), F.col("b.d").alias(distance)))
         done = best.where(final(F.col(distance), e)) if e < limit else best
         out = done if out is None else out.unionByName(done)
-        rest = cut_lineage(rest.join(done.select(token), token, "left_anti")) if e < limit else rest
+        if e < limit:
+            rest = cut_lineage(rest.join(done.select(token), token, "left_anti"))
+            if rest.isEmpty():
+                break
     return out

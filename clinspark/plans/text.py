@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from clinspark.functions import distance
 from clinspark.functions.scalar import bed_key, canonical_token, cer, civil_id_key, fix_digraphs, js_round, list_values, metric_key, name_key, preserve_case, text_density
-from clinspark.operators import fuzzy, learning, records, text_rules
-from clinspark.sources.store import scan
+from clinspark.operators import fuzzy, learning, records, text_rules, weighted
+from clinspark.sources.store import cut_lineage, scan
 
 QUERIES, SQL = {}, {}
 
@@ -103,6 +103,27 @@ def ocr_distance_match(spark, d):
     return q.join(near, "seen").select("c_custkey", "term", F.round("distance", 6).alias("dist"))
 
 
+def misread(word):
+    """A word as a recogniser may read it, decided by its hash: one kind of letter taken for another, or a letter lost."""
+    h = F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("long")
+    lost = F.concat(F.substring(word, 1, 2), F.substring(word, 4, 1 << 20))
+    return F.when(h % 5 == 0, F.translate(word, "o", "0")).when(h % 5 == 1, F.translate(word, "ln", "1h")).when(h % 5 == 2, F.translate(word, "e", "c")).when(h % 5 == 3, lost).otherwise(word)
+
+
+@query()
+def learned_distance_match(spark, d):
+    """Words as misread, matched with the vocabulary by costs that were learned from the other half of the words."""
+    words = scan(spark, d, "conversations").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("truth")).where("length(truth) >= 5").distinct()
+    both = words.select("truth", misread(F.col("truth")).alias("seen"), (F.conv(F.substring(F.md5("truth"), 7, 6), 16, 10).cast("long") % 2).alias("half"))
+    pairs = cut_lineage(both)
+    corrected = pairs.where("half = 0 AND seen <> truth AND length(seen) = length(truth)")
+    confusions = learning.char_confusions(corrected, "truth", "seen").select(F.col("truth_char").alias("a"), F.col("seen_char").alias("b"), "n")
+    costs = weighted.learned_costs(confusions, corrected.count())
+    asked = pairs.where("half = 1")
+    near = weighted.nearest(asked, "seen", pairs.select(F.col("truth").alias("term")), "term", costs, 1.5)
+    return asked.join(near, "seen").select("truth", "seen", "term", F.round("distance", 6).alias("dist"))
+
+
 @query("""
 WITH w AS (SELECT unnest(string_split(lower(text), ' ')) AS t FROM conversations), c AS (SELECT t, replace(t, 'th', 'ht') AS s FROM w WHERE t <> ''),
 x AS (SELECT t, s, unnest(range(1, least(length(t), length(s), 100) + 1)) AS i FROM c)
