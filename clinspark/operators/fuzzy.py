@@ -101,8 +101,9 @@ def segment_pairs(left: DataFrame, token: str, right: DataFrame, term: str, edit
     moves = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     asked = asked.select(token, "length", "part", "start", "size", F.explode(moves).alias("move")).where((F.col("start") + F.col("move") >= 0) & (F.col("start") + F.col("move") + F.col("size") <= n))
     asked = asked.select(token, "length", "part", F.substring(F.col(token), F.col("start") + F.col("move") + 1, F.col("size")).alias("segment"))
-    pairs = asked.join(held, ["length", "part", "segment"]).select(token, term).distinct()
-    found = pairs.withColumn("distance", F.levenshtein(F.col(token), F.col(term), edits)).where("distance >= 0")
+    # Measured where they meet: only what is near enough is made distinct.
+    met = asked.join(held, ["length", "part", "segment"]).select(token, term, F.levenshtein(F.col(token), F.col(term), edits).alias("distance"))
+    found = met.where("distance >= 0").distinct()
     # Terms without enough characters for as many segments, and what is as short.
     return found.unionByName(near_pairs(l.where(n <= 2 * edits), token, r.where(F.length(term) <= edits), term, edits))
 

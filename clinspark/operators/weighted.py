@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinspark.functions.distance import GROUP_COST
+from clinspark.functions.scalar import CONFUSABLE_FROM, CONFUSABLE_TO
 from clinspark.operators import fuzzy
 
 #: What a confusion costs that was seen very often, how fast costs fall, and from how many corrections on they do, and fully.
@@ -45,6 +47,14 @@ def learned_costs(confusions: DataFrame, corrections: int, base: DataFrame | Non
     return known.select("a", "b", F.when(F.col("n") > 0, F.col("before") * (1 - trust) + learned * trust).otherwise(F.col("before")).alias("cost"))
 
 
+def confusable_costs(cost: float = GROUP_COST) -> list[tuple[str, str, float]]:
+    """Pairs of the characters that recognisers take for each other, all at one cost."""
+    groups: dict[str, set[str]] = {}
+    for x, y in zip(CONFUSABLE_FROM.lower(), CONFUSABLE_TO, strict=True):
+        groups.setdefault(y, {y}).add(x)
+    return [(x, y, cost) for g in groups.values() for x in sorted(g) for y in sorted(g) if x < y]
+
+
 class Costs:
     """A cost table as sorted arrays, for tasks; and classes of characters that are linked by pairs cheaper than 1."""
 

@@ -96,10 +96,10 @@ def fuzzy_lexicon_match(spark, d):
 
 @query()
 def ocr_distance_match(spark, d):
-    """The nearest name of a lexicon by confusion-aware distance of at most 2; edits of canonical tokens bound it from below."""
+    """The nearest name of a lexicon by confusion-aware distance of at most 2; edits of forms with one letter for each group bound it from below."""
     lex = scan(spark, d, "supplier").select(F.col("s_name").alias("term"))
     q = scan(spark, d, "customer").select("c_custkey", F.replace(F.replace(F.col("c_name"), F.lit("Customer"), F.lit("Supp1ier")), F.lit("0"), F.lit("O")).alias("seen"))
-    near = fuzzy.nearest_by_weight(q, "seen", lex, "term", canonical_token, distance.ocr_distance, 2.0)
+    near = weighted.nearest(q, "seen", lex, "term", spark.createDataFrame(weighted.confusable_costs(), "a string, b string, cost double"), 2.0)
     return q.join(near, "seen").select("c_custkey", "term", F.round("distance", 6).alias("dist"))
 
 

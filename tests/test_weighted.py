@@ -92,3 +92,10 @@ def test_learned_match_of_the_tables(spark, tiny):
     changed = [r for r in rows if r.seen != r.truth]
     assert len(changed) > 50 and sum(r.term == r.truth for r in changed) > 0.9 * len(changed)
     assert all(r.dist == 0 for r in rows if r.seen == r.truth)
+
+
+def test_confusable_costs_are_the_ocr_distance():
+    costs = weighted.Costs(weighted.confusable_costs())
+    for x in words(40, 11, "oq0DIl1|zs5b8at7"):
+        for y in words(20, 12, "oq0DIl1|zs5b8at7"):
+            assert costs.distances([x.lower()], [y.lower()], 9.0)[0] == pytest.approx(plain(x, y))
