@@ -1,4 +1,4 @@
-"""Lexicon correction: look-alike repair, phrases, exact before fuzzy, candidate scores, suggestions and evidence."""
+"""Lexicon correction: look-alike repair, phrases, exact before fuzzy, candidate scores and suggestions."""
 
 from __future__ import annotations
 
@@ -68,20 +68,6 @@ def infer_by_contains(table: DataFrame, key: str, text: str, pairs: DataFrame, n
     return table.select(key, F.explode(hits).alias("__o")).groupBy(key).agg(F.array_sort(F.collect_set("__o")).alias("outcomes"))
 
 
-def evidence(tokens: Column, lexicon: Column, longest: int = 4) -> Column:
-    """Non-overlapping lexicon phrases of up to ``longest`` words, the longest first at each place, from left to right."""
-
-    def best(i: Column) -> Column:
-        options = [F.array_join(F.slice(tokens, i, n), " ") for n in range(longest, 0, -1)]
-        return F.coalesce(*[F.when(F.array_contains(lexicon, o) & (F.size(F.split(o, " ")) == n), F.struct(o.alias("phrase"), F.lit(n).alias("n"))) for n, o in zip(range(longest, 0, -1), options, strict=True)])
-
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("until"), empty.alias("found"))
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(F.array().cast("array<int>"))
-    step = lambda s, i: F.when((i > s["until"]) & best(i).isNotNull(), F.struct((i + best(i)["n"] - 1).alias("until"), F.array_append(s["found"], best(i)["phrase"]).alias("found"))).otherwise(s)
-    return F.aggregate(places, start, step, lambda s: s["found"])
-
-
 def coverage(found: Column, wanted: Column, share: float = 0.8) -> Column:
     """Whether enough of the wanted values have a near match among the found ones."""
     hits = F.size(F.filter(wanted, lambda m: F.exists(found, lambda p: F.levenshtein(F.lower(m), F.lower(p)) <= 1)))

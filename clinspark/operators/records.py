@@ -102,26 +102,6 @@ def validation_errors(rules: Sequence[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in rules]))
 
 
-def should_merge(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Ordered rules of linkage between two records (bed, civil_id, name, gender, age, dx); the first that speaks decides."""
-    both = lambda k: a[k].isNotNull() & b[k].isNotNull()
-    name = F.levenshtein(a["name"], b["name"])
-    age_gap = F.abs(a["age"] - b["age"])
-    no, yes = F.lit(False), F.lit(True)
-    return F.coalesce(
-        F.when(both("bed") & (a["bed"] != b["bed"]), no)
-        .when(both("bed") & (a["bed"] == b["bed"]), yes)
-        .when(both("civil_id") & (a["civil_id"] != b["civil_id"]), no)
-        .when(both("civil_id") & (a["civil_id"] == b["civil_id"]), yes)
-        .when((name <= 1) & (a["bed"].isNull() | b["bed"].isNull()), yes)
-        .when(both("gender") & (a["gender"] != b["gender"]), no)
-        .when(both("age") & (age_gap > 8), no)
-        .when(both("age") & (age_gap <= 2) & (a["dx"] == b["dx"]), yes)
-        .otherwise(name <= 2),
-        no,
-    )
-
-
 #: Parts that a star of records is built from, so that no task holds all of a hot value.
 STAR_PARTS = 64
 
@@ -134,30 +114,6 @@ def stars(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     return inner.select("src", F.col(key).alias("dst")).unionByName(heads.select("src", F.col(key).alias("dst"))).where("src <> dst")
 
 
-def link_pairs(records: DataFrame, key: str, blocks: Sequence[Column]) -> DataFrame:
-    """src and dst: links whose chains connect all records that share a block and should merge, and all of one bed. A block is a non-null value.
-
-    Records of equal fields form one row before blocks are built, and those of one bed, which always merge, a star. So only
-    different records of a block, at least one of them without a bed, meet in pairs.
-    """
-    cols = ["bed", "civil_id", "name", "gender", "age", "dx"]
-    own = {c: F.col(c) for c in cols}
-    values = [f"__b{i}" for i in range(len(blocks))]
-    marked = records.select(key, *cols, *[b.alias(v) for b, v in zip(blocks, values, strict=True)]).withColumn("__alike", should_merge(own, own) & F.coalesce(F.col("bed").cast("string"), *[F.col(v).cast("string") for v in values]).isNotNull())
-    alike = marked.where("__alike")
-    kept = alike.groupBy(*cols, *values).agg(F.min(key).alias(key)).unionByName(marked.where("NOT __alike").drop("__alike"))
-    same = stars(alike, [*cols, *values], key)
-    bed = stars(kept.where("bed IS NOT NULL"), ["bed"], key)
-    in_blocks = kept.withColumn("__b", F.explode(F.array_distinct(F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(v)) for i, v in enumerate(values)])))))
-    l = in_blocks.select("__b", *[F.col(c).alias(f"l_{c}") for c in [key, *cols]])
-    r = in_blocks.select("__b", *[F.col(c).alias(f"r_{c}") for c in [key, *cols]])
-    # Of two beds the same is linked above, and different ones never merge: at least one of a pair has none.
-    pairs = l.join(r.where("r_bed IS NULL"), "__b").where(F.col("l_bed").isNotNull() | (F.col(f"l_{key}") < F.col(f"r_{key}")))
-    merge = should_merge({c: F.col(f"l_{c}") for c in cols}, {c: F.col(f"r_{c}") for c in cols})
-    met = pairs.where(merge).select(F.least(f"l_{key}", f"r_{key}").alias("src"), F.greatest(f"l_{key}", f"r_{key}").alias("dst"))
-    return same.unionByName(bed).unionByName(met).distinct()
-
-
 def merge_groups(nodes: DataFrame, key: str, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """key and group, the least key that is reachable over the edges: minima spread and jump until nothing changes."""
     both = cut_lineage(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())

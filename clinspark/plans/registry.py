@@ -120,15 +120,6 @@ def contains_inference(spark, d):
     return correction.infer_by_contains(scan(spark, d, "part").withColumn("t", F.concat("p_name", "p_type")), "p_partkey", "t", pairs, "needle", "outcome")
 
 
-@query("""
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ['septic shock', 'acute kidney injury'] WHEN 1 THEN ['kidney', 'shock'] WHEN 2 THEN ['pneumonia', 'pneumonia'] ELSE []::VARCHAR[] END AS found FROM customer""")
-def phrase_evidence(spark, d):
-    """Clinical phrases in texts, longest first and without overlap."""
-    lex = F.array(*[F.lit(x) for x in ("septic shock", "shock", "acute kidney injury", "kidney", "pneumonia")])
-    t = F.element_at(F.array(*[F.lit(x) for x in ("septic shock with acute kidney injury", "kidney stone shock", "pneumonia pneumonia", "none")]), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return scan(spark, d, "customer").select("c_custkey", correction.evidence(F.split(t, " "), lex).alias("found"))
-
-
 @query("""SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '1') AND c_custkey NOT IN (1, 10) ORDER BY c_custkey LIMIT 8""")
 def drug_suggestions(spark, d):
     return correction.suggestions(scan(spark, d, "customer"), ["c_name"], "1", "c_custkey", [1, 10]).select("c_custkey", "c_name")

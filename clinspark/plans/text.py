@@ -322,23 +322,6 @@ _MERGE = """CASE WHEN a.bed IS NOT NULL AND b.bed IS NOT NULL THEN a.bed = b.bed
   WHEN levenshtein(a.name, b.name) <= 1 THEN TRUE WHEN a.gender <> b.gender THEN FALSE WHEN abs(a.age - b.age) > 8 THEN FALSE WHEN abs(a.age - b.age) <= 2 AND a.dx = b.dx THEN TRUE ELSE levenshtein(a.name, b.name) <= 2 END"""
 
 
-@query(f"""
-WITH RECURSIVE c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'B' || c_custkey % 400 END AS bed, c_mktsegment AS name, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender,
-  CAST(floor(abs(c_acctbal)) % 90 AS INTEGER) AS age, CAST(c_nationkey AS VARCHAR) AS dx FROM customer),
-e AS (SELECT a.id AS x, b.id AS y FROM c a JOIN c b ON a.bed = b.bed AND a.id <> b.id AND {_MERGE} UNION SELECT a.id, b.id FROM c a JOIN c b ON a.dx = b.dx AND a.name = b.name AND a.age // 3 = b.age // 3 AND a.id <> b.id AND {_MERGE}),
-r(id, x) AS (SELECT id, id FROM c UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.x)
-SELECT id, min(x) AS "group" FROM r GROUP BY 1""")
-def record_linkage(spark, d):
-    """Customers as records with a bed, an age and a name, linked inside blocks and merged over chains of links."""
-    c = scan(spark, d, "customer").select(
-        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("B"), (F.col("c_custkey") % 400).cast("string"))).alias("bed"),
-        F.lit(None).cast("string").alias("civil_id"), name_key(F.col("c_mktsegment")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M").alias("gender"),
-        (F.floor(F.abs("c_acctbal")) % 90).cast("int").alias("age"), F.col("c_nationkey").cast("string").alias("dx"),
-    )
-    edges = records.link_pairs(c, "id", [F.concat(F.lit("bed"), F.col("bed")), F.concat_ws("|", F.col("dx"), F.col("name"), F.floor(F.col("age") / 3).cast("string"))])
-    return records.merge_groups(c, "id", edges)
-
-
 @query()
 def fieldwise_accuracy(spark, d):
     """Predicted against true records of a page, matched one to one by score, and their share of right fields."""

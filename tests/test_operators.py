@@ -45,13 +45,6 @@ def test_groups_are_components(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7, 8: 7, 9: 7, 10: 10, 11: 11}
 
 
-def test_linkage_rules_in_order(spark):
-    schema = "id long, bed string, civil_id string, name string, gender string, age int, dx string"
-    rows = [(1, "B1", None, "AHMED ALI", "M", 60, "DM2"), (2, "B1", None, "X", "F", 20, "UTI"), (3, None, None, "AHMED AL1", "F", 90, None), (4, "B2", None, "AHMED ALI", "M", 60, "DM2")]
-    edges = records.link_pairs(spark.createDataFrame(rows, schema), "id", [F.lit("all")])
-    assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (1, 3), (3, 4)}
-
-
 def test_isotonic_fit_never_falls():
     x, y = learning.pool_adjacent(np.arange(6.0), np.array([0.1, 0.5, 0.3, 0.3, 0.9, 0.2]), np.ones(6))
     assert (np.diff(y) >= 0).all() and len(x) == len(y)
