@@ -120,13 +120,13 @@ def concept_lookup(spark, d):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{7,}'))) AS w FROM benchmark),
-m AS (SELECT doc_id, w, regexp_extract(text, '(?i)(?:^|[^A-Za-z])(' || w || ') +([A-Za-z]+)', ['found', 'next']) AS g FROM documents JOIN w ON contains(lower(text), w))
-SELECT doc_id, w AS rule, g.found, g.next FROM m WHERE g.found <> ''""")
+WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '\\p{L}{7,}'))) AS w FROM benchmark),
+m AS (SELECT doc_id, w, text, '(?i)(?:^|[^\\p{L}])(' || w || ') +(\\p{L}+)' AS p FROM documents JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents) d USING (doc_id) JOIN w USING (w))
+SELECT doc_id, w AS rule, regexp_extract(text, p, 1) AS found, regexp_extract(text, p, 2) AS next FROM m WHERE regexp_matches(text, p)""")
 def rule_matches(spark, d):
     """A rule for every longer word of the benchmark, over all documents: the word with what follows it."""
-    words = scan(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("rule")).distinct()
-    rules = words.select("rule", F.concat(F.lit("(?i)(?:^|[^A-Za-z])("), "rule", F.lit(") +([A-Za-z]+)")).alias("pattern"), F.lit("follows").alias("infers"), F.array("rule").alias("anchors"))
+    words = scan(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("\\p{L}{7,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("rule")).distinct()
+    rules = words.select("rule", F.concat(F.lit("(?i)(?:^|[\\W\\d_])("), "rule", F.lit(") +([^\\W\\d_]+)")).alias("pattern"), F.lit("follows").alias("infers"), F.array("rule").alias("anchors"))
     out = rule_table.matches(scan(spark, d, "documents"), "doc_id", "text", rules)
     return out.select("doc_id", "rule", F.get("groups", 0).alias("found"), F.get("groups", 1).alias("next"))
 

@@ -34,7 +34,7 @@ class LastRows(StatefulProcessor):
         self.kept = handle.getListState("kept", KEPT)
         self.seen = handle.getValueState("seen", "n long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
         n = self.seen.get()[0] if self.seen.exists() else 0
         for part in rows:
@@ -63,7 +63,7 @@ class Refit(StatefulProcessor):
         mean = total / n
         return pd.DataFrame({"event_type": [key[0]], "fits": [fits], "n": [n], "mean": [mean], "spread": [max(squares / n - mean * mean, 0.0) ** 0.5], "by": [by]})
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n, total, squares, fresh, fits, due = self.sums.get() if self.sums.exists() else (0, 0.0, 0.0, 0, 0, 0)
         latest = 0
         for part in rows:
@@ -78,11 +78,11 @@ class Refit(StatefulProcessor):
                 due = 0
             yield self._fit(key, n, total, squares, fits, "rows")
         elif fresh and not due:
-            due = max(latest, timer_values.getCurrentWatermarkInMs()) + self.wait
+            due = max(latest, timerValues.getCurrentWatermarkInMs()) + self.wait
             self.handle.registerTimer(due)
         self.sums.update((n, total, squares, fresh, fits, due))
 
-    def handleExpiredTimer(self, key: Any, timer_values: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         n, total, squares, fresh, fits, _ = self.sums.get()
         self.sums.update((n, total, squares, 0, fits + bool(fresh), 0))
         if fresh:
