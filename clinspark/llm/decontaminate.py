@@ -21,6 +21,8 @@ and the place alone; the words are fetched for the documents that have a match.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ UNITS = (
 ).split()
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 #: Put before a word that has a capital inside a sentence, and between the words of one slot.
-_MARK, _JOIN = "\x01", "\x02"
+_MARK, _JOIN, _FIRST = "\x01", "\x02", "\x03"
 #: Forms of a window.
 TEMPLATE, PLAIN = 0, 1
 
@@ -78,16 +80,16 @@ def template_of(words: Column) -> Column:
 
 
 def _read(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, slots, words and template of every row; a text without words has one empty word."""
+    """key, joined slots (s), slots, words and template of every row; a text without words has one empty word."""
     joined = rows.select(F.col(key).alias("key"), slots_of(F.col(text)).alias("s"))
-    parts = joined.select("key", F.split("s", " ").alias("slots"), F.split(plain_of(F.col("s")), " ").alias("words"))
-    return parts.select("key", "slots", "words", template_of(F.col("slots")).alias("template"))
+    parts = joined.select("key", "s", F.split("s", " ").alias("slots"), F.split(plain_of(F.col("s")), " ").alias("words"))
+    return parts.select("key", "s", "slots", "words", template_of(F.col("slots")).alias("template"))
 
 
-def _plain_at(slots: Column, at: Column) -> Column:
-    """The place among the plain words of the slot at ``at``."""
-    before = F.array_join(F.slice(slots, F.lit(1), at), "")
-    return at + F.length(before) - F.length(F.translate(before, _JOIN, ""))
+def places_of(joined: Column) -> Column:
+    """The place of each slot among the plain words, for all slots at once."""
+    words = F.split(F.translate(F.replace(joined, F.lit(" "), F.lit(" " + _FIRST)), _JOIN, " "), " ")
+    return F.filter(F.transform(words, lambda w, i: F.when((i == 0) | F.startswith(w, F.lit(_FIRST)), i)), lambda i: i.isNotNull())
 
 
 def item_windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -99,19 +101,22 @@ def item_windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame
     t = _read(items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key, text]), key, text).where(F.element_at("words", 1) != "")
     m, least = F.size("words"), width // 2 + 1
     wide = F.when(m < width, m).when(m <= 2 * width, F.greatest(F.lit(min(least, width)), F.floor((m - 1) / 2).cast("int"))).otherwise(width)
-    pos = F.transform(F.sequence(F.lit(0), F.size("slots") - 1), lambda i: _plain_at(F.col("slots"), i))
-    t = t.select(F.col("key").alias("item"), "slots", "words", "template", m.alias("m"), wide.alias("wide"), pos.alias("pos")).withColumn("n", F.col("m") - F.col("wide") + 1)
+    t = t.select(F.col("key").alias("item"), "slots", "words", "template", places_of(F.col("s")).alias("pos"), m.alias("m"), wide.alias("wide")).withColumn("n", F.col("m") - F.col("wide") + 1)
     short = t.withColumn("width", F.least("wide", F.size("slots")))
-    at = short.select("*", F.explode(F.sequence(F.lit(0), F.size("slots") - F.col("width"))).alias("i"))
-    cut = lambda c: F.slice(c, F.col("i") + 1, F.col("width"))
-    start = F.get("pos", F.col("i"))
-    length = F.coalesce(F.get("pos", F.col("i") + F.col("width")), F.col("m")) - start
-    shaped = at.select("item", "m", "n", F.lit(TEMPLATE).alias("form"), start.alias("at"), length.alias("len"), "width", cut("template").alias("window"), cut("slots").alias("item_words"), cut("pos").alias("pos"))
+
+    def windows(rows: DataFrame, form: int, last: Column, one: Callable[[Column], list[Column]]) -> DataFrame:
+        """A row for each window; it carries its own slices alone, however long the item."""
+        every = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(*one(i)))
+        return rows.select("item", "m", "n", F.lit(form).alias("form"), "width", F.explode(every).alias("w")).select("item", "m", "n", "form", "w.at", "w.len", "width", "w.window", "w.item_words", "w.pos")
+
+    cut = lambda c, i: F.slice(c, i + 1, F.col("width"))
+    start = lambda i: F.get("pos", i)
+    length = lambda i: F.coalesce(F.get("pos", i + F.col("width")), F.col("m")) - start(i)
+    shaped = windows(short, TEMPLATE, F.size("slots") - F.col("width"), lambda i: [start(i).alias("at"), length(i).alias("len"), cut("template", i).alias("window"), cut("slots", i).alias("item_words"), cut("pos", i).alias("pos")])
     literal = F.size(F.filter("window", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
     shaped = shaped.where(literal >= F.least(F.lit(LITERALS), F.col("width")))
-    at = t.withColumn("width", F.col("wide")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     none = F.array().cast("array<int>")
-    plain = at.select("item", "m", "n", F.lit(PLAIN).alias("form"), F.col("i").alias("at"), F.col("width").alias("len"), "width", cut("words").alias("window"), cut("words").alias("item_words"), none.alias("pos"))
+    plain = windows(t.withColumn("width", F.col("wide")), PLAIN, F.col("n") - 1, lambda i: [i.alias("at"), F.col("width").alias("len"), cut("words", i).alias("window"), cut("words", i).alias("item_words"), none.alias("pos")])
     return shaped.unionByName(plain).withColumns({"hash": F.xxhash64("form", "window"), "anchor": F.xxhash64(F.slice("window", 1, ANCHOR))})
 
 
@@ -160,7 +165,7 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, te
     # Consistency is a matter of one text; equal keys with different texts stay apart by its hash.
     t = t.withColumn("of", F.xxhash64("words"))
     if few:
-        at = t.select("key", "of", "slots", "words", "template", F.explode(F.concat(*[places(*k) for k in kinds]) if kinds else no_place).alias("p"))
+        at = t.withColumn("ps", F.concat(*[places(*k) for k in kinds]) if kinds else no_place)
     else:
         near = t.select("key", "of", F.explode(F.concat(*[hashed_places(*k) for k in kinds])).alias("e")).select("key", "of", "e.*")
         known = windows.select("anchor").distinct()
@@ -170,17 +175,22 @@ def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, te
         near = near.select("key", "of", "p", "hash").join(hashes, "hash", "left_semi").groupBy("key", "of").agg(F.collect_set("p").alias("ps"))
         near, _ = written(spark, near.withColumnsRenamed({"key": "__key", "of": "__of"}), "window-places")
         same = F.col("key").eqNullSafe(F.col("__key")) & (F.col("of") == F.col("__of"))
-        at = t.join(near, same).select("key", "of", "slots", "words", "template", F.explode("ps").alias("p"))
-    shaped = F.col("p.form") == TEMPLATE
-    cut = lambda c: F.slice(c, F.col("p.at") + 1, F.col("p.width"))
-    made = at.select(
-        "key",
-        "of",
-        F.when(shaped, _plain_at(F.col("slots"), F.col("p.at"))).otherwise(F.col("p.at")).alias("doc_at"),
-        F.col("p.form").alias("form"),
-        F.when(shaped, cut("template")).otherwise(cut("words")).alias("doc_window"),
-        F.when(shaped, cut("slots")).otherwise(F.array().cast("array<string>")).alias("words"),
-    )
+        at = t.join(near, same)
+
+    def sliced(p: Column) -> Column:
+        """What a match needs of its place: the rest of the text is not carried along."""
+        shaped = p["form"] == TEMPLATE
+        cut = lambda c: F.slice(c, p["at"] + 1, p["width"])
+        return F.struct(
+            F.when(shaped, F.get("pos", p["at"])).otherwise(p["at"]).alias("doc_at"),
+            p["form"].alias("form"),
+            F.when(shaped, cut("template")).otherwise(cut("words")).alias("doc_window"),
+            F.when(shaped, cut("slots")).otherwise(F.array().cast("array<string>")).alias("words"),
+        )
+
+    # Most texts have no place to look at: only the others number their slots.
+    at = at.withColumn("pos", F.when(F.size("ps") > 0, places_of(F.col("s"))))
+    made = at.select("key", "of", F.explode(F.transform("ps", sliced)).alias("w")).select("key", "of", "w.*")
     hashed = made.withColumn("hash", F.xxhash64("form", "doc_window"))
     joined = hashed.join(F.broadcast(windows) if few else windows, ["hash", "form"]).where(F.col("doc_window") == F.col("window"))
     one = lambda i: F.struct(F.get("window", i).alias("kind"), F.get("item_words", i).alias("item"), F.get("words", i).alias("doc"), F.get("pos", i).alias("pos"))
