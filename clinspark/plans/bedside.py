@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import key_seed
 from clinspark.operators import clinical_text as X
-from clinspark.operators import text_rules
+from clinspark.operators import entities, text_rules
 from clinspark.sources import codecs
 from clinspark.sources.store import scan
 
@@ -203,3 +203,57 @@ def card_contents(spark, d):
     raw = scan(spark, d, "customer").select("c_custkey", F.unhex(F.get(files, (k % 4).cast("int"))).alias("raw"))
     out = codecs.card_files(raw, "c_custkey", "raw")
     return out.select("c_custkey", "groups", "mrz", "format", F.length("picture").alias("picture_bytes"), "personal_number", "birthplace")
+
+
+def sheet_tokens(spark, d):
+    """Tokens as sheets hold them: words of conversations, and cells written from the columns of customers."""
+    k, bal = F.col("c_custkey"), F.floor(F.abs("c_acctbal"))
+    s = lambda c: c.cast("string")
+    deal = lambda *words: F.get(F.array(*[F.lit(w) for w in words]), (F.col("c_nationkey") % len(words)).cast("int"))
+    cells = [
+        F.concat(s(bal % 140), F.lit("/"), F.when(k % 2 == 0, "M").otherwise("f")), F.concat(F.when(k % 2 == 0, "F ").otherwise("m"), s(bal % 135)), s(bal % 130), F.concat(s(bal % 110), F.lit(" yrs old")),
+        F.concat(F.lit("2"), F.lpad(s(k), 11, "0")), F.concat(F.lit("3-"), F.lpad(s(bal), 11, "O")), F.concat(F.lit("MRN: "), s(bal * 1000 + k % 1000)), F.concat(F.lit("Ward #"), s(k % 120)), F.concat(F.lit("O2 "), s(k % 12), F.lit("L")),
+        F.concat(deal("AB", "A", "o", "B", "C"), F.when(k % 3 == 0, " pos").when(k % 3 == 1, "-").otherwise("")), F.concat(deal("day ", "d", "q", "obs q"), s(k % 40), F.when(k % 2 == 0, "h").otherwise("")),
+        F.concat(deal("icu", "HDU", "red", "Yellow", "GREEN", "nkda", "DNR", "contact", "RA", "w/c"), F.when(k % 5 == 0, "n").otherwise("")), F.concat(deal("bipap", "nasal cannula", "vented", "Airborne", "ambulant", "stretcher", "bed bound"), F.lit(" "), s(k % 9)),
+        F.concat_ws(" ", deal("allergic to", "Comfort", "to icu", "for", "ER", "female", "male"), deal("ct", "discharge", "penicillin")), deal("M", "f", "male", "Female", "NPO", "follow-up", "pcn", "NFR", "full code", "transferred"),
+    ]
+    written = scan(spark, d, "customer").select(F.explode(F.array(*cells)).alias("token"))
+    said = scan(spark, d, "conversations").select(F.explode(F.split("text", "[ \\n]+")).alias("token"))
+    return written.union(said).where("trim(token) <> ''").distinct()
+
+
+def _kind_sql(kind):
+    tests = " ".join(f"WHEN regexp_matches(t, '(?is)^{p}') THEN {c}" for p, c, _ in entities.PATTERNS[kind])
+    return f"SELECT token, '{kind}' AS kind, CAST(CASE {tests} END AS DOUBLE) AS confidence FROM w"
+
+
+def _deal_sql(*words):
+    return f"({list(words)!r})[CAST(c_nationkey % {len(words)} AS INTEGER) + 1]"
+
+
+_TOKENS_SQL = f"""
+SELECT DISTINCT token FROM (SELECT unnest([
+  bal % 140 || '/' || CASE WHEN k % 2 = 0 THEN 'M' ELSE 'f' END, CASE WHEN k % 2 = 0 THEN 'F ' ELSE 'm' END || bal % 135, CAST(bal % 130 AS VARCHAR), bal % 110 || ' yrs old', '2' || lpad(CAST(k AS VARCHAR), 11, '0'), '3-' || lpad(CAST(bal AS VARCHAR), 11, 'O'),
+  'MRN: ' || (bal * 1000 + k % 1000), 'Ward #' || k % 120, 'O2 ' || k % 12 || 'L', {_deal_sql("AB", "A", "o", "B", "C")} || CASE k % 3 WHEN 0 THEN ' pos' WHEN 1 THEN '-' ELSE '' END, {_deal_sql("day ", "d", "q", "obs q")} || k % 40 || CASE WHEN k % 2 = 0 THEN 'h' ELSE '' END,
+  {_deal_sql("icu", "HDU", "red", "Yellow", "GREEN", "nkda", "DNR", "contact", "RA", "w/c")} || CASE WHEN k % 5 = 0 THEN 'n' ELSE '' END, {_deal_sql("bipap", "nasal cannula", "vented", "Airborne", "ambulant", "stretcher", "bed bound")} || ' ' || k % 9,
+  {_deal_sql("allergic to", "Comfort", "to icu", "for", "ER", "female", "male")} || ' ' || {_deal_sql("ct", "discharge", "penicillin")}, {_deal_sql("M", "f", "male", "Female", "NPO", "follow-up", "pcn", "NFR", "full code", "transferred")}]) AS token
+  FROM (SELECT c_custkey AS k, c_nationkey, CAST(floor(abs(c_acctbal)) AS BIGINT) AS bal FROM customer)
+  UNION ALL SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) FROM conversations) WHERE trim(token) <> ''"""
+
+
+@query(f"""
+WITH w AS (SELECT token, trim(token) AS t FROM ({_TOKENS_SQL})),
+b AS (SELECT token, t, upper(regexp_replace(t, '\\s+', '', 'g')) AS blood, translate(regexp_replace(t, '[\\s-]', '', 'g'), 'OoIl|', '00111') AS civil, regexp_replace(upper(t), '[^A-Z0-9]', '', 'g') AS key FROM w),
+s AS ({" UNION ALL ".join(_kind_sql(x) for x in ("WARD", "O2", "ISOLATION", "MOBILITY", "STATUS", "SHEET_STATUS", "ALLERGY", "GENDER"))}
+  UNION ALL SELECT token, 'AGE_GENDER', CASE WHEN TRY_CAST(regexp_extract(t, '^(\\d{{1,3}})\\s*[/\\\\,\\- ]?\\s*([MFmf])$', 1) AS INTEGER) BETWEEN 1 AND 129 OR TRY_CAST(regexp_extract(t, '^([MFmf])\\s*[/\\\\,\\- ]?\\s*(\\d{{1,3}})$', 2) AS INTEGER) BETWEEN 1 AND 129 THEN 0.95::DOUBLE END FROM w
+  UNION ALL SELECT token, 'AGE', CAST(CASE WHEN regexp_matches(t, '^\\d{{1,3}}$') THEN CASE WHEN CAST(t AS INTEGER) BETWEEN 18 AND 100 THEN 0.5 END WHEN regexp_matches(t, '(?i)^\\d{{1,3}}\\s*(?:y(?:rs?|ears?)?(?:\\s*old)?|سنة)$') THEN 0.9 END AS DOUBLE) FROM w
+  UNION ALL SELECT token, 'CIVIL_ID', CAST(CASE WHEN regexp_matches(civil, '^[23]\\d{{11}}$') THEN 0.97 WHEN regexp_matches(t, '^(?:MRN|mrn|ID|id)[:\\s#]*\\d{{6,10}}$') THEN 0.85 END AS DOUBLE) FROM b
+  UNION ALL SELECT token, 'BLOOD_TYPE', CAST(CASE WHEN regexp_matches(blood, '^(A|B|AB|O)[+-]$') THEN 0.92 WHEN regexp_matches(blood, '^(A|B|AB|O)$') THEN 0.6 WHEN regexp_matches(blood, '^(A|B|AB|O)(POS|NEG)') THEN 0.9 END AS DOUBLE) FROM b
+  UNION ALL SELECT token, 'TRIAGE', CASE WHEN upper(t) IN ('RED', 'YELLOW', 'GREEN') THEN 0.98::DOUBLE WHEN levenshtein(key, 'RED') <= 1 THEN 0.72::DOUBLE + (1::DOUBLE - levenshtein(key, 'RED') / greatest(length(key), 3)) * 0.22::DOUBLE
+    WHEN levenshtein(key, 'YELLOW') <= 1 THEN 0.72::DOUBLE + (1::DOUBLE - levenshtein(key, 'YELLOW') / greatest(length(key), 6)) * 0.22::DOUBLE WHEN levenshtein(key, 'GREEN') <= 1 THEN 0.72::DOUBLE + (1::DOUBLE - levenshtein(key, 'GREEN') / greatest(length(key), 5)) * 0.22::DOUBLE END FROM b)
+SELECT token, kind, round(confidence, 9) AS confidence FROM s WHERE confidence > 0.3""")
+def entity_confidences(spark, d):
+    """How sure each scorer by pattern is of each different token."""
+    kinds = ["WARD", "O2", "ISOLATION", "MOBILITY", "STATUS", "SHEET_STATUS", "ALLERGY", "GENDER", "AGE_GENDER", "AGE", "CIVIL_ID", "BLOOD_TYPE", "TRIAGE"]
+    scored = sheet_tokens(spark, d).select("token", F.explode(entities.score(F.col("token"))).alias("s"))
+    return scored.where(F.col("s.entity").isin(kinds)).select("token", F.col("s.entity").alias("kind"), F.round("s.confidence", 9).alias("confidence"))

@@ -203,13 +203,6 @@ def html_to_text_rows(spark, d):
     return rows.groupBy("page_id").agg(F.count("*").alias("rows"), F.sum(F.length("x")).cast("long").alias("chars"))
 
 
-@query("""
-SELECT token, entity FROM (VALUES ('67/M', 'AGE_GENDER'), ('E-M-03', 'BED'), ('Ahmed', 'NAME'), ('STEMI', 'DIAGNOSIS'), ('NKDA', 'ALLERGY'), ('RED', 'TRIAGE'), ('A+', 'BLOOD_TYPE'), ('ICU', 'WARD'), ('HFNC', 'O2'), ('amoxicillin', 'MEDICATION'), ('???', 'UNKNOWN')) t(token, entity)""")
-def entity_scorers(spark, d):
-    tokens = ["67/M", "E-M-03", "Ahmed", "STEMI", "NKDA", "RED", "A+", "ICU", "HFNC", "amoxicillin", "???"]
-    return spark.createDataFrame([(t,) for t in tokens], "token string").select("token", text_rules.classify_token(F.col("token")).alias("entity"))
-
-
 @query("""
 SELECT doc_id, CASE WHEN b < 0.9 THEN 'train' WHEN b < 0.97 THEN 'validation' ELSE 'test' END AS part FROM (SELECT doc_id, CAST('0x' || substr(sha1(text), 1, 2) AS INTEGER) / 255 AS b FROM documents)""")
 def hash_split(spark, d):
