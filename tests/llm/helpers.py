@@ -87,6 +87,7 @@ def read_slots(text):
 def leaks(docs, items, width=8, share=0.65, enough=18, band=16):
     """{(document, item): (windows, coverage, changed slots)} of pairs of id and text."""
     from collections import Counter, defaultdict
+    from itertools import accumulate
 
     def windows_of(slots, words, w, form):
         if form:
@@ -96,14 +97,16 @@ def leaks(docs, items, width=8, share=0.65, enough=18, band=16):
 
     found = {}
     read = lambda t: (lambda s: (s, [x for _, w in s for x in w]))(read_slots(t or ""))
+    places = lambda slots: [0, *accumulate(len(w) for _, w in slots)]
     docs = [(d, *read(t)) for d, t in docs]
+    docs = [(d, s, w, places(s), {}) for d, s, w in docs]
     for item, (slots, words) in ((i, read(t)) for i, t in items):
         m = len(words)
         if not m:
             continue
         wide = m if m < width else max(width // 2 + 1, (m - 1) // 2) if m <= 2 * width else width
         n = m - wide + 1
-        place = [sum(len(w) for _, w in slots[:i]) for i in range(len(slots) + 1)]
+        place = places(slots)
         t = min(wide, len(slots))
         by = defaultdict(list)
         for i, shape in windows_of(slots, words, t, 0):
@@ -111,11 +114,12 @@ def leaks(docs, items, width=8, share=0.65, enough=18, band=16):
                 by[0, shape].append(i)
         for i, shape in windows_of(slots, words, wide, 1):
             by[1, shape].append(i)
-        for d, dslots, dwords in docs:
-            dplace = [sum(len(w) for _, w in dslots[:i]) for i in range(len(dslots) + 1)]
+        for d, dslots, dwords, dplace, cut in docs:
             hits = []
             for form, w in ((0, t), (1, wide)):
-                for j, shape in windows_of(dslots, dwords, w, form):
+                if (form, w) not in cut:
+                    cut[form, w] = windows_of(dslots, dwords, w, form)
+                for j, shape in cut[form, w]:
                     for i in by.get((form, shape), ()):
                         if form:
                             hits.append((j - i, i, wide, ()))
