@@ -4,11 +4,13 @@ Words are read into classes: insult (learned, weighted), threat, target, negatio
 languages). Each class has a transducer of its own, built apart: those of target, negation and reported speech mark the
 words that they reach; that of threats joins a threat with a target before or after it; that of insults turns a hit with
 its marks into a pattern (plain, at a target, negated, reported). :func:`compose` chains them, the output of one being the
-input of the next, and :func:`compiled` gives the composition as one table of numbered states. A clause adds the weight of
-its strongest hit under its pattern; a document's score is a logistic function of these sums.
+input of the next, and :func:`compiled` gives the composition as one table of numbered states. A clause adds the weights of
+its different hits under their patterns, equal clauses once; a document's score is a logistic function of these sums.
 
 Learned from a bounded sample of labelled rows: which word forms and word beginnings (stems, so that inflected forms
-match too) mark insults, and the weight of each pattern. The words of a text are all that a score depends on.
+match too) mark insults, which words are threats (they mark the label only where a target is near), and the weights of the
+patterns, ordered by construction: a hit at a target counts most, a plain one less, a negated or reported one least. The
+words of a text are all that a score depends on.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ REACH = {"target": 4, "negation": 3, "report": 6, "threat": 3}
 PATTERNS = ("plain", "target", "negated", "reported")
 KINDS = ("hit", "threat", "target", "negation", "report", "end", "other")
 NONE = -1
-THREAT_WEIGHT = 1.0
+#: By how much of a hit's weight a plain one goes over a negated one, and one at a target over a plain one, at the least.
+STEP = 0.1
 
 
 class Symbol(NamedTuple):
@@ -137,15 +140,17 @@ class Hit(NamedTuple):
     word: str
 
 
-#: The numbers that :meth:`Grammar.features` gives.
-FEATURES = len(PATTERNS) + 3
+#: The patterns that each number of :meth:`Grammar.features` sums over: all, those without negation or report, at a target.
+SUMMED = ((0, 1, 2, 3), (0, 1), (1,))
+FEATURES = len(SUMMED)
 
 
 class Grammar:
-    """The composed machine with a lexicon of weighted words and stems."""
+    """The composed machine with a lexicon of weighted words, stems and threats (if not given: the seeds, of weight 1)."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], threats: dict[str, float] | None = None):
         self.words, self.stems = words, stems
+        self.threats = dict.fromkeys(sorted(THREATS), 1.0) if threats is None else threats
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
         self.known: dict[str, tuple[str, float] | None] = {}
         self.to, self.out = compiled()
@@ -164,8 +169,8 @@ class Grammar:
                     break
         if w is not None:
             k = ("hit", w)
-        elif word in THREATS:
-            k = ("threat", 0.0)
+        elif word in self.threats:
+            k = ("threat", self.threats[word])
         elif word in TARGETS:
             k = ("target", 0.0)
         elif word in NEGATIONS:
@@ -191,6 +196,7 @@ class Grammar:
             return
         to, out, rest = self.to, self.out, self.rest
         state, hits, idle = 0, [], 0
+        threat = ("", 0.0)  # the last one: the only one that can wait for a target
         for word, k in zip(tokens, kinds, strict=True):
             if k is None:
                 idle += 1
@@ -199,8 +205,11 @@ class Grammar:
                 state = to[state]["other"]
             idle = 0
             pattern, state = out[state][k[0]], to[state][k[0]]
+            if k[0] == "threat":
+                threat = (word, k[1])
             if pattern != NONE:
-                hits.append(Hit(pattern, k[1] if k[0] == "hit" else THREAT_WEIGHT, word))
+                w, weight = (word, k[1]) if k[0] == "hit" else threat
+                hits.append(Hit(pattern, weight, w))
             elif k[0] == "end" and hits:
                 yield hits
                 hits = []
@@ -208,20 +217,20 @@ class Grammar:
             yield hits
 
     def features(self, text: str) -> list[float]:
-        """What a score depends on.
+        """What a score depends on: for each entry of ``SUMMED`` the damped sum over the matched clauses.
 
-        For each pattern, the sum of the matched clauses' strongest weights (damped); then the strongest weight, the
-        number of matched clauses, and the weights of all different words that matched (both damped).
+        A clause adds the weight of each different word that it matched, under that word's last pattern there; a clause
+        that repeats another's matches adds nothing.
         """
-        sums, most, n = [0.0] * len(PATTERNS), 0.0, 0
-        words: dict[str, float] = {}
+        seen: set[frozenset[Hit]] = set()
+        sums = [0.0] * len(PATTERNS)
         for hits in self.clauses(text):
-            h = max(hits, key=lambda h: h.weight)
-            sums[h.pattern] += h.weight
-            most = max(most, h.weight)
-            n += 1
-            words.update((x.word, x.weight) for x in hits)
-        return [*map(math.log1p, sums), most, math.log1p(n), math.log1p(sum(words.values()))]
+            clause = frozenset({h.word: h for h in hits}.values())
+            if clause not in seen:
+                seen.add(clause)
+                for h in sorted(clause):
+                    sums[h.pattern] += h.weight
+        return [math.log1p(sum(sums[p] for p in over)) for over in SUMMED]
 
 
 def stems_of(word: str) -> Iterator[str]:
@@ -231,8 +240,24 @@ def stems_of(word: str) -> Iterator[str]:
     yield word
 
 
+def aimed(tokens: list[str]) -> Iterator[tuple[str, str]]:
+    """Words with a target within a threat's reach in their clause, each as ``@word``, with the word before."""
+    last, before, near = None, "", []  # the last target's place; the places after it that still wait for one
+    for i, w in enumerate(tokens):
+        if w in ".!?;:\n":
+            last, near = None, []
+        elif w in TARGETS:
+            yield from (("@" + x, y) for j, x, y in near if i - j <= REACH["threat"])
+            last, near = i, []
+        elif last is not None and i - last <= REACH["target"]:
+            yield "@" + w, before
+        else:
+            near = [*near[-REACH["threat"] :], (i, w, before)]
+        before = w
+
+
 def count_forms(labelled: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
-    """form, pos, neg: in how many texts of either label a word or a stem (with ``*``) occurs."""
+    """form, pos, neg: in how many texts of either label a word, a stem (with ``*``) or an aimed word (``@``) occurs."""
     ship_package(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +273,10 @@ def count_forms(labelled: DataFrame, text: str = "text", label: str = "label") -
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 forms: set[str] = set()
-                for w in set(WORD.findall((t or "").lower())):
+                tokens = WORD.findall((t or "").lower())
+                for w in set(tokens):
                     forms.update(stems_of(w))
+                forms.update(f for f, _ in aimed(tokens))
                 counts[1 if y else 0].update(forms)
                 if len(counts[0]) + len(counts[1]) > 500_000:
                     yield flush()
@@ -266,26 +293,38 @@ def count_contexts(labelled: DataFrame, forms: list[str], text: str = "text") ->
         for batch in batches:
             found: set[tuple[str, str]] = set()
             for t in batch.column(0).to_pylist():
-                before = ""
-                for w in WORD.findall((t or "").lower()):
+                before, tokens = "", WORD.findall((t or "").lower())
+                for w in tokens:
                     found.update((f, before) for f in stems_of(w) if f in given)
                     before = w
+                found.update(x for x in aimed(tokens) if x[0] in given)
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], names=["form", "before"])
 
     return labelled.select(text).mapInArrow(run, "form string, before string").groupBy("form").agg(F.count_distinct("before").alias("contexts"))
 
 
-def learn_lexicon(rows: DataFrame, positives: int, negatives: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that mark the label, with their log-odds, if too strong for chance.
+class Lexicon(NamedTuple):
+    words: dict[str, float]
+    stems: dict[str, float]
+    threats: dict[str, float]
+
+
+def learn_lexicon(rows: DataFrame, positives: int, negatives: int) -> Lexicon:
+    """Words, stems and threats that mark the label, with their log-odds, if too strong for chance.
 
     The strong forms are collected: no more than the sample, which bounds them, has. Copies of one text are no further evidence: a form must follow many different words. A stem must be productive,
-    that is, no single word may make up most of it; it is as long as its coverage allows.
+    that is, no single word may make up most of it; it is as long as its coverage allows. A threat marks the label near a
+    target and is no insult by itself. Of the seeds, those that occur at targets take their log-odds there (none below 0),
+    the others the median weight of what was learned.
     """
     p = positives / (positives + negatives)
     n = F.col("pos") + F.col("neg")
     odds = F.log((F.col("pos") + 0.5) / (positives + 1.0)) - F.log((F.col("neg") + 0.5) / (negatives + 1.0))
-    strong = count_forms(rows).where("pos >= 4").withColumns({"odds": odds, "precision": F.col("pos") / n}).where("odds > 1.5")
-    top = sorted(strong.collect(), key=lambda r: (-r["pos"], -r["odds"], r["form"]))
+    seeds = ["@" + w for w in sorted(THREATS)]
+    counted = count_forms(rows).withColumns({"odds": odds, "precision": F.col("pos") / n})
+    found = counted.where(((F.col("pos") >= 4) & (F.col("odds") > 1.5)) | (F.col("form").isin(seeds) & (n >= 4))).collect()
+    seeded = {r["form"][1:]: max(0.0, float(r["odds"])) for r in found if r["form"] in seeds}
+    top = sorted((r for r in found if r["pos"] >= 4 and r["odds"] > 1.5), key=lambda r: (-r["pos"], -r["odds"], r["form"]))
     contexts = {r["form"]: r["contexts"] for r in count_contexts(rows.where("label = 1"), [r["form"] for r in top]).collect()}
 
     def evident(r) -> bool:
@@ -294,7 +333,8 @@ def learn_lexicon(rows: DataFrame, positives: int, negatives: int) -> tuple[dict
         gain = share * math.log(share / p) + ((1 - share) * math.log((1 - share) / (1 - p)) if share < 1 else 0.0)
         return k >= 4 and k >= 0.3 * r["pos"] and k / share * gain > 8
 
-    kept = {r["form"]: (r["pos"], r["odds"]) for r in top if evident(r)}
+    shown = [r for r in top if evident(r)]
+    kept = {r["form"]: (r["pos"], r["odds"]) for r in shown if not r["form"].startswith("@")}
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     longer: dict[str, list[str]] = {}
@@ -319,12 +359,19 @@ def learn_lexicon(rows: DataFrame, positives: int, negatives: int) -> tuple[dict
             stems[form[:-1]] = float(o)
         elif form.isalpha():
             words[form] = float(o)
-    return words, stems
+    threats = {r["form"][1:]: float(r["odds"]) for r in shown if r["form"].startswith("@")}
+    learned = sorted([*words.values(), *stems.values(), *threats.values()])
+    if learned:
+        threats = dict.fromkeys(sorted(THREATS), learned[len(learned) // 2]) | threats | seeded
+    return Lexicon(words, stems, {w: o for w, o in threats.items() if o > 0 and not covered(w)})
+
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Weights (intercept last) by Newton's method with a ridge; balanced classes, so 0.5 lies between them.
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Weights (intercept last) by Newton's method with a ridge; balanced classes, so 0.5 lies between them."""
-    z = np.column_stack([x, np.ones(len(x))])
+    No weight is negative, and each but the first is at least ``STEP`` of the first: what is in more sums counts more.
+    """
+    z = np.column_stack([x[:, 0] + STEP * x[:, 1:].sum(axis=1), x[:, 1:], np.ones(len(x))])
     w = np.zeros(z.shape[1])
     n1 = max(y.sum(), 1)
     n0 = max(len(y) - y.sum(), 1)
@@ -335,11 +382,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (weight * (p - y)) + penalty * w
         h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        free = (w > 0) | (g < 0)  # a weight at 0 that would fall stays there
+        free[-1] = True
+        new = w.copy()
+        new[free] -= np.linalg.solve(h[np.ix_(free, free)], g[free])
+        new[:-1] = np.maximum(new[:-1], 0.0)
+        moved, w = np.abs(new - w).max(), new
+        if moved < 1e-8:
             break
-    return w
+    return np.concatenate([w[:1], w[1:-1] + STEP * w[0], w[-1:]])
 
 
 def _featured(docs: DataFrame, model: str, text: str, out: str, score: bool) -> DataFrame:
@@ -362,12 +413,13 @@ def _featured(docs: DataFrame, model: str, text: str, out: str, score: bool) ->
 class Toxicity:
     """A fitted model; ``to_json`` keeps all of it."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], weights: list[float]):
+    def __init__(self, words: dict[str, float], stems: dict[str, float], weights: list[float], threats: dict[str, float] | None = None):
         self.words, self.stems, self.weights = words, stems, weights
-        self.grammar = Grammar(words, stems)
+        self.grammar = Grammar(words, stems, threats)
+        self.threats = self.grammar.threats
 
     def to_json(self) -> str:
-        return json.dumps({"words": self.words, "stems": self.stems, "weights": list(self.weights)}, sort_keys=True)
+        return json.dumps({"words": self.words, "stems": self.stems, "threats": self.threats, "weights": list(self.weights)}, sort_keys=True)
 
     def score(self, features: list[list[float]]) -> np.ndarray:
         w = np.array(self.weights)
@@ -383,7 +435,7 @@ class Toxicity:
 @lru_cache(maxsize=2)
 def loaded(model: str) -> Toxicity:
     m = json.loads(model)
-    return Toxicity(m["words"], m["stems"], m["weights"])
+    return Toxicity(m["words"], m["stems"], m["weights"], m["threats"])
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Toxicity:
@@ -399,17 +451,17 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Toxici
     plain = [0.0] * FEATURES
     if not pos or not neg:
         remove(spark, path)
-        return Toxicity({}, {}, [*plain, -4.0])
-    words, stems = learn_lexicon(rows, pos, neg)
-    if not words and not stems:  # nothing tells the labels apart: no text is toxic
+        return Toxicity({}, {}, [*plain, -4.0], {})
+    words, stems, threats = learn_lexicon(rows, pos, neg)
+    if not words and not stems and not threats:  # nothing tells the labels apart: no text is toxic
         remove(spark, path)
-        return Toxicity({}, {}, [*plain, -4.0])
-    model = Toxicity(words, stems, [*plain, 0.0])
+        return Toxicity({}, {}, [*plain, -4.0], {})
+    model = Toxicity(words, stems, [*plain, 0.0], threats)
     seen = _featured(rows, model.to_json(), "text", "features", False).groupBy("label", "features").agg(F.count("*").alias("n")).collect()  # no more rows than the sample
     remove(spark, path)
     x = np.repeat(np.array([r["features"] for r in seen]), [r["n"] for r in seen], axis=0)
     y = np.repeat(np.array([r["label"] for r in seen]), [r["n"] for r in seen])
-    return Toxicity(words, stems, fit_logistic(x, y.astype(float)).tolist())
+    return Toxicity(words, stems, fit_logistic(x, y.astype(float)).tolist(), threats)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

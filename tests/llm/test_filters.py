@@ -132,9 +132,9 @@ def test_grammar_tells_contexts_apart():
     assert kinds("") == [] and g.features("nothing") == [0.0] * toxicity.FEATURES
 
 
-def plain_features(text, lexicon, stems):
+def plain_features(text, lexicon, stems, threats):
     """What a score depends on, clause by clause and word by word, by looking back at the words before."""
-    sums, most, n, words = [0.0] * 4, 0.0, 0, {}
+    matched = set()
     tokens = re.findall(r"[^\W\d_]+|[.!?;:\n]", text.lower())
     clauses, clause = [], []
     for t in tokens:
@@ -145,7 +145,7 @@ def plain_features(text, lexicon, stems):
             clause.append(t)
     for clause in [*clauses, clause]:
         weight = [lexicon.get(t) or next((stems[t[:k]] for k in range(len(t), 0, -1) if t[:k] in stems), None) for t in clause]
-        free = lambda i: weight[i] is None and clause[i] not in toxicity.THREATS
+        free = lambda i: weight[i] is None and clause[i] not in threats
         near = lambda i, kind, reach: any(free(j) and clause[j] in kind for j in range(max(0, i - reach), i))
         negation, report = toxicity.NEGATIONS - toxicity.TARGETS, toxicity.REPORTS - toxicity.TARGETS - toxicity.NEGATIONS
         hits, waits = [], None
@@ -153,31 +153,61 @@ def plain_features(text, lexicon, stems):
             pattern = 3 if near(i, report, 6) else 2 if near(i, negation, 3) else 1 if near(i, toxicity.TARGETS, 4) else 0
             if weight[i] is not None:
                 hits.append((pattern, weight[i], t))
-            elif t in toxicity.THREATS:
+            elif t in threats:
                 waits = i if pattern == 0 else None
                 if pattern == 1:
-                    hits.append((1, 1.0, t))
+                    hits.append((1, threats[t], t))
             elif t in toxicity.TARGETS and waits is not None and i - waits <= 3:
-                hits.append((1, 1.0, t))
+                hits.append((1, threats[clause[waits]], clause[waits]))
                 waits = None
-        if hits:
-            best = max(hits, key=lambda h: h[1])
-            sums[best[0]] += best[1]
-            most, n = max(most, best[1]), n + 1
-            words.update({h[2]: h[1] for h in hits})
+        matched.add(frozenset({h[2]: h for h in hits}.values()))
     import math
 
-    return [*map(math.log1p, sums), most, math.log1p(n), math.log1p(sum(words.values()))]
+    return [math.log1p(sum(w for c in matched for p, w, _ in c if p in over)) for over in ((0, 1, 2, 3), (0, 1), (1,))]
 
 
 def test_features_equal_brute_force():
     r = random.Random(21)
     lexicon, stems = {"zork": 5.0, "fib": 2.5}, {"blarg": 4.0, "bla": 3.0}
     parts = ["zork", "fib", "blargung", "blau", "you", "not", "said", "kill", "hurt", "word", "other", "a", ".", "!", "\n", ",", "1", "You", "never", "du", "il", "x"]
-    grammar = toxicity.Grammar(lexicon, stems)
+    threats = {"kill": 4.0, "hurt": 1.5}
+    grammar = toxicity.Grammar(lexicon, stems, threats)
     for _ in range(3000):
         text = " ".join(r.choice(parts) for _ in range(r.randint(0, 25)))
-        assert grammar.features(text) == pytest.approx(plain_features(text, lexicon, stems)), text
+        assert grammar.features(text) == pytest.approx(plain_features(text, lexicon, stems, threats)), text
+
+
+def test_patterns_order_scores(spark):
+    d = "/root/testdata/sf0.1"
+    m = toxicity.fit(toxicity.training_rows(table(spark, d, "documents"), table(spark, d, "labels")))
+    insult = max(sorted(m.words), key=m.words.get)
+    score = lambda t: float(m.score([m.grammar.features(t)])[0])
+    plain = score(f"what a {insult}")
+    assert score(f"you are a {insult}") > plain > 0.5
+    assert score("") < score(f"not a {insult}") < plain and score(f"someone said {insult}") < plain
+    assert score("I will kill you tomorrow") > 0.5 > score("I will kill it tomorrow") == score("")
+    assert score("I will never kill you") == score("")
+    two = f"you are a {insult}. We will hurt you."
+    assert score(two) > score(f"you are a {insult}.") and score(f"{two} {two}") == score(two)
+
+
+def test_threats_are_learned_where_a_target_is_near(spark):
+    import itertools
+
+    words = [f"{a}{b}" for a, b in itertools.product(("ba", "ke", "lo", "mi", "nu"), ("rra", "sse", "tti", "ppo", "ddu"))]
+    r = random.Random(5)
+    fill = lambda: " ".join(r.choices(words, k=6))
+    rows = [(f"{fill()} grome you {fill()}", 1) for _ in range(60)] + [(f"{fill()} grome the {r.choice(words)} {fill()} fine", 0) for _ in range(200)] + [(f"you {fill()}. burn you {fill()}", 0) for _ in range(60)]
+    m = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    assert m.threats["grome"] > 1.5 and "grome" not in m.words and "burn" not in m.threats and "kill" in m.threats
+    score = lambda t: float(m.score([m.grammar.features(t)])[0])
+    assert score("they grome you") > 0.5 > score("grome the table") == score("")
+
+
+def test_aimed_words():
+    at = lambda t: sorted(f for f, _ in toxicity.aimed(toxicity.WORD.findall(t)))
+    assert at("a b c d you e") == ["@b", "@c", "@d", "@e"] and at("you. a") == [] and at("") == []
+    assert at("you a b c d e") == ["@a", "@b", "@c", "@d"] and at("a . you") == []
 
 
 def test_composition_is_associative():
@@ -206,7 +236,7 @@ def test_op9_equals_a_plain_scorer(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert got.keys() == texts.keys()
     for i, t in texts.items():
-        z = sum(w * x for w, x in zip(model.weights, [*plain_features(t or "", model.words, model.stems), 1.0], strict=True))
+        z = sum(w * x for w, x in zip(model.weights, [*plain_features(t or "", model.words, model.stems, model.threats), 1.0], strict=True))
         score = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         assert got[i].score == pytest.approx(score, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 

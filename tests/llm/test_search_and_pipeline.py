@@ -103,7 +103,7 @@ def test_pipeline_equals_plain_stages(spark, piece_model):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
 
     def score(text):
-        return sum(w * x for w, x in zip(model.weights, [*plain_features(text or "", model.words, model.stems), 1.0], strict=True))
+        return sum(w * x for w, x in zip(model.weights, [*plain_features(text or "", model.words, model.stems, model.threats), 1.0], strict=True))
 
     clean = [r for r in rows if score(r[1]) < 0]
     texts = without_boilerplate(clean)
