@@ -93,7 +93,8 @@ def dbscan(points: DataFrame, key: str, x: str, y: str, eps: float, group: str,
 def records_from_words(words: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Words with entity, text, confidence and a row to one record for each row: the surest value of each entity.
 
-    Names are read from left to right; a row without a bed or a name goes to the record before it.
+    Names are read row by row from left to right; a row without a bed or a name goes to the record before it. Of several
+    beds or ages of a record's rows the first row's stays.
     """
     per_row = words.groupBy(doc, "row_id").agg(
         F.max_by(F.when(F.col("entity") == "BED", F.col("text")), F.when(F.col("entity") == "BED", F.col("confidence"))).alias("bed"),
@@ -102,4 +103,6 @@ def records_from_words(words: DataFrame, doc: str = "doc_id") -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.when(F.col("entity") == "DIAGNOSIS", F.struct("cx", "text")))), lambda s: s["text"]).alias("dx"),
     )
     anchored = islands(per_row, doc, ["row_id"], F.col("bed").isNotNull() | (F.size("names") > 0), "record_id")
-    return anchored.groupBy(doc, "record_id").agg(F.first("bed", ignorenulls=True).alias("bed"), F.first("age_gender", ignorenulls=True).alias("age_gender"), F.array_join(F.flatten(F.collect_list("names")), " ").alias("name"), F.flatten(F.collect_list("dx")).alias("dx"))
+    rows = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row_id", c))), lambda r: r[c]))
+    top = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("row_id"))).alias(c)
+    return anchored.groupBy(doc, "record_id").agg(top("bed"), top("age_gender"), F.array_join(rows("names"), " ").alias("name"), rows("dx").alias("dx"))
