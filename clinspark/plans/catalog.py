@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clinspark.plans import aggregates, bedside, clinical, generation, history, lexicons, ordered, registry, sheets, text
+from clinspark.plans import aggregates, bedside, care, clinical, generation, history, lexicons, ordered, registry, sheets, text
 
-_MODULES = (aggregates, ordered, text, clinical, registry, history, sheets, bedside, lexicons, generation)
+_MODULES = (aggregates, ordered, text, clinical, registry, history, sheets, bedside, lexicons, generation, care)
 
 
 def document_quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
