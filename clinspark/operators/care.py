@@ -7,7 +7,7 @@ a word, and ends at its end or is a stem of five letters or more; without, patte
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -104,6 +104,11 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used: patterns over long texts cost most."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def suggestion(rules: Sequence[CareRule], dx: Column, support: Column | None = None, borders: bool = True) -> Column:
     """struct<outcome, confidence, status, conflicting, rules>: the most serious match, ties to the earlier rule.
 
@@ -116,13 +121,15 @@ def suggestion(rules: Sequence[CareRule], dx: Column, support: Column | None = N
         hit = F.lit(False) if r.pattern is None else _text(dx).rlike(found_by(r.pattern, borders))
         hit = hit | given.isin(list(r.support)) if r.support else hit
         hits.append(F.when(hit, F.struct(F.lit(-r.severity).alias("s"), F.lit(i).alias("i"), F.lit(r.code).alias("code"), F.lit(r.outcome).alias("outcome"), F.lit(r.confidence).alias("confidence"))))
-    ordered = F.array_sort(F.array_compact(F.array(*hits)))
-    return F.struct(
-        F.get(ordered, 0)["outcome"].alias("outcome"),
-        F.coalesce(F.get(ordered, 0)["confidence"], F.lit(0.0)).alias("confidence"),
-        F.lit("UNVALIDATED").alias("status"),
-        (F.size(F.array_distinct(F.transform(ordered, lambda h: h["outcome"]))) > 1).alias("conflicting"),
-        F.transform(ordered, lambda h: F.struct(h["code"].alias("code"), h["outcome"].alias("outcome"), h["confidence"].alias("confidence"))).alias("rules"),
+    return _once(
+        F.array_sort(F.array_compact(F.array(*hits))),
+        lambda ordered: F.struct(
+            F.get(ordered, 0)["outcome"].alias("outcome"),
+            F.coalesce(F.get(ordered, 0)["confidence"], F.lit(0.0)).alias("confidence"),
+            F.lit("UNVALIDATED").alias("status"),
+            (F.size(F.array_distinct(F.transform(ordered, lambda h: h["outcome"]))) > 1).alias("conflicting"),
+            F.transform(ordered, lambda h: F.struct(h["code"].alias("code"), h["outcome"].alias("outcome"), h["confidence"].alias("confidence"))).alias("rules"),
+        ),
     )
 
 
@@ -135,7 +142,7 @@ def acuity(text: Column, vitals: Mapping[str, Column] | None = None, signals: Se
     t, spoken = _text(text), []
     for s in signals:
         found = F.coalesce(*[F.when(t.rlike(found_by(p, borders)), F.regexp_extract(t, found_by(p, borders), 0)) for p in s.patterns])
-        spoken.append(F.when(found.isNotNull(), F.struct(F.lit(s.name).alias("signal"), F.lit(s.weight).alias("weight"), found.alias("found"))))
+        spoken.append(F.struct(F.lit(s.name).alias("signal"), F.lit(s.weight).alias("weight"), found.alias("found"), F.lit(True).alias("text")))
     for name, weight, bounds in checks:
         bad = F.lit(False)
         for vital, low, high in bounds:
@@ -143,10 +150,14 @@ def acuity(text: Column, vitals: Mapping[str, Column] | None = None, signals: Se
                 v = vitals[vital]
                 out = (F.lit(False) if low is None else v < low) | (F.lit(False) if high is None else v > high)
                 bad = bad | F.coalesce((v != 0) & out, F.lit(False))
-        spoken.append(F.when(bad, F.struct(F.lit(name).alias("signal"), F.lit(weight).alias("weight"), F.lit(None).cast("string").alias("found"))))
-    heard = F.array_compact(F.array(*spoken))
-    score = F.coalesce(F.array_max(F.transform(heard, lambda s: s["weight"])), F.lit(0.0))
-    return F.struct(score.alias("score"), F.when(score >= 0.8, "RED").when(score >= 0.5, "YELLOW").otherwise("GREEN").alias("triage"), heard.alias("signals"))
+        spoken.append(F.when(bad, F.struct(F.lit(name).alias("signal"), F.lit(weight).alias("weight"), F.lit(None).cast("string").alias("found"), F.lit(False).alias("text"))))
+
+    def result(heard: Column) -> Column:
+        score = F.coalesce(F.array_max(F.transform(heard, lambda s: s["weight"])), F.lit(0.0))
+        told = F.transform(heard, lambda s: F.struct(s["signal"].alias("signal"), s["weight"].alias("weight"), s["found"].alias("found")))
+        return F.struct(score.alias("score"), F.when(score >= 0.8, "RED").when(score >= 0.5, "YELLOW").otherwise("GREEN").alias("triage"), told.alias("signals"))
+
+    return _once(F.filter(F.array(*spoken), lambda s: s.isNotNull() & (~s["text"] | s["found"].isNotNull())), result)
 
 
 def level(text: Column, kind: tuple[str, Sequence[tuple[str, str]]], borders: bool = True) -> Column:
