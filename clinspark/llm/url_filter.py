@@ -30,7 +30,7 @@ class Rule(NamedTuple):
 RULES = (
     Rule("block", "com", "/en/"),
     Rule("allow", "example.com", "/en/7"),
-    Rule("block", "net", "/de/"),
+    Rule("allow", "net", "/de/"),
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )

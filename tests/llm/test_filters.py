@@ -297,6 +297,15 @@ def test_rules_equal_brute_force(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule.name if rule else None, rule.action if rule else "allow"), u
 
 
+def test_rules_are_those_of_the_contract(spark):
+    listed = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+    assert [(r.action, r.name) for r in url_filter.RULES] == listed
+    link = '<link rel=canonical href="http://c.net/de/1">'
+    rows = [(1, "http://c.net/de/1", None), (2, "http://example.net/de/7", None), (3, "http://w.example.net/de/81", link), (4, "http://d.org/q", link), (5, "http://b.org/es/", None)]
+    got = {r.page_id: r.verdict for r in url_filter.op10(spark, spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "block"}
+
+
 def test_block_spreads_over_aliases_and_allow_goes_first(spark):
     canonical = lambda u: f'<head><link rel="canonical" href="{u}"></head>'
     rows = [
@@ -306,8 +315,8 @@ def test_block_spreads_over_aliases_and_allow_goes_first(spark):
     ]
     pages = spark.createDataFrame(rows, PAGES)
     got = {r.page_id: r.verdict for r in url_filter.op10(spark, pages).collect()}
-    # 4, 5, 8, 9 and 10 are one class with an explicit allow (5): pages without a rule are allowed, 8 keeps its own block.
-    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "allow", 10: "allow", 11: "allow"}
+    # 4, 5, 8, 9 and 10 are one class with explicit allows (5 and 8): pages without a rule are allowed.
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "allow"}
     import duckdb
 
     con = duckdb.connect()
