@@ -198,3 +198,18 @@ def test_near_phrases_equal_a_plain_version(spark):
                 if d <= 1 and (d == 0 or n > 1 or len(own) > 3):
                     hits.append({"start": i, "n": n, "term": term, "distance": d, "confidence": 1.0 if d == 0 else max(0.0, 1 - d / max(len(own), len(key(term))))})
         assert got[k] == [(h["start"], h["n"], h["term"], round(h["distance"], 6), round(h["confidence"], 6)) for h in evidence.chosen(hits)], t
+
+
+def test_letters_keep_their_number_in_capitals(spark, tmp_path):
+    import duckdb
+
+    words = ["SS", "ß", "ẞ", "straße", "STRASSE", "ﬁn", "fin", "FIN", "ŉ", "ᾀb", "ᾈB", "ǰ", "éa", "ÉA", "ſt", "ST", "strasse"]
+    assert [r.k for r in spark.createDataFrame([(w,) for w in words], "w string").select(evidence.lexicon_key(F.col("w")).alias("k")).collect()] == [r[0] for r in duckdb.execute("SELECT regexp_replace(upper(w), '[^\\p{L}\\p{N}]', '', 'g') FROM (SELECT unnest(?) AS w)", [words]).fetchall()]
+    rows = [(1, 0, "user", "a ß b straße fin"), (1, 1, "assistant", "x y SS STRASSE ﬁn"), (2, 0, "user", "SS ss Straße"), (2, 1, "assistant", "p q ß")]
+    duckdb.execute("CREATE OR REPLACE TABLE t (conv_id BIGINT, turn INTEGER, role VARCHAR, text VARCHAR)")
+    duckdb.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    duckdb.execute(f"COPY t TO '{tmp_path}/conversations.parquet' (FORMAT parquet)")
+    sql = lexicons.SQL["phrase_evidence"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet'")
+    got = [r.asDict() for r in lexicons.phrase_evidence(spark, str(tmp_path)).collect()]
+    found = duckdb.sql(sql)
+    assert sorted(map(str, got)) == sorted(str(dict(zip(found.columns, r, strict=True))) for r in found.fetchall())
