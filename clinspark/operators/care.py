@@ -94,9 +94,10 @@ MOBILITY_HINTS = (
 # End of the fixed values.
 
 
-def found_by(pattern: str, borders: bool = True) -> str:
-    """A pattern for rlike: case ignored; with borders at a word's start, up to its end or as a stem of five letters or more."""
-    inside = "(?<![\\p{L}\\p{Nd}])(?:" + pattern + ")(?:(?![\\p{L}\\p{Nd}])|(?<=[\\p{L}\\p{Nd}]{5}))"
+def found_by(pattern: str, borders: bool = True, stems: bool = True) -> str:
+    """A pattern for rlike: case ignored; with borders at a word's start, up to its end or, with ``stems``, as a stem of five letters or more."""
+    end = "(?![\\p{L}\\p{Nd}])"
+    inside = "(?<![\\p{L}\\p{Nd}])(?:" + pattern + ")" + (f"(?:{end}|(?<=[\\p{{L}}\\p{{Nd}}]{{5}}))" if stems else end)
     return "(?i)" + (inside if borders else f"(?:{pattern})")
 
 
@@ -133,15 +134,15 @@ def suggestion(rules: Sequence[CareRule], dx: Column, support: Column | None = N
     )
 
 
-def acuity(text: Column, vitals: Mapping[str, Column] | None = None, signals: Sequence[Signal] = SIGNALS, checks=VITALS, borders: bool = True) -> Column:
+def acuity(text: Column, vitals: Mapping[str, Column] | None = None, signals: Sequence[Signal] = SIGNALS, checks=VITALS, borders: bool = True, stems: bool = True) -> Column:
     """struct<score, triage, signals>: the greatest weight of what speaks; 0.8 and more is RED, 0.5 and more YELLOW, else GREEN.
 
     signals is array<struct<signal, weight, found>>, texts first, then vital signs (found null). A vital sign that is null
-    or zero wasn't taken and says nothing.
+    or zero wasn't taken and says nothing. Without ``stems`` what is found ends with its word.
     """
     t, spoken = _text(text), []
     for s in signals:
-        found = F.coalesce(*[F.when(t.rlike(found_by(p, borders)), F.regexp_extract(t, found_by(p, borders), 0)) for p in s.patterns])
+        found = F.coalesce(*[F.when(t.rlike(found_by(p, borders, stems)), F.regexp_extract(t, found_by(p, borders, stems), 0)) for p in s.patterns])
         spoken.append(F.struct(F.lit(s.name).alias("signal"), F.lit(s.weight).alias("weight"), found.alias("found"), F.lit(True).alias("text")))
     for name, weight, bounds in checks:
         bad = F.lit(False)

@@ -82,3 +82,20 @@ def test_missing_fields(spark):
         4: (None, None, None, None, None, None), 5: ("F", None, None, None, None, None),
     }
     assert care.predicted(table.limit(0), "id", names, drugs).count() == 0
+
+
+def test_signals_of_whole_words_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from clinspark.plans import care as plans
+
+    texts = [None, "", "reble onble", "reble onblean hesh", "Reble onble, heti", "edorea", "edoreas heti", "xhesh orer", "onblean", "wedorea", "hesh\nreble onblé", "reble onble2 reble onble"]
+    table = f"'{tmp_path}/documents.parquet'"
+    duckdb.execute("CREATE OR REPLACE TABLE t (doc_id BIGINT, text VARCHAR)")
+    duckdb.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    duckdb.execute(f"COPY t TO {table} (FORMAT parquet)")
+    found = duckdb.sql(plans.SQL["acuity_signals"].replace("FROM documents", f"FROM {table}"))
+    got = [r.asDict() for r in plans.acuity_signals(spark, str(tmp_path)).collect()]
+    want = [dict(zip(found.columns, r, strict=True)) for r in found.fetchall()]
+    assert sorted(got, key=lambda r: r["doc_id"]) == sorted(want, key=lambda r: r["doc_id"])
+    assert [r["score"] for r in sorted(got, key=lambda r: r["doc_id"])][2:4] == [0.9, 0.7]
