@@ -77,11 +77,12 @@ def _with(table: DataFrame, more: str) -> str:
 
 
 def dbscan(points: DataFrame, key: str, x: str, y: str, eps: float, group: str, keep_singletons: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Links of points within ``eps`` in a group, by cells of that size so that only neighbouring cells meet; and the nodes.
+    """Links of points within ``eps`` in a group, by cells of that size (and what rounding may add) so that only neighbouring cells meet; and the nodes.
 
     A point without a neighbour is noise, unless singletons are kept.
     """
-    cell = points.withColumns({"__i": F.floor(F.col(x) / eps), "__j": F.floor(F.col(y) / eps)})
+    size = eps * (1 + 1e-9)
+    cell = points.withColumns({"__i": F.floor(F.col(x) / size), "__j": F.floor(F.col(y) / size)})
     around = cell.withColumn("__d", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])))
     left = around.select(F.col(group).alias("g"), F.col(key).alias("src"), F.col(x).alias("x1"), F.col(y).alias("y1"), (F.col("__i") + F.col("__d.a")).alias("i"), (F.col("__j") + F.col("__d.b")).alias("j"))
     right = cell.select(F.col(group).alias("g"), F.col(key).alias("dst"), F.col(x).alias("x2"), F.col(y).alias("y2"), F.col("__i").alias("i"), F.col("__j").alias("j"))

@@ -105,7 +105,7 @@ r(id, x) AS (SELECT DISTINCT x, x FROM e UNION SELECT r.id, e.y FROM r JOIN e ON
 SELECT id AS event_id, min(x) AS "group" FROM r GROUP BY 1""")
 def dbscan_groups(spark, d):
     """Events of a user that lie close in time and value."""
-    e = scan(spark, d, "events").select("event_id", "user_id", (F.unix_timestamp("ts") / 3600.0).alias("x"), F.col("value").alias("y"))
+    e = scan(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600.0).alias("x"), F.col("value").alias("y"))
     edges, nodes = ordered.dbscan(e, "event_id", "x", "y", 6.0, "user_id")
     return records.merge_groups(nodes, "event_id", edges)
 

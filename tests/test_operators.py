@@ -119,3 +119,18 @@ def test_a_learner_goes_on_after_a_restart_and_a_repeated_batch(spark, tmp_path)
     assert first == {0: (2, 3.0), 1: (2, 3.0), 2: (1, 1.5)} and second == again == {0: (3, 4.5), 1: (3, 4.5), 2: (3, 4.5)}
     I.merge_counts(events.where("event_id >= 5"), 1, folder)
     assert {r.user_id: r.n for r in spark.read.parquet(f"{folder}/state-1").collect()} == {0: 3, 1: 3, 2: 3}
+
+
+def test_groups_by_parts_of_a_second_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from clinspark.plans import ordered as plans
+
+    table = f"'{tmp_path}/events.parquet'"
+    duckdb.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01 00:00:00.9' + to_microseconds(i * (21600000000 - 300000) + (i % 3) * 500000) AS ts, i % 2 AS user_id, 0.0::DOUBLE AS value FROM range(12) r(i)
+        UNION ALL SELECT 100 + i, TIMESTAMP '2024-03-01' + to_microseconds(i * 21600000000), 7, 1.0 FROM range(4) r(i)
+        UNION ALL SELECT 200 + i, TIMESTAMP '2024-03-01 00:00:00.1' + to_microseconds(i * 21600800000), 8 + i // 4, 1.0 FROM range(8) r(i)) TO {table} (FORMAT parquet)""")
+    want = duckdb.sql(plans.SQL["dbscan_groups"].replace("FROM events", f"FROM {table}")).fetchall()
+    got = [(r.event_id, r.group) for r in plans.dbscan_groups(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert len([g for g in got if g[0] in range(100, 104)]) == 4 and not [g for g in got if g[0] >= 200]
