@@ -40,6 +40,8 @@ MAX_KINDS = 8
 SUB, WORDS = 4, 256
 PART, BLOCK = 16_384, 8_192
 STEP = 256
+#: Bytes of a table of distances to all centroids that k-means fills at a time.
+STEP_BYTES = 8 << 20
 #: Rows of list sizes that a broadcast may hold; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 SLACK = 1e-3
@@ -62,8 +64,9 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
+    step = max(1, min(4096, STEP_BYTES // (8 * max(1, k))))
     for _ in range(rounds):
-        home = np.concatenate([nearest(x[lo : lo + 4096], c)[0] for lo in range(0, len(x), 4096)])
+        home = np.concatenate([nearest(x[lo : lo + step], c)[0] for lo in range(0, len(x), step)])
         n = np.bincount(home, minlength=k)
         c = np.column_stack([np.bincount(home, weights=col, minlength=k) for col in x.T]) / np.maximum(n, 1)[:, None]
         if (n == 0).any():
@@ -138,18 +141,44 @@ class Models:
 
 
 def fit(vectors: DataFrame) -> Models:
-    """Quantisers from a sample of the different vectors, in the order of their hash. The sample's bound is PER_LIST
-    vectors for each of at most MAX_LISTS lists, and SAMPLE_BYTES."""
+    """Quantisers from a sample of the different vectors, in the order of their hash. The sample's size is PER_LIST
+    vectors for each of at most MAX_LISTS lists, and SAMPLE_BYTES (see :func:`sampled`)."""
     kinds = vectors.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(MAX_KINDS).collect()
     quantisers = []
     for dims, n in kinds:
         lists = min(MAX_LISTS, math.ceil(n / LIST_ROWS), max(1, (SAMPLE_BYTES // 16) // (8 * dims)))
         most = max(1, min(max(PER_LIST * lists, LEAST_SAMPLE), SAMPLE_BYTES // (8 * dims)))
-        sample = vectors.where(F.size("embedding") == dims).select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(most).collect()
-        quantisers.append(Quantiser(units(np.array([r[0] for r in sample])), lists))
+        quantisers.append(Quantiser(sampled(vectors, dims, n, most), lists))
     return Models(quantisers)
 
 
+#: Places that a hash may take in the choice of a sample.
+PLACES = 1 << 30
+
+
+def sampled(vectors: DataFrame, dims: int, n: int, most: int) -> np.ndarray:
+    """About ``most`` of the ``n`` vectors of ``dims`` components, as unit vectors in the order of their hash.
+
+    Their hash alone chooses them, so that nothing but the sample reaches the driver: an ORDER BY with a LIMIT would bring it
+    as many rows of every partition. They travel as bytes.
+    """
+    place = F.xxhash64("embedding")
+    own = vectors.where(F.size("embedding") == dims).select(place.alias("place"), "embedding")
+    if most < n:
+        own = own.where(F.pmod("place", F.lit(PLACES)) < max(1, PLACES * most // n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in units(values)], pa.binary())], names=["place", "vector"])
+
+    found = own.mapInArrow(run, "place long, vector binary").toArrow()
+    if not found.num_rows:  # few vectors, none of them below the bound
+        found = vectors.where(F.size("embedding") == dims).select(place.alias("place"), "embedding").limit(1).mapInArrow(run, "place long, vector binary").toArrow()
+    order = np.argsort(found.column("place").to_numpy(), kind="stable")
+    return _matrix(found.column("vector"), np.float64)[order]
+
+
 CODED = "node long, copies long, list int, asked array<int>, vector binary, code binary, error double, bits binary"
 
 

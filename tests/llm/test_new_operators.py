@@ -193,3 +193,15 @@ def test_all_links_of_the_tables_are_found(spark):
     e = table(spark, "/root/testdata/sf0.01", "embeddings")
     rows = [(r.vec_id, r.embedding) for r in e.collect()]
     assert sorted(str(tuple(r)) for r in Q.op13(spark, e).collect()) == plain_links(rows)
+
+
+def test_the_sample_is_chosen_by_hash_alone(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(r.normal(size=(6000, 5)))]
+    vectors = spark.createDataFrame(rows, "node long, embedding array<double>")
+    found = Q.sampled(vectors.repartition(7), 5, 6000, 1000)
+    assert 850 < len(found) < 1150 and np.allclose(np.linalg.norm(found, axis=1), 1)
+    assert (found == Q.sampled(vectors.coalesce(1), 5, 6000, 1000)).all()
+    every = {v.tobytes() for v in Q.units(np.array([v for _, v in rows]))}
+    assert {v.tobytes() for v in found} <= every and {v.tobytes() for v in Q.sampled(vectors, 5, 6000, 6000)} == every
+    assert len(Q.sampled(vectors.limit(1), 5, 1 << 40, 1)) == 1
