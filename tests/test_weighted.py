@@ -99,3 +99,25 @@ def test_confusable_costs_are_the_ocr_distance():
     for x in words(40, 11, "oq0DIl1|zs5b8at7"):
         for y in words(20, 12, "oq0DIl1|zs5b8at7"):
             assert costs.distances([x.lower()], [y.lower()], 9.0)[0] == pytest.approx(plain(x, y))
+
+
+def test_tokens_of_strange_letters_leave_early_and_lose_nothing(spark, monkeypatch):
+    left = ["suppOOO12", "suppO12", "sOppl1", "😀upp12", "SUPP012", "zzzzzzz", "supp0129", "sppO12"]
+    right = ["supp012", "supp00012", "suppl1", "s😀pp12", "supp12"]
+    costs = spark.createDataFrame(weighted.confusable_costs(), "a string, b string, cost double")
+    asked, pairs = {}, fuzzy.segment_pairs
+
+    def counted(l, t, r, u, e):
+        asked[e] = l.count()
+        return pairs(l, t, r, u, e)
+
+    monkeypatch.setattr(fuzzy, "segment_pairs", counted)
+    got = {r.t: (r.term, round(r.distance, 6)) for r in weighted.nearest(spark.createDataFrame([(x,) for x in left], "t string"), "t", spark.createDataFrame([(x,) for x in right], "term string"), "term", costs, 2.0).collect()}
+    table = {(a, b): c for a, b, c in weighted.confusable_costs()}
+    want = {}
+    for x in left:
+        d, t = min((plain(x, y, table), y) for y in right)
+        if d <= 2.0:
+            want[x] = (t, round(d, 6))
+    assert got == want
+    assert asked[0] == 8 and asked.get(2, 0) <= 2
