@@ -70,13 +70,14 @@ def platt(table: DataFrame, score: str, truth: str, rounds: int = 100, least: in
 
     Rows meet as counts by (score, truth): each Newton step is one aggregate over them, whatever the table's size.
     """
-    rows = table.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(F.col(score).alias("s"), F.col(truth).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    rows = table.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).groupBy(F.col(score).alias("s"), F.col(truth).cast("int").alias("y")).agg(F.count("*").alias("n")).cache()
     total = rows.agg(F.sum("n"), F.sum(F.col("n") * F.col("y"))).first()
     if not total[0] or total[0] < least:
+        rows.unpersist()
         return None
     pos, neg = total[1], total[0] - total[1]
     hi, lo = (pos + 1) / (pos + 2), 1 / (neg + 2)
-    rows = rows.withColumn("t", F.when(F.col("y") == 1, hi).otherwise(lo)).cache()
+    counts, rows = rows, rows.withColumn("t", F.when(F.col("y") == 1, hi).otherwise(lo))
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-(F.lit(a) * F.col("s") + F.lit(b))))
@@ -88,7 +89,7 @@ def platt(table: DataFrame, score: str, truth: str, rounds: int = 100, least: in
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-9:
             break
-    rows.unpersist()
+    counts.unpersist()
     return a, b
 
 

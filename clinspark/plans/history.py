@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import metric_key, text_density
 from clinspark.operators import learning
-from clinspark.sources.store import scan
+from clinspark.sources.store import cut_lineage, scan
 
 QUERIES, SQL = {}, {}
 
@@ -87,6 +87,7 @@ def generated_records(spark, d):
 def calibrator_choice(spark, d):
     """The calibrator of the lower calibration error on the fitted rows; too few rows leave scores as they are."""
     docs = scan(spark, d, "documents").select("doc_id", text_density(F.col("text")).alias("score"), F.lit("all").alias("field")).where("score IS NOT NULL").join(scan(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    docs = cut_lineage(docs)  # the fits and both diagrams read it
     fit = learning.platt(docs, "score", "quality")
     if fit is None:
         return spark.createDataFrame([("identity", None, None)], "choice string, platt_ece double, isotonic_ece double")

@@ -51,3 +51,12 @@ def sum_of(values):
     for v in values:
         total += v
     return total
+
+
+def test_the_choice_of_a_calibrator_scores_texts_once(spark, monkeypatch, tiny):
+    from clinspark.operators import learning
+
+    seen, plain = [], learning.isotonic
+    monkeypatch.setattr(learning, "isotonic", lambda table, *a: seen.append(table.inputFiles()) or plain(table, *a))
+    assert catalog.queries()["calibrator_choice"](spark, tiny).count() == 1
+    assert seen == [[]]
