@@ -78,7 +78,7 @@ def clinical_extraction(spark, d):
         ".2 Cr ", n, ".1 glucose ", 90 + q, " lactate ", n, ".4 INR ", n, ".3 trop 0.0", n, " CRP ", q, " pH 7.", n, ". ", of(_CODES, n), "; ", of(_DIETS, q), "; ", of(_LINES, q),
     ]
     note = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.extract(note).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    return X.read_once(scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber", note.alias("note")), "note", X.extract, "x").select("l_orderkey", "l_linenumber", "x.*")
 
 
 _KINDS = [*X.VITALS, *X.LABS, "other"]

@@ -62,3 +62,18 @@ def test_a_sharp_s_is_one_letter(spark):
     rows = [("geenß",), ("ßred",), ("ﬁred",), ("ABPOß",), ("abpos",), ("green",), ("grﬀen",)]
     got = {(r.t, s.entity): round(s.confidence, 9) for r in spark.createDataFrame(rows, "t string").select("t", entities.score(F.col("t")).alias("s")).collect() for s in r.s if s.entity in ("TRIAGE", "BLOOD_TYPE")}
     assert got == {("geenß", "TRIAGE"): 0.896, ("ßred", "TRIAGE"): 0.94, ("ﬁred", "TRIAGE"): 0.94, ("abpos", "BLOOD_TYPE"): 0.9, ("green", "TRIAGE"): 0.98, ("grﬀen", "TRIAGE"): 0.896}
+
+
+def test_repeated_texts_are_read_once(spark):
+    rows = spark.range(60).select("id", F.expr("CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 < 3 THEN 'septic shock, htn' ELSE concat('uti ', id % 2) END").alias("dx"))
+    for table in (rows, rows.where("id IN (3, 4, 5)")):  # the second one's texts all differ
+        want = {r.id: r.s for r in table.select("id", X.suggest_triage(F.col("dx")).alias("s")).collect()}
+        assert {r.id: r.s for r in X.read_once(table, "dx", X.suggest_triage, "s").collect()} == want
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        seen.add(1)
+        return t
+
+    assert X.read_once(rows, "dx", F.udf(counted, "string").asNondeterministic(), "s").count() == 60
+    assert seen.value <= 4
