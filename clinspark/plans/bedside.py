@@ -54,8 +54,8 @@ def triage_suggestions(spark, d):
     """What three diagnoses suggest, with all rules that speak."""
     k, terms = F.col("o_orderkey"), F.array(*[F.lit(t) for t in _TERMS])
     pick = lambda c: F.get(terms, (F.floor(c) % _N).cast("int"))
-    s = X.suggest_triage(F.concat(pick(k), F.lit(", "), pick(k / 7), F.lit(" / "), pick(k / 50)))
-    return scan(spark, d, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", "s.triage", "s.confidence", F.transform("s.rules", lambda r: r["rule"]).alias("rules"), "s.conflict")
+    dx = F.concat(pick(k), F.lit(", "), pick(k / 7), F.lit(" / "), pick(k / 50))
+    return X.read_once(scan(spark, d, "orders").select("o_orderkey", dx.alias("dx")), "dx", X.suggest_triage, "s").select("o_orderkey", "s.triage", "s.confidence", F.transform("s.rules", lambda r: r["rule"]).alias("rules"), "s.conflict")
 
 
 _Q, _L = "CAST(l_quantity AS INTEGER)", "CAST(l_linenumber AS INTEGER)"

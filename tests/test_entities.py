@@ -77,3 +77,8 @@ def test_repeated_texts_are_read_once(spark):
 
     assert X.read_once(rows, "dx", F.udf(counted, "string").asNondeterministic(), "s").count() == 60
     assert seen.value <= 4
+
+
+def test_rules_are_matched_once_for_all_fields(spark):
+    plan = spark.range(1).select(X.suggest_triage(F.concat(F.lit("uti "), F.col("id").cast("string"))).alias("s")).select("s.triage", "s.confidence", "s.rules", "s.conflict")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RED_STEMI") == 1
