@@ -31,6 +31,8 @@ _ENDS = r"^[.,;:!?()\[\]{}\"']+|[.,;:!?()\[\]{}\"']+$"
 SWAPS = (("0", "o"), ("1", "i"), ("l", "i"), ("i", "l"), ("vv", "w"), ("cl", "d"), ("5", "s"), ("8", "b"))
 #: Bytes of patterns that one automaton holds; more are dealt to several.
 MOST_BYTES = 16 << 20
+#: Bytes of fixes that a broadcast may hold; beyond, the words are shuffled to them.
+BROADCAST_BYTES = 32 << 20
 CHANGE = "array<struct<pass:int,place:int,original:string,corrected:string,method:string>>"
 
 
@@ -162,19 +164,25 @@ def rewrite(text: str, hits: list[dict], number: int) -> tuple[str, list[dict]]:
     return "".join(parts), changes
 
 
+def _carried(fixes: DataFrame) -> DataFrame:
+    """``fixes`` worked out once, and broadcast where they are small, so that only the places of wrong words are shuffled."""
+    made = cut_lineage(fixes)
+    size = made.agg(F.sum(sum((F.coalesce(F.octet_length(F.concat_ws(" ", c)), F.lit(0)) for c, t in made.dtypes if "string" in t), F.lit(32)))).first()[0] or 0
+    return F.broadcast(made) if size <= BROADCAST_BYTES else made
+
+
 def _apply(rows: DataFrame, hits: DataFrame, number: int) -> DataFrame:
-    """``rows`` (row, text, corrections) after the hits (row, place, n, words, meant, method) of a pass."""
+    """``rows`` (row, sha, text, corrections) after the hits (row, place, n, words, meant, method) of a pass."""
     grouped = hits.groupBy("row").agg(F.collect_list(F.struct("place", "n", "words", "meant", "method")).alias("hits"))
-    schema = f"row string, text string, corrections {CHANGE}"
+    schema = f"row long, sha binary, text string, corrections {CHANGE}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(row, *(new := rewrite(text, own, number))[:1], [*before, *new[1]]) for row, text, before, own in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            made = [(*(new := rewrite(text, own, number) if own else (text, []))[:1], [*before, *new[1]]) for text, before, own in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             change = pa.list_(pa.struct([("pass", pa.int32()), ("place", pa.int32()), ("original", pa.string()), ("corrected", pa.string()), ("method", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], change)], names=["row", "text", "corrections"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], change)], names=["row", "sha", "text", "corrections"])
 
-    changed = rows.join(grouped, "row").select("row", "text", "corrections", "hits").mapInArrow(run, schema)
-    return changed.unionByName(rows.join(grouped, "row", "left_anti"))
+    return rows.join(grouped, "row", "left").select("row", "sha", "text", "corrections", "hits").mapInArrow(run, schema)  # texts are shuffled once
 
 
 def value_flags(text: Column) -> Column:
@@ -195,22 +203,23 @@ def correct(texts: DataFrame, text: str, confusables: DataFrame, phrases: DataFr
     known (word). They may be empty and of any size; of several entries for one key the least counts. Null texts stay null with
     no corrections. Repeated rows come out alike. Columns of the names added are replaced.
     """
-    kept = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c.lower() not in ("corrected", "corrections", "flags", "__row")]).withColumn("__row", F.sha2(F.col(f"`{text}`"), 256))
+    kept = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c.lower() not in ("corrected", "corrections", "flags", "__row")]).withColumn("__row", F.unhex(F.sha2(F.col(f"`{text}`"), 256)))
     none = F.array().cast(CHANGE)
-    rows = cut_lineage(kept.select(F.col("__row").alias("row"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").dropDuplicates(["row"]).withColumn("corrections", none))
+    once = kept.select(F.col("__row").alias("sha"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").dropDuplicates(["sha"])
+    rows = cut_lineage(once.select(F.monotonically_increasing_id().alias("row"), "sha", "text", none.alias("corrections")))  # places travel with a short number, fixed by the checkpoint
     single = lambda t: t.select("row", "place", F.lit(1).alias("n"), F.lit(None).cast("array<string>").alias("words"), "meant", "method")
 
     vocabulary = cut_lineage(words_of(rows).groupBy("core").agg(F.count("*").alias("n")))
-    fixes = confusable_fixes(vocabulary, confusables).withColumn("method", F.lit("confusable"))
+    fixes = _carried(confusable_fixes(vocabulary, confusables).withColumn("method", F.lit("confusable")))
     rows = cut_lineage(_apply(rows, single(words_of(rows).join(fixes, "core")), 1))
 
     vocabulary = cut_lineage(words_of(rows).groupBy("core").agg(F.count("*").alias("n")))
-    anchors = phrase_anchors(vocabulary, phrases)
+    anchors = _carried(phrase_anchors(vocabulary, phrases))
     places = words_of(rows).withColumn("low", F.lower("core"))
     met = places.join(anchors, "low").select("row", (F.col("place") - F.col("back")).alias("place"), "n", "words", "meant", F.lit("phrase").alias("method")).where("place >= 0")
     rows = cut_lineage(_apply(rows, met, 2))
 
     vocabulary = cut_lineage(words_of(rows).groupBy("core").agg(F.count("*").alias("n")))
-    fixes = word_fixes(vocabulary, dictionary, known, swaps, least)
-    done = _apply(rows, single(words_of(rows).join(fixes, "core")), 3).select(F.col("row").alias("__row"), F.col("text").alias("corrected"), "corrections")
+    fixes = _carried(word_fixes(vocabulary, dictionary, known, swaps, least))
+    done = _apply(rows, single(words_of(rows).join(fixes, "core")), 3).select(F.col("sha").alias("__row"), F.col("text").alias("corrected"), "corrections")
     return kept.join(done, "__row", "left").select(*[F.col(f"`{c}`") for c in kept.columns if c != "__row"], "corrected", F.coalesce("corrections", none).alias("corrections"), F.coalesce(value_flags(F.col("corrected")), F.array().cast("array<struct<name:string,value:double>>")).alias("flags"))

@@ -213,3 +213,16 @@ def test_letters_keep_their_number_in_capitals(spark, tmp_path):
     got = [r.asDict() for r in lexicons.phrase_evidence(spark, str(tmp_path)).collect()]
     found = duckdb.sql(sql)
     assert sorted(map(str, got)) == sorted(str(dict(zip(found.columns, r, strict=True))) for r in found.fetchall())
+
+
+def test_a_pass_shuffles_texts_and_hits_once(spark):
+    rows = spark.range(4).select(F.col("id").alias("row"), F.lit(b"x").alias("sha"), F.lit("a b").alias("text"), F.array().cast(passes.CHANGE).alias("corrections")).localCheckpoint()
+    hits = spark.createDataFrame([(1, 0, 1, None, "c", "m")], "row long, place int, n int, words array<string>, meant string, method string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = passes._apply(rows, hits, 1)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(row") == 2
+        assert {r.row: r.text for r in out.collect()} == {0: "a b", 1: "c b", 2: "a b", 3: "a b"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
