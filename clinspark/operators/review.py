@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import clamp
 from clinspark.operators.text_rules import Rule, whole_words
+from clinspark.sources.store import dealt
 
 #: Own small rule sets: what a text suggests, the most serious outcome first. No match is "not assessed", not "none".
 MOBILITY_RULES = (
@@ -76,10 +77,11 @@ def hypothesis_score(confidence: Column, ready: Column, coverage: Column, comple
 def best_hypothesis(table: DataFrame, doc: str, kind: str, score: str, n: str, structured: Sequence[str]) -> DataFrame:
     """One reading for each document: the best, or a structured one within 0.03 of it that loses at most one record."""
     w = Window.partitionBy(doc).orderBy(F.desc(score), F.desc(n), kind)
-    ranked = table.withColumns({"__r": F.row_number().over(w), "__best": F.first(score).over(w), "__n": F.first(n).over(w)})
+    ranked = dealt(table, doc).withColumns({"__r": F.row_number().over(w).cast("long"), "__best": F.first(score).over(w), "__n": F.first(n).over(w)})
     near = F.col(kind).isin(list(structured)) & (F.col("__best") - F.col(score) <= 0.03) & (F.col(n) >= F.greatest(F.lit(1), F.col("__n") - 1))
-    pick = ranked.withColumn("__p", F.row_number().over(Window.partitionBy(doc).orderBy(F.when(near, 0).otherwise(1), "__r")))
-    return pick.where("__p = 1").drop("__r", "__best", "__n", "__p")
+    place = F.when(near, 0).otherwise(1 << 40) + F.col("__r")  # the rows are in this order's groups already, so they aren't sorted again
+    pick = ranked.withColumn("__place", place).withColumn("__p", F.min("__place").over(Window.partitionBy(doc)))
+    return pick.where("__p = __place").drop("__r", "__best", "__n", "__place", "__p")
 
 
 def fuse_passes(table: DataFrame, doc: str, score: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from clinspark.operators import correction, layout, review
-from clinspark.sources import codecs
+from clinspark.sources import codecs, store
 
 
 def one(spark, *columns):
@@ -73,3 +73,11 @@ def test_tlv_and_machine_readable_lines(spark):
     text = "noise\nI<UTOD231458907<<<<<<<<<<<<<<<\n7408122F1204159UTO<<<<<<<<<<<6\nERIKSSON««ANNA<MARIA<<<<<<<<<<"
     (lines,) = one(spark, codecs.mrz_lines(F.lit(text)))
     assert lines == ["I<UTOD231458907<<<<<<<<<<<<<<<", "7408122F1204159UTO<<<<<<<<<<<6", "ERIKSSON<<ANNA<MARIA<<<<<<<<<<"]
+
+
+def test_readings_are_dealt_by_their_number_and_sorted_once(spark):
+    h = spark.range(5000).select((F.col("id") % 900).alias("d"), (F.col("id") % 4).cast("string").alias("kind"), (F.col("id") % 7 / 10.0).alias("score"), (F.col("id") % 3).alias("n"))
+    best = review.best_hypothesis(h, "d", "kind", "score", "n", ["1"])
+    assert best._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert best.count() == 900
+    assert store.dealt(h, "d", most=500).rdd.getNumPartitions() == 10
