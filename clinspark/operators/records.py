@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import js_round, missing_to_null
-from clinspark.sources.store import cut_lineage
+from clinspark.sources.store import cut_lineage, dealt
 
 TRIAGE = ("RED", "YELLOW", "GREEN", "GRAY", "BLACK")
 
@@ -89,7 +89,9 @@ def one_to_one(pairs: DataFrame, group: str, left: str, right: str, score: str)
     rest = pairs
     while True:
         order = [F.desc(score), F.asc(left), F.asc(right)]
-        both = rest.withColumns({"__l": F.row_number().over(Window.partitionBy(group, left).orderBy(*order)), "__r": F.row_number().over(Window.partitionBy(group, right).orderBy(*order))})
+        n = rest.count()
+        both = dealt(rest, group, left, n=n).withColumn("__l", F.row_number().over(Window.partitionBy(group, left).orderBy(*order)))
+        both = dealt(both, group, right, n=n).withColumn("__r", F.row_number().over(Window.partitionBy(group, right).orderBy(*order)))
         best = cut_lineage(both.where("__l = 1 AND __r = 1").drop("__l", "__r"))
         if best.isEmpty():
             return taken if taken is not None else pairs.limit(0)

@@ -134,3 +134,11 @@ def test_groups_by_parts_of_a_second_as_in_sql(spark, tmp_path):
     got = [(r.event_id, r.group) for r in plans.dbscan_groups(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert len([g for g in got if g[0] in range(100, 104)]) == 4 and not [g for g in got if g[0] >= 200]
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(records, "dealt", lambda rows, *by, n: seen.append((by, n)) or rows.repartition(n, *by))
+    got = records.one_to_one(spark.createDataFrame([(1, 1, 1, 9), (1, 1, 2, 8), (1, 2, 1, 8)], "g int, a int, b int, s int"), "g", "a", "b", "s")
+    assert {(r.a, r.b) for r in got.collect()} == {(1, 1)}
+    assert seen[:2] == [(("g", "a"), 3), (("g", "b"), 3)]
