@@ -72,16 +72,30 @@ def mask(text: Column, identifiers: Sequence[tuple[str, str]] = IDENTIFIERS) ->
     return text
 
 
+#: What every match of an identifier holds: texts without it needn't be searched.
+NEEDS = {"EMAIL": "@", "CARD": "[0-9]{16}", "CIVIL_ID": "[0-9]{12}", "MRN": "[0-9]{6}", "DOB": "[0-9][/.-][0-9]", "PHONE": "[0-9]{4}"}
+
+
+def mask_steps(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with __mask0, their text, to __mask6, each with one identifier more masked; a step is worked out once, and only where it can match."""
+    out = docs.withColumn("__mask0", F.col(text))
+    for k, one in enumerate(IDENTIFIERS):
+        before = F.col(f"__mask{k}")
+        out = out.withColumn(f"__mask{k + 1}", F.when(before.rlike(NEEDS[one[0]]), mask(before, [one])).otherwise(before))
+    return out
+
+
 def vault(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, token (numbered over all kinds of a document, in order of kind and place) and hash of every identifier that is masked."""
 
     def of(k: int) -> Column:
         name, pattern = IDENTIFIERS[k]
-        seen = F.regexp_extract_all(mask(F.col(text), IDENTIFIERS[:k]), F.lit(native_pattern(pattern)), F.lit(0))
-        return F.transform(seen, lambda v: F.struct(F.lit(name).alias("kind"), (F.regexp_extract(v, "[0-9]+$", 0) if name == "MRN" else v).alias("value")))
+        seen = F.regexp_extract_all(F.col(f"__mask{k}"), F.lit(native_pattern(pattern)), F.lit(0))
+        listed = F.transform(seen, lambda v: F.struct(F.lit(name).alias("kind"), (F.regexp_extract(v, "[0-9]+$", 0) if name == "MRN" else v).alias("value")))
+        return F.when(F.col(f"__mask{k}") != F.col(f"__mask{k + 1}"), listed).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
 
-    found = [of(k) for k in range(len(IDENTIFIERS))]
-    at = docs.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(F.concat(*found)).alias("i", "v"))
+    steps = mask_steps(docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text)), text)
+    at = steps.select(F.col(key), F.concat(*[of(k) for k in range(len(IDENTIFIERS))]).alias("found")).where(F.size("found") > 0).select(key, F.posexplode("found").alias("i", "v"))
     return at.select(key, F.concat(F.lit("["), F.col("v.kind"), F.lit("_"), F.lpad(F.col("i").cast("string"), 4, "0"), F.lit("]")).alias("token"), F.sha2("v.value", 256).alias("hash"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import bed_text, key_seed, sheet_label, standard_text
 from clinspark.operators import clinical_text as X
-from clinspark.operators import entities
+from clinspark.operators import entities, text_rules
 
 
 def values(spark, f, texts):
@@ -82,3 +82,10 @@ def test_repeated_texts_are_read_once(spark):
 def test_rules_are_matched_once_for_all_fields(spark):
     plan = spark.range(1).select(X.suggest_triage(F.concat(F.lit("uti "), F.col("id").cast("string"))).alias("s")).select("s.triage", "s.confidence", "s.rules", "s.conflict")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RED_STEMI") == 1
+
+
+def test_the_vault_masks_each_identifier_once(spark):
+    docs = spark.createDataFrame([(1, "File: 1234567 a@b.co, 5555 6666; MRN#7654321"), (2, None), (3, "none"), (4, "x 1234 y"), (5, "DOB 1/2/1990 c@d.ef 212345678901")], "d int, t string")
+    found = text_rules.vault(docs, "d", "t")
+    assert text_rules.mask_steps(docs, "t")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == len(text_rules.IDENTIFIERS)
+    assert sorted((r.d, r.token) for r in found.collect()) == [(1, "[EMAIL_0000]"), (1, "[MRN_0001]"), (1, "[MRN_0002]"), (1, "[PHONE_0003]"), (5, "[CIVIL_ID_0001]"), (5, "[DOB_0002]"), (5, "[EMAIL_0000]")]
