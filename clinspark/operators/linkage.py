@@ -4,11 +4,16 @@ Different records are profiles, linked once however often they occur. Nothing is
 they share a bed or a number (stars, no pairs), if their names are within the edits that a rule allows (a segment join over
 different names), or if one's diagnosis or drugs contain the other's at about one age (a containment join over different
 texts, by the shorter one's rarest gram). Profiles of two different beds are never paired.
+
+Profiles aren't paired either. Where two have no bed in common and no number in common, the rules ask of these only whether
+they are there. So profiles that agree in all that a rule looks at are a class: the rule links all of two classes or none,
+and what is linked hangs together by one link between the classes and a star inside each. Ages of two classes that may be so
+far apart are linked to the next ones of the other class alone: what lies between two ages that may be linked may be, too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import bed_key, civil_id_key, name_key
@@ -95,6 +100,100 @@ def containing(texts: DataFrame) -> DataFrame:
     return rarest.join(every.withColumnRenamed("text", "outer"), "gram").where(F.contains("outer", "inner")).select("inner", "outer")
 
 
+#: What the rules ask of bed and number where profiles share neither.
+FLAGS = ["in_bed", "numbered", "gender"]
+KIND = ["name", "several", *FLAGS]
+ANY_AGE = -1
+
+
+def flagged(profiles: DataFrame) -> DataFrame:
+    return profiles.withColumns({"in_bed": F.col("bed").isNotNull(), "numbered": F.col("civil_id").isNotNull()})
+
+
+def side(rows: DataFrame, p: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
+
+
+def members(classes: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """src and dst: each class with every row that has its columns, missing ones too."""
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"of_{c}").eqNullSafe(F.col(c))
+    return side(classes, "of").join(rows, on).select(F.col("of_class").alias("src"), F.col("id").alias("dst"))
+
+
+def apart() -> Column:
+    """Whether classes a and b have profiles that share neither bed nor number; those that share one are linked by stars."""
+    return ~(F.col("a_in_bed") & F.col("b_in_bed")) & ~(F.col("a_numbered") & F.col("b_numbered"))
+
+
+def fields(p: str, known: dict[str, Column]) -> dict[str, Column]:
+    """A class as a profile for the rules: what ``known`` tells, else the flags, else nothing."""
+    out = {c: F.lit(None).cast("string") for c in FIELDS} | {"several": F.lit(False), "gender": F.col(f"{p}_gender")}
+    return out | {"bed": F.when(F.col(f"{p}_in_bed"), p), "civil_id": F.when(F.col(f"{p}_numbered"), p)} | known
+
+
+def name_links(profiles: DataFrame, costs: DataFrame) -> DataFrame:
+    """src and dst: links by which all hangs together that rules link by names; about as many as profiles and ages of near names."""
+    named = flagged(profiles.where("name IS NOT NULL")).select("id", *KIND, "age")
+    classes = named.groupBy(*KIND, "age").agg(F.min("id").alias("class"))
+    classes = cut_lineage(classes.withColumn("kind", F.min("class").over(Window.partitionBy(*KIND))))
+    kinds = cut_lineage(classes.groupBy(*KIND).agg(F.min("kind").alias("kind"), F.min(F.when(F.col("age").isNull(), F.col("class"))).alias("ageless")))
+    names = near_names(kinds.select("name", "several"), costs)
+    met = side(kinds, "a").join(names, F.col("a_name") == F.col("a")).join(side(kinds, "b"), F.col("b_name") == F.col("b")).where(apart() & (F.col("a_kind") <= F.col("b_kind")))
+    known = lambda p, age: {"name": F.col(f"{p}_name"), "several": F.col(f"{p}_several"), "age": F.lit(age)}
+    gap = lambda years: should_merge(fields("a", known("a", 0)), fields("b", known("b", years)), F.col("distance"))
+    reach = F.when(gap(FAR_AGE + 1), ANY_AGE).when(gap(FAR_AGE), FAR_AGE).when(gap(LIKE_AGE), LIKE_AGE)
+    met = cut_lineage(met.select("a_kind", "b_kind", "a_ageless", "b_ageless", reach.alias("reach")).where("reach IS NOT NULL"))
+
+    whole = met.where(F.col("reach") == ANY_AGE).select(F.col("a_kind").alias("src"), F.col("b_kind").alias("dst"))
+    inner = classes.join(whole.select(F.explode(F.array("src", "dst")).alias("kind")).distinct(), "kind").select(F.col("kind").alias("src"), F.col("class").alias("dst"))
+    # A missing age goes with any; others with the nearest below and above.
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a_kind").alias("kind"), F.col("b_ageless").alias("ageless")), F.struct(F.lit(1).alias("side"), F.col("b_kind").alias("kind"), F.col("a_ageless").alias("ageless"))))
+    ages = met.where(F.col("reach") != ANY_AGE).select("a_kind", "b_kind", "reach", sides.alias("s")).select("a_kind", "b_kind", "reach", "s.*").join(classes.select("kind", "age", "class"), "kind")
+    pair = Window.partitionBy("a_kind", "b_kind")
+
+    def next_one(*order: Column) -> Column:
+        w = pair.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        last = lambda s: F.last(F.when((F.col("side") == s) & F.col("age").isNotNull(), F.struct("age", "class")), ignorenulls=True).over(w)
+        return F.when(F.col("side") == 0, last(1)).otherwise(last(0))
+
+    near = ages.select("class", "age", "ageless", "reach", next_one(F.asc("age"), F.asc("side")).alias("below"), next_one(F.desc("age"), F.desc("side")).alias("above"))
+    within = lambda c: F.when(F.abs(F.col("age") - F.col(f"{c}.age")) <= F.col("reach"), F.col(f"{c}.class"))
+    aged = near.select(F.col("class").alias("src"), F.explode(F.array_compact(F.array(within("below"), within("above"), F.col("ageless")))).alias("dst"))
+    links = cut_lineage(whole.unionByName(inner).unionByName(aged).distinct())
+    touched = classes.join(links.select(F.explode(F.array("src", "dst")).alias("class")).distinct(), "class", "left_semi").drop("kind")
+    return links.unionByName(members(touched, named, [*KIND, "age"]))
+
+
+def aged_links(left: DataFrame, right: DataFrame, met: DataFrame) -> DataFrame:
+    """src and dst: links by which all hangs together of ``left`` and ``right`` (id, group, text, flags, age) whose texts ``met`` (a, b) pairs and whose rest the rules allow.
+
+    Classes whose profiles are all of one group need none.
+    """
+    by = ["text", *FLAGS, "age"]
+
+    def classes(rows: DataFrame, p: str) -> DataFrame:
+        return side(cut_lineage(rows.groupBy(*by).agg(F.min("id").alias("class"), F.min("group").alias("low"), F.max("group").alias("high"))), p)
+
+    a, b = classes(left, "a"), classes(right, "b")
+    alike = lambda p: fields(p, {"age": F.col(f"{p}_age"), "dx": F.lit("x"), "meds": F.lit("x")})
+    years = a.join(met, F.col("a_text") == F.col("a")).withColumn("years", F.explode(F.sequence(F.col("a_age") - SAME_AGE, F.col("a_age") + SAME_AGE)))
+    parted = (F.col("a_low") != F.col("a_high")) | (F.col("b_low") != F.col("b_high")) | (F.col("a_low") != F.col("b_low"))
+    pairs = years.join(b, (F.col("b") == F.col("b_text")) & (F.col("years") == F.col("b_age"))).where(parted & apart() & should_merge(alike("a"), alike("b"), F.lit(None).cast("double")))
+    links = cut_lineage(pairs.select(F.col("a_class").alias("src"), F.col("b_class").alias("dst")).distinct())
+    out = links
+    for rows, p, end, seen in ((left, "a", "src", a), (right, "b", "dst", b)):
+        touched = seen.join(links.select(F.col(end).alias(f"{p}_class")).distinct(), f"{p}_class", "left_semi").select(*[F.col(f"{p}_{c}").alias(c) for c in ("class", *by)])
+        out = out.unionByName(members(touched, rows, by))
+    return out
+
+
+def joined(profiles: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and group of all profiles over the edges."""
+    return merge_groups(profiles.select("id"), "id", edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
+
+
 def link(records: DataFrame, key: str, costs: DataFrame) -> DataFrame:
     """key and group, the least key of all records that chains of the rules connect.
 
@@ -102,33 +201,42 @@ def link(records: DataFrame, key: str, costs: DataFrame) -> DataFrame:
     missing. costs: what characters cost (a, b, cost) in names; an empty table counts plain edits. Records that repeat wholly
     are linked if the rules link two such records, or if both are linked with a third. Null keys take no part.
     """
-    rows = cut_lineage(records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *profile_columns()))
+    rows = cut_lineage(fuzzy.spread(records.where(F.col(key).isNotNull()), key).select(F.col(key).alias("key"), *profile_columns()))
     alone = rows.groupBy(*FIELDS).agg(F.min("key").alias("id"))
     profiles = cut_lineage(alone)
-    cols = lambda p: {c: F.col(f"{p}_{c}") for c in FIELDS}
-    side = lambda p: profiles.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", *FIELDS)])
 
     bed = stars(profiles.where("bed IS NOT NULL"), ["bed"], "id")
     # Of one number, those without a bed go with all; without any such, only those of one bed belong together.
     open_numbers = profiles.where("civil_id IS NOT NULL AND bed IS NULL").select("civil_id").distinct()
     number = stars(profiles.join(open_numbers, "civil_id", "left_semi"), ["civil_id"], "id")
-
-    names = cut_lineage(near_names(profiles.where("name IS NOT NULL").select("name", "several"), costs))
-    named = side("a").join(names, F.col("a_name") == F.col("a")).drop("a").join(side("b").where("b_bed IS NULL"), F.col("b") == F.col("b_name")).drop("b")
-    named = named.where((F.col("a_id") != F.col("b_id")) & (F.col("a_bed").isNotNull() | (F.col("a_id") < F.col("b_id"))))
-    by_name = named.where(should_merge(cols("a"), cols("b"), F.col("distance"))).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+    by_name = name_links(profiles, costs)
 
     # One of both lacks a bed (different beds never merge), so one is partly known; ages are at most one apart.
-    aged = profiles.where("age IS NOT NULL")
-    treated = []
-    for what in ("dx", "meds"):
-        held = containing(aged.select(F.col(what).alias("text")))
-        inner = side("a").where("a_age IS NOT NULL").join(held, F.col(f"a_{what}") == F.col("inner")).drop("inner").withColumn("years", F.explode(F.sequence(F.col("a_age") - SAME_AGE, F.col("a_age") + SAME_AGE)))
-        met = inner.join(side("b"), (F.col("outer") == F.col(f"b_{what}")) & (F.col("years") == F.col("b_age"))).where((F.col("a_id") != F.col("b_id")) & (F.col("a_bed").isNull() | F.col("b_bed").isNull()))
-        treated.append(met.where(should_merge(cols("a"), cols("b"), F.lit(None).cast("double"))).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
-
-    edges = cut_lineage(bed.unionByName(number).unionByName(by_name).unionByName(treated[0]).unionByName(treated[1]).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    groups = merge_groups(profiles.select("id"), "id", edges)
+    aged = flagged(profiles.where("age IS NOT NULL")).withColumn("group", F.col("id"))
+    rows_of = lambda p, text, where: p.where(where).select("id", "group", F.col(text).alias("text"), *FLAGS, "age")
+    held, treated = {}, []
+    for what, other in (("dx", "meds"), ("meds", "dx")):
+        one = containing(aged.select(F.col(what).alias("text"))).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
+        held[what] = cut_lineage(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        # Where one has no other treatment, the other's doesn't matter.
+        treated.append(aged_links(rows_of(aged, what, f"{what} IS NOT NULL AND {other} IS NULL"), rows_of(aged, what, f"{what} IS NOT NULL"), held[what]))
+    edges = cut_lineage(bed.unionByName(number).unionByName(by_name).unionByName(treated[0]).unionByName(treated[1]).where("src <> dst").distinct())
+    groups = joined(profiles, edges)
+
+    # Both treatments of both: only what the groups so far don't have together is paired.
+    both = cut_lineage(aged.where("dx IS NOT NULL AND meds IS NOT NULL").drop("group").join(groups, "id"))
+    texts = both.groupBy("dx", "meds").agg(F.min("id").alias("text"), F.min("group").alias("low"), F.max("group").alias("high"))
+    texts = cut_lineage(texts)
+    near = side(texts, "a").join(held["dx"].toDF("a_dx", "b_dx"), "a_dx").join(held["meds"].toDF("a_meds", "b_meds"), "a_meds").join(side(texts, "b"), ["b_dx", "b_meds"])
+    near = near.where("a_text <= b_text AND (a_low <> a_high OR b_low <> b_high OR a_low <> b_low)").select(F.col("a_text").alias("a"), F.col("b_text").alias("b"))
+    told = both.join(texts.select("dx", "meds", "text"), ["dx", "meds"])
+    late = cut_lineage(aged_links(rows_of(told, "text", "true"), rows_of(told, "text", "true"), near).where("src <> dst").distinct())
+    edges, known = edges.unionByName(late), groups.toDF("id", "known")
+    between = late.join(known.toDF("src", "a"), "src").join(known.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    between = cut_lineage(between)
+    merged = joined(between.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), between).toDF("known", "merged")
+    groups = known.join(merged, "known", "left").select("id", F.coalesce("merged", "known").alias("group"))
+
     touched = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("touched", F.lit(True))
     own = {c: F.col(c) for c in FIELDS}
     told = profiles.join(groups, "id").join(touched, "id", "left").select(*[F.col(c).alias(f"p_{c}") for c in FIELDS], "group", (should_merge(own, own, F.when(F.col("name").isNotNull(), 0.0)) | F.coalesce("touched", F.lit(False))).alias("one"))

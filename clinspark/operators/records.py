@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import js_round, missing_to_null
-from clinspark.sources.store import cut_lineage, dealt
+from clinspark.sources.store import cut_lineage, dealt, stored
 
 TRIAGE = ("RED", "YELLOW", "GREEN", "GRAY", "BLACK")
 
@@ -118,13 +118,13 @@ def stars(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
 
 def merge_groups(nodes: DataFrame, key: str, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """key and group, the least key that is reachable over the edges: minima spread and jump until nothing changes."""
-    both = cut_lineage(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = stored(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = nodes.select(F.col(key).alias("node"), F.col(key).alias("group"))
-    labels = cut_lineage(labels)
+    labels = stored(labels)
     for _ in range(rounds):
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("group").alias("near"))
         step = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("group", F.coalesce("near", "group")).alias("group"))
-        jump = cut_lineage(step.alias("a").join(step.alias("b"), F.col("a.group") == F.col("b.node")).select(F.col("a.node").alias("node"), F.least("a.group", "b.group").alias("group")))
+        jump = stored(step.alias("a").join(step.alias("b"), F.col("a.group") == F.col("b.node")).select(F.col("a.node").alias("node"), F.least("a.group", "b.group").alias("group")))
         changed = jump.alias("n").join(labels.alias("o"), "node").where("n.group <> o.group").limit(1).count()
         labels = jump
         if not changed:

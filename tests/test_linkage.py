@@ -122,3 +122,21 @@ def test_containing_texts(spark):
     texts = ["abc", "xabcx", "ab", "b", "zzz", "abcabc", "é", "aéa", ""]
     got = {(x.inner, x.outer) for x in linkage.containing(spark.createDataFrame([(t,) for t in [*texts, None, "abc"]], "text string")).collect()}
     assert got == {(a, b) for a in texts for b in texts if a and a in b}
+
+
+def test_links_grow_with_the_records_not_with_their_pairs(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, *rec(full_name="AHMED SALEM"[: 11 - i % 2], gender=r.choice("MF"), age=r.choice([None, *range(20, 80)]), dx=r.choice(["chf", "acute chf", None]), meds=f"drug {i}", civil_id=str(i) if i % 5 == 0 else None)) for i in range(400)]
+    edges = []
+    merge = linkage.merge_groups
+    monkeypatch.setattr(linkage, "merge_groups", lambda nodes, key, links, **kw: (edges.append(links.count()), merge(nodes, key, links, **kw))[1])
+    groups = {x.group for x in linkage.link(spark.createDataFrame(rows, SCHEMA), "id", spark.createDataFrame([], "a string, b string, cost double")).collect()}
+    assert 1 <= len(groups) <= 2
+    assert sum(edges) < 10 * len(rows)  # pairs would be tens of thousands
+
+
+def test_ages_are_linked_in_steps_and_no_further(spark):
+    """Chains of ages of one name: steps of 8 hang together, of 9 don't; those with a number go by others alone."""
+    rows = [(i, *rec(full_name="AHMED SALEM", gender="M", age=a, civil_id=c)) for i, (a, c) in enumerate([(10, None), (18, "1"), (26, None), (35, None), (43, "2"), (51, "3"), (60, None), (90, "4"), (90, "5")])]
+    got = {x.id: x.group for x in linkage.link(spark.createDataFrame(rows, SCHEMA), "id", spark.createDataFrame([], "a string, b string, cost double")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8}
