@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from clinspark.llm.common import ship_package, without
 
 SPACE = "▁"
-#: Words whose encodings a worker keeps; the table starts anew beyond it.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 1_000_000
+#: Words whose encodings a worker keeps, and pairs of pieces: half of them as new ones, half as what was new before.
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 200_000
 
 
 class PieceModel:
@@ -81,6 +81,7 @@ class PieceModel:
         for p in self.usable:
             self.shorter[p] = next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.usable), None)
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.old_pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[int]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -102,9 +103,12 @@ class PieceModel:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
+            if len(self.pairs) >= KEPT_PAIRS // 2:
+                self.old_pairs, self.pairs = self.pairs, {}
+            known = self.old_pairs.get(key)
+            if known is None:
+                known = self.merge(left + right) == [left, right]
+            self.pairs[key] = known
         return known
 
     def run(self, n: int) -> list[int]:
@@ -186,11 +190,15 @@ class _Words(dict):
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model = model
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= KEPT_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.model.word_ids(SPACE + word), dtype="<i4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.model.word_ids(SPACE + word), dtype="<i4").tobytes()
         if len(word) <= 200:
             self[word] = ids
         return ids
@@ -202,12 +210,16 @@ class _Texts(dict):
     def __init__(self, model: PieceModel):
         super().__init__()
         self.model = model
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, ids: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS:
+        if len(self) >= KEPT_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        text = self.model.text
-        out = b"".join([text[i] for i in np.frombuffer(ids, dtype="<i4").tolist()])
+        out = self.old.get(ids)
+        if out is None:
+            text = self.model.text
+            out = b"".join([text[i] for i in np.frombuffer(ids, dtype="<i4").tolist()])
         if len(ids) <= 800:
             self[ids] = out
         return out

@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinspark.llm.common import ship_package, without
-from clinspark.llm.piece_bpe import KEPT_WORDS, SPACE, PieceModel
+from clinspark.llm.piece_bpe import SPACE, PieceModel
 
 KEPT_STATES = 200_000
+KEPT_WORDS = 400_000
 CHUNK = 16_384
 #: States kept of the run of a span from the supposed state.
 TRAIL = 128

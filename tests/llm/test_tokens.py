@@ -175,3 +175,23 @@ def test_repeated_rows_null_and_other_keys(spark, word_model):
     assert [s for k, s, _ in got if k is None] == [0]
     with pytest.raises(ValueError):
         token_output.segments(documents(spark, ["a"]).withColumn("doc_id", F.lit("x")), word_model)
+
+
+def test_kept_words_are_bounded_and_change_nothing(monkeypatch):
+    """Tables of half the bound each, and the half before: common words stay, ids are the library's all the same."""
+    import public_tokenizers
+    import sentencepiece
+
+    from clinspark.llm import piece_bpe
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(piece_bpe, "KEPT_WORDS", 20)
+    monkeypatch.setattr(piece_bpe, "KEPT_PAIRS", 20)
+    c = piece_bpe.PieceCodec(path)
+    for i in range(60):
+        text = f"the common word{i} of Zürich{i}  and x{i * i} unbelievable{i}"
+        assert c.encode(text) == lib.encode(text)
+        assert c.decode_parts(c.parts(text)) == lib.decode(lib.encode(text))
+        for kept in ((c.words, c.words.old), (c.texts, c.texts.old), (c.model.pairs, c.model.old_pairs)):
+            assert all(len(x) <= 10 for x in kept)
