@@ -10,17 +10,20 @@ merging whole texts, the encoder walks from left to right:
   positions, the last piece is taken back, and no other path enters a marked position again.
 
 No piece of such a model holds a space mark after another character, so texts fall apart at the start of each run of
-spaces, and the encodings of such words are kept in a bounded table. Runs of spaces have pieces of equal score, merged
-from the left; they are handled on their own.
+spaces, and so do words where no piece holds two characters next to each other (letters and marks, say). The encodings of
+what is between such places are kept in a bounded table: there are far fewer different ones than words. Runs of spaces have
+pieces of equal score, merged from the left; they are handled on their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +31,11 @@ from pyspark.sql import types as T
 from clinspark.llm.common import ship_package, without
 
 SPACE = "▁"
-#: Words whose encodings a worker keeps, and pairs of pieces: half of them as new ones, half as what was new before.
-KEPT_WORDS = 150_000
+#: Stretches whose encodings a worker keeps (and words, of texts with runs of spaces), and pairs of pieces: half as new ones, half as what was new before.
+KEPT_WORDS = 200_000
 KEPT_PAIRS = 200_000
+#: Text that is worked on at a time: a decoded byte takes some 17 bytes on the way.
+STEP_BYTES = 1 << 18
 
 
 class PieceModel:
@@ -74,7 +79,7 @@ class PieceModel:
         self.usable = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
         self.automaton = ahocorasick.Automaton()
         for p in self.usable:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
         self.longest = max(map(len, self.usable))
         self.shorter: dict[str, str | None] = {}
@@ -83,6 +88,20 @@ class PieceModel:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.old_pairs: dict[tuple[str, str], bool] = {}
         self.runs: dict[int, list[int]] = {}
+        self.stretches = re.compile(f"{SPACE}?(?:{'|'.join([*map(self._any_of, self._joined()), '.'])})|{SPACE}", re.DOTALL).findall
+
+    @staticmethod
+    def _any_of(chars: set[str]) -> str:
+        return f"[{''.join(map(re.escape, sorted(chars)))}]+"
+
+    def _joined(self) -> list[set[str]]:
+        """Sets of characters: pieces hold characters of different sets, or of none, never next to each other but for a space mark in front."""
+        of: dict[str, set[str]] = {}
+        for a, b in {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}:
+            if a != SPACE:
+                both = of.get(a, {a}) | of.get(b, {b})
+                of |= dict.fromkeys(both, both)
+        return list({id(x): x for x in of.values()}.values())
 
     def merge(self, text: str) -> list[str]:
         """Merge characters as the model defines it; for short strings."""
@@ -130,37 +149,37 @@ class PieceModel:
         """Pieces of a word whose characters are all known, by backtracking."""
         n = len(word)
         best: list[str | None] = [None] * n
-        for end, p in self.automaton.iter(word):
-            start = end + 1 - len(p)
-            if best[start] is None or len(best[start]) < len(p):
-                best[start] = p
+        for end, (back, p) in self.automaton.iter(word):  # by their ends, so the last one from a place is the longest
+            best[end - back] = p
+        shorter, fits, known = self.shorter, self.fits, self.pairs.get
         taken: list[str] = []
-        at, failed, p = 0, 0, best[0]
+        at, failed, p, last = 0, 0, best[0], None
         while True:
-            while p is not None and (failed >> (at + len(p)) & 1 or (taken and not self.fits(taken[-1], p))):
-                p = self.shorter[p]
+            while p is not None:
+                if not (failed and failed >> (at + len(p)) & 1):
+                    if last is None:
+                        break
+                    ok = known((last, p))
+                    if ok is None:
+                        ok, known = fits(last, p), self.pairs.get
+                    if ok:
+                        break
+                p = shorter[p]
             if p is None:
                 failed |= 1 << at
                 p = taken.pop()
+                last = taken[-1] if taken else None
                 at -= len(p)
-                p = self.shorter[p]
+                p = shorter[p]
                 continue
             taken.append(p)
             at += len(p)
             if at == n:
                 return taken
-            p = best[at]
+            p, last = best[at], p
 
     def pieces(self, word: str) -> list[str]:
         """Pieces of a word with its space mark; a character without a piece stands for itself."""
-        taken, at = [], 0
-        for end, p in self.automaton.iter_long(word):
-            if end + 1 - len(p) != at or (taken and not self.fits(taken[-1], p)):
-                break
-            taken.append(p)
-            at = end + 1
-        if at == len(word):
-            return taken
         if self.single.issuperset(word):
             return self.walk(word)
         out: list[str] = []
@@ -184,63 +203,46 @@ class PieceModel:
         return out
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian int32 bytes."""
+class _Kept(dict):
+    """Text -> its ids as little-endian int32 bytes; a full table becomes the old one, and what is asked of that one is kept on."""
 
-    def __init__(self, model: PieceModel):
+    def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.model = model
+        self.encode = encode
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS // 2:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(word)
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
         if ids is None:
-            ids = np.array(self.model.word_ids(SPACE + word), dtype="<i4").tobytes()
-        if len(word) <= 200:
-            self[word] = ids
+            ids = self.encode(text)
+        if len(text) <= 200:
+            if len(self) >= KEPT_WORDS // 2:
+                self.old = dict(self)
+                self.clear()
+            self[text] = ids
         return ids
 
 
-class _Texts(dict):
-    """A word's ids -> the bytes that they stand for."""
-
-    def __init__(self, model: PieceModel):
-        super().__init__()
-        self.model = model
-        self.old: dict[bytes, bytes] = {}
-
-    def __missing__(self, ids: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS // 2:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(ids)
-        if out is None:
-            text = self.model.text
-            out = b"".join([text[i] for i in np.frombuffer(ids, dtype="<i4").tolist()])
-        if len(ids) <= 800:
-            self[ids] = out
-        return out
-
-
 class PieceCodec:
     """encode(text) and decode(ids), equal to the sentencepiece library's without begin, end and sampling."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.words = _Words(self.model)
-        self.texts = _Texts(self.model)
+        self.words = _Kept(lambda w: b"".join(map(self.texts.__getitem__, self.model.stretches(SPACE + w))))
+        self.texts = _Kept(lambda t: np.array(self.model.word_ids(t), dtype="<i4").tobytes())
+        sizes = np.array([len(t) for t in self.model.text], dtype=np.int64)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(self.model.text), dtype=np.uint8)
         self.space = np.array([self.model.ids[SPACE]], dtype="<i4").tobytes()
 
     def parts(self, text: str) -> list[bytes]:
-        """Ids of each word, as bytes, in order."""
+        """Ids of each stretch or word, as bytes, in order."""
         if not text:
             return []
-        words = text.replace(SPACE, " ").split(" ")
-        if "" not in words:
-            return list(map(self.words.__getitem__, words))
+        text = text.replace(" ", SPACE)
+        if not (text[0] == SPACE or text[-1] == SPACE or SPACE * 2 in text):
+            return list(map(self.texts.__getitem__, self.model.stretches(SPACE + text)))
+        words = text.split(SPACE)
         out: list[bytes] = []
         bare = 0
         run = self.model.run
@@ -263,14 +265,22 @@ class PieceCodec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.parts(text)), dtype="<i4").tolist()
 
+    def decode_all(self, texts: list[bytes]) -> list[str]:
+        """The texts of ids given as little-endian int32 bytes; bytes that aren't UTF-8 become U+FFFD, the first space mark goes."""
+        ids = np.frombuffer(b"".join(texts), dtype="<i4")
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[ids] - ends[:-1], sizes)
+        at += np.arange(ends[-1])
+        out = self.bytes[at].tobytes()
+        cuts = ends[np.cumsum([0, *[len(t) // 4 for t in texts]])].tolist()
+        return [out[lo + (out[lo : min(lo + 1, hi)] == b" ") : hi].decode("utf-8", "replace") for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
     def decode_parts(self, parts: list[bytes]) -> str:
-        return b"".join(map(self.texts.__getitem__, parts))[1:].decode("utf-8", "replace") if parts else ""
+        return self.decode_all([b"".join(parts)])[0]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of any ids; bytes that aren't UTF-8 become U+FFFD, the first space mark goes."""
-        text = self.model.text
-        out = b"".join([text[i] for i in ids])
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        return self.decode_parts([np.array(ids, dtype="<i4").tobytes()])
 
 
 @lru_cache(maxsize=2)
@@ -278,6 +288,16 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``STEP_BYTES`` of text, at least a row each: they bound the memory of a batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, done = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + STEP_BYTES, side="right")))
+        yield lo, hi
+        lo, done = hi, int(ends[hi - 1])
+
+
 def encode_decode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the ids of each whole text and the text that these ids decode to.
 
@@ -292,15 +312,15 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):  # small steps bound the memory of long texts
-                part = batch.slice(lo, 512)
-                coded = [c.parts(t or "") for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                joined = [b"".join(x) for x in coded]
+            whole = batch.column(batch.schema.get_field_index(text))
+            for lo, hi in steps(whole):
+                part = batch.slice(lo, hi - lo)
+                joined = [b"".join(c.parts(t or "")) for t in whole.slice(lo, hi - lo).to_pylist()]
                 offsets = np.zeros(len(joined) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in joined], out=offsets[1:])
                 flat = pa.array(np.frombuffer(b"".join(joined), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([c.decode_parts(x) for x in coded], pa.string())],
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(c.decode_all(joined), pa.string())],
                     names=[*part.schema.names, ids, decoded],
                 )
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow as pa
 import pytest
 from helpers import documents
 from hypothesis import given, settings
@@ -195,3 +196,20 @@ def test_kept_words_are_bounded_and_change_nothing(monkeypatch):
         assert c.decode_parts(c.parts(text)) == lib.decode(lib.encode(text))
         for kept in ((c.words, c.words.old), (c.texts, c.texts.old), (c.model.pairs, c.model.old_pairs)):
             assert all(len(x) <= 10 for x in kept)
+
+
+def test_words_are_encoded_by_the_stretches_that_no_piece_crosses(piece_model):
+    """Words that differ only in the marks and digits around them are walked through once; ids and texts are the library's."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    c = piece_bpe.PieceCodec(piece_model)
+    walked, encode = [], c.texts.encode
+    c.texts.encode = lambda t: walked.append(t) or encode(t)
+    words = ["unbelievably", "Zürich", "наука", "½х", "don't", "x²", "日本", "été", "№5", "a​b"]
+    texts = [" ".join(a + w + b for w in words) for a in ("", "(", "\"", "7", "«", "\n", "\r\n", "▁") for b in ("", ".", "?!", "42", ",\n\nSo", "\t", "…", "🎉")]
+    texts += ["", " ", "  ", "▁", " a", "a ", "a  b", "²", "².²", "\x00", "a" * 500, "-" * 500, "7" * 50]
+    assert [c.encode(t) for t in texts] == [lib.encode(t) for t in texts]
+    assert c.decode_all([b"".join(c.parts(t)) for t in texts]) == [lib.decode(lib.encode(t)) for t in texts]
+    assert len(walked) < 150  # of over 600 different words
+    assert list(piece_bpe.steps(pa.array(["a" * 200_000, None, "b" * 70_000, "", "c"]))) == [(0, 2), (2, 5)] and list(piece_bpe.steps(pa.array([], pa.string()))) == []
