@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from clinspark.functions.scalar import clamp
 from clinspark.operators.tables import name_score
+from clinspark.sources.store import stored
 
 #: What ends the part of a row in which names stand; weights of fields; bonuses for roles of columns.
 CLINICAL = ("DIAGNOSIS", "MEDICATION", "TRIAGE", "ASSIGNED_DOCTOR", "SHEET_STATUS", "STATUS", "O2", "ISOLATION")
@@ -26,17 +27,19 @@ def resolve(words: DataFrame, known: Column, clinical: Column, doc: str = "doc_i
     The first bare number left of the clinical part is the bed, if there is none and anything else was read; what looks
     like a name is one on the left and a doctor far on the right; the rest goes to the nearest name or diagnosis. The name
     right of a doctor's title is that doctor's. A cluster is one record: a bounded group, whose unknown words meet its
-    names and diagnoses in a join.
+    names and diagnoses in a join. The words are stored with their scores first: they are read three times, and what they
+    were taken for is asked at every turn.
     """
-    keys = [doc, cluster]
+    keys, columns = [doc, cluster], words.columns
+    words = stored(words.withColumn("__score", F.when(F.col("entity") == "UNKNOWN", name_score(F.col("text"), known, clinical))))
     asks = words.where(F.col("entity").isin("UNKNOWN", "DOCTOR_TITLE")).select(*keys, order, F.col("entity").alias("__e"), F.col("cx").alias("__cx"), F.col("cy").alias("__cy"), F.col("h").alias("__h"))
     there = words.where(F.col("entity").isin("NAME", "DIAGNOSIS")).select(*keys, F.col(order).alias("__o"), F.col("entity").alias("__k"), F.col("cx").alias("__x"), F.col("cy").alias("__y"))
     far = F.sqrt(F.pow((F.col("__cx") - F.col("__x")) * 0.3, 2) + F.pow(F.col("__cy") - F.col("__y"), 2))
     named = (F.col("__e") == "DOCTOR_TITLE") & (F.col("__k") == "NAME") & (F.col("__x") > F.col("__cx")) & (F.abs(F.col("__y") - F.col("__cy")) < F.col("__h") * 1.5)
     near = asks.join(there, keys).groupBy(*keys, order).agg(F.min(F.when(F.col("__k") == "NAME", far)).alias("__to_name"), F.min(F.when(F.col("__k") == "DIAGNOSIS", far)).alias("__to_dx"), F.min(F.when(named, F.struct("__x", "__o")))["__o"].alias("__whose"))
     doctors = near.where("__whose IS NOT NULL").select(*keys, F.col("__whose").alias(order), F.lit(True).alias("__titled")).distinct()
-    w = Window.partitionBy(*keys)
-    before = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    w = _whole(*keys, order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     some = lambda c, over=w: F.coalesce(F.max(F.coalesce(c, F.lit(False))).over(over), F.lit(False))
     unknown, left, text = F.col("entity") == "UNKNOWN", F.min("x").over(w), F.trim("text")
     span = F.greatest(F.lit(1.0), F.max(F.col("x") + F.col("w")).over(w) - left)
@@ -44,7 +47,6 @@ def resolve(words: DataFrame, known: Column, clinical: Column, doc: str = "doc_i
     out = out.withColumns({
         "__edge": F.coalesce(F.min(F.when(F.col("entity").isin(*CLINICAL), F.col("x"))).over(w) - 10, left + span * 0.48),
         "__right": left + span * 0.62,
-        "__score": name_score(F.col("text"), known, clinical),
         "__names": some((F.col("entity") == "NAME") & F.col("__titled").isNull()),
         "__any": some(F.col("entity").isin("NAME", "DIAGNOSIS", "ASSIGNED_DOCTOR", "SHEET_STATUS")),
         "__bed": some(F.col("entity") == "BED"),
@@ -58,7 +60,12 @@ def resolve(words: DataFrame, known: Column, clinical: Column, doc: str = "doc_i
     detail = F.col("__to_dx").isNotNull() & F.col("text").rlike(r"[A-Z]{2,}|\d")
     kind = F.when(is_bed, "BED").when(F.col("__left"), "NAME").when(doctor, "ASSIGNED_DOCTOR").when(unknown & nearer, "NAME").when(unknown & detail, "DIAGNOSIS").when(F.col("__titled"), "ASSIGNED_DOCTOR").otherwise(F.col("entity"))
     sure = F.when(is_bed, F.lit(0.58)).when(F.col("__left") | doctor, F.greatest("confidence", "__score")).otherwise(F.col("confidence"))
-    return out.select(*words.columns, kind.alias("kind"), sure.alias("sure"))
+    return out.select(*columns, kind.alias("kind"), sure.alias("sure"))
+
+
+def _whole(doc: str, cluster: str, order: str) -> WindowSpec:
+    """All words of a cluster; in their order, as windows over those before it are, so that one sorting serves both."""
+    return Window.partitionBy(doc, cluster).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def assemble(words: DataFrame, known: Column, clinical: Column, doc: str = "doc_id", cluster: str = "row_id", order: str = "i") -> DataFrame:
@@ -70,21 +77,27 @@ def assemble(words: DataFrame, known: Column, clinical: Column, doc: str = "doc_
     """
     given = words.withColumns({c: F.lit(v).cast(t) for c, v, t in (("role", None, "string"), ("on_sheet", False, "boolean")) if c not in words.columns})
     r = resolve(given, known, clinical, doc, cluster, order)
-    at = F.struct((F.col("entity") != F.col("kind")).alias("late"), F.col(order).alias("place"), F.col("cx"), F.trim("text").alias("text"))
-    is_ = lambda k: F.col("kind") == k
-    age, gender = F.regexp_extract("text", r"(\d{1,3})", 1).cast("int"), F.upper(F.regexp_extract("text", "([MFmf])", 1))
-    of = lambda k, v, best: F.max_by(F.when(is_(k), v), F.when(is_(k), best))
-    first, last = -F.col(order), F.col(order)
     lists = {"names": "NAME", "dx": "DIAGNOSIS", "meds": "MEDICATION", "doctor": "ASSIGNED_DOCTOR", "sheet_status": "SHEET_STATUS"}
-    n = r.groupBy(doc, cluster).agg(
-        *[of(k, F.struct("text", "sure"), F.struct("sure", first)).alias(f) for f, k in PICKED.items()],
-        *[F.array_sort(F.collect_list(F.when(is_(k), at))).alias(f) for f, k in lists.items()],
-        *[F.avg(F.when(is_(k), F.col("sure"))).alias(f"__{f}") for f, k in lists.items()],
-        of("AGE_GENDER", F.struct(age.alias("age"), gender.alias("gender"), F.col("sure")), last).alias("both"),
-        of("AGE", F.struct(age.alias("v"), F.col("sure")), first).alias("one_age"),
-        of("GENDER", F.struct(gender.alias("v"), F.col("sure")), first).alias("one_gender"),
-        F.avg("confidence").alias("base"), F.count("*").alias("n"), F.collect_set("role").alias("roles"), F.count("role").alias("placed"), F.count_if("on_sheet").alias("on_sheet"),
+    # What all words say of a cluster goes with each of them, so that only words of some kind are grouped: most are of none.
+    every = {"base": F.avg("confidence"), "n": F.count("*"), "roles": F.collect_set("role"), "placed": F.count("role"), "on_sheet": F.count(F.when(F.col("on_sheet"), True))}
+    w = _whole(doc, cluster, order)
+    r = r.select(doc, cluster, order, "entity", "kind", "sure", "text", "cx", *[c.over(w).alias(f"__{f}") for f, c in every.items()]).where(F.col("kind").isin(*PICKED.values(), *lists.values(), "AGE_GENDER", "AGE", "GENDER"))
+    at = F.struct((F.col("entity") != F.col("kind")).alias("late"), F.col(order).alias("place"), F.col("cx"), F.trim("text").alias("text"))
+    one, first = F.struct("text", "sure"), -F.col(order)
+    # First what each kind has to say, then the kinds side by side.
+    kinds = r.groupBy(doc, cluster, "kind").agg(
+        F.max_by(one, F.struct("sure", first)).alias("best"), F.max_by(one, first).alias("first"), F.max_by(one, order).alias("last"),
+        F.array_sort(F.collect_list(at)).alias("all"), F.avg("sure").alias("mean"), *[F.first(f"__{f}").alias(f) for f in every],
     )
+    of = lambda k, c: F.first(F.when(F.col("kind") == k, F.col(c)), True)
+    age, gender = F.regexp_extract("a.text", r"(\d{1,3})", 1).cast("int"), F.upper(F.regexp_extract("g.text", "([MFmf])", 1))
+    n = kinds.groupBy(doc, cluster).agg(
+        *[of(k, "best").alias(f) for f, k in PICKED.items()],
+        *[F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("all")))).alias(f) for f, k in lists.items()],
+        *[of(k, "mean").alias(f"__{f}") for f, k in lists.items()],
+        of("AGE_GENDER", "last").alias("both"), of("AGE", "first").alias("one_age"), of("GENDER", "first").alias("one_gender"),
+        *[F.first(f).alias(f) for f in every],
+    ).withColumns({"a": F.coalesce("both", "one_age"), "g": F.coalesce("both", "one_gender")})
     texts = lambda c: F.array_distinct(F.filter(F.transform(c, lambda s: s["text"]), lambda t: t != ""))
     across = lambda c, sign=F.lit(1): F.array_sort(F.transform(c, lambda s: F.struct((s["cx"] * sign).alias("cx"), s["late"], s["place"], s["text"])))
     joined = lambda c, by: F.when(F.size(c) > 0, F.array_join(c, by))
@@ -96,8 +109,8 @@ def assemble(words: DataFrame, known: Column, clinical: Column, doc: str = "doc_
         joined(texts(F.col("meds")), ", ").alias("meds"), F.col("__meds").alias("meds_sure"),
         *[x for f in ("doctor", "sheet_status") for x in (joined(texts(across(F.col(f))), " ").alias(f), F.col(f"__{f}").alias(f"{f}_sure"))],
         *[x for f in PICKED for x in ((F.regexp_replace(f"{f}.text", r"\s+", "") if f == "bed" else F.upper(f"{f}.text") if f == "triage" else F.col(f)["text"]).alias(f), F.col(f)["sure"].alias(f"{f}_sure"))],
-        F.when(F.col("both").isNotNull(), F.col("both.age")).otherwise(F.col("one_age.v")).alias("age"), F.coalesce("both.sure", "one_age.sure").alias("age_sure"),
-        F.when(F.col("both").isNotNull(), F.col("both.gender")).otherwise(F.col("one_gender.v")).alias("gender"), F.coalesce("both.sure", "one_gender.sure").alias("gender_sure"),
+        age.alias("age"), F.coalesce("both.sure", "one_age.sure").alias("age_sure"),
+        gender.alias("gender"), F.coalesce("both.sure", "one_gender.sure").alias("gender_sure"),
         F.col("both.sure").alias("age_gender_sure"),
     )
     return fields.where("name IS NOT NULL OR bed IS NOT NULL OR n_dx > 0 OR civil_id IS NOT NULL OR age IS NOT NULL").select(

@@ -112,9 +112,13 @@ def measures(text: Column) -> dict[str, Column]:
     return {name: F.nullif(F.regexp_extract(low, p, 1), F.lit("")).cast("double") for name, p in MEASURES}
 
 
-def entity_scores(token: Column) -> Column:
-    """array of struct<confidence, order, entity>: every scorer's verdict on one token; the maximum wins, ties to the earlier."""
-    t, u = F.trim(token), F.upper(F.trim(token))
+def entity_scores(token: Column, upper: Column | None = None) -> Column:
+    """array of struct<confidence, order, entity>: every scorer's verdict on one token; the maximum wins, ties to the earlier.
+
+    upper: the trimmed token in upper case, if there is a column of it. What holds a digit or a sign in any case is only
+    looked for in tokens with one.
+    """
+    t, u = F.trim(token), F.upper(F.trim(token)) if upper is None else upper
     age = F.nullif(F.regexp_extract(u, "^([0-9]{1,3})[ /-]*[MF]$", 1), F.lit("")).cast("int")
     scorers = [
         ("BED", F.when(u.rlike("^[A-Z]{1,3}-[MF]-?[0-9]{1,3}$"), 0.99).when(u.rlike("^(BED|RM|ROOM)[ -]?[0-9]{1,3}[A-Z]?$"), 0.95).when(u.rlike("^[A-Z]{1,2}[0-9]{1,3}$"), 0.72)),
@@ -135,11 +139,16 @@ def entity_scores(token: Column) -> Column:
         ("MEDICATION", F.when(u.rlike("(CILLIN|MYCIN|OLOL|PRIL|SARTAN|STATIN|AZOLE)$"), 0.9)),
         ("NAME", F.when(t.rlike("^[A-Z][a-z]{2,}$"), 0.7)),
     ]
-    return F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct(s.cast("double").alias("confidence"), F.lit(-i).alias("order"), F.lit(e).alias("entity"))) for i, (e, s) in enumerate(scorers)]))
+    verdicts = [(e, F.when(s.isNotNull(), F.struct(s.cast("double").alias("confidence"), F.lit(-i).alias("order"), F.lit(e).alias("entity")))) for i, (e, s) in enumerate(scorers)]
+    return F.array_compact(F.when(u.rlike("[0-9+-]"), F.array(*[v for _, v in verdicts])).otherwise(F.array(*[v for e, v in verdicts if e not in SIGNED])))
+
+
+#: Entities whose patterns all hold a digit or a sign.
+SIGNED = frozenset({"BED", "AGE_GENDER", "AGE", "CIVIL_ID", "BLOOD_TYPE"})
 
 
-def classify_token(token: Column, cutoff: float = 0.3) -> Column:
-    best = F.array_max(entity_scores(token))
+def classify_token(token: Column, cutoff: float = 0.3, upper: Column | None = None) -> Column:
+    best = F.array_max(entity_scores(token, upper))
     return F.when(best["confidence"] * 0.8 + 0.2 > cutoff, best["entity"]).otherwise("UNKNOWN")
 
 

@@ -62,5 +62,6 @@ def vocabulary_variants(spark, d):
 def assembled_records(spark, d):
     """Each line of the conversations as one record, unknown words resolved by what it lacks."""
     texts = scan(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
-    words = text_rules.plain_text_words(texts, "doc_id", "text").withColumns({"entity": text_rules.classify_token(F.col("text")), "confidence": F.lit(0.9)}).withColumnRenamed("line", "row_id")
+    upper = text_rules.plain_text_words(texts, "doc_id", "text").withColumn("upper", F.upper(F.trim("text")))
+    words = upper.withColumns({"entity": text_rules.classify_token(F.col("text"), upper=F.col("upper")), "confidence": F.lit(0.9)}).withColumnRenamed("line", "row_id").drop("upper")
     return assembly.assemble(words, F.array(F.lit("omar"), F.lit("sara")), F.array(F.lit("sepsis"), F.lit("ward")))

@@ -128,3 +128,33 @@ def test_random_clusters_equal_the_plain_version(spark):
         confidence = want.pop("confidence")
         assert {f: v for f, v in have.items() if v is not None and f not in ("doc_id", "row_id", "confidence")} == want, [x for x in rows if x[1] == k]
         assert have["confidence"] == pytest.approx(confidence)
+
+
+def test_words_are_classified_once_and_read_back(spark, tmp_path):
+    """The text is read from its source once, not again for each part of the job; all flags of a sheet may be null."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [word(0, "UNKNOWN", "12", 0), word(1, "UNKNOWN", "Sara", 60), word(2, "DIAGNOSIS", "COPD", 200), word(3, "DOCTOR_TITLE", "Dr", 260), word(4, "NAME", "Omar", 300, on_sheet=None)]
+    words = spark.createDataFrame(rows, SCHEMA)
+    arrays = [F.array(*map(F.lit, ws)) for ws in (KNOWN, CLINICAL)]
+    got = assembly.assemble(words.mapInArrow(count, words.schema), *arrays).collect()
+    assert seen.value == len(rows)
+    assert [(r["bed"], r["name"], r["dx"], r["doctor"]) for r in got] == [("12", "Sara", "COPD", "Omar")]
+
+
+def test_verdicts_on_tokens_do_not_depend_on_the_given_upper_case(spark):
+    from clinspark.operators.text_rules import entity_scores
+
+    texts = ["", " ", "44/F", "7m", "A-M-1", "ICU 2", "ab", "O+", "o-", "12", "212345678901", "mrn 12345", "Dr. Lee", "Sara", "nkda", "amoxicillin", "9 years", "b12", "bed 4", None]
+    t, u = F.col("t"), F.upper(F.trim("t"))
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("u", u)
+    got = {r.t: (r.a, r.b) for r in rows.select("t", entity_scores(t).alias("a"), entity_scores(t, F.col("u")).alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and got[None] == ([], [])
+    kinds = {k: [x.entity for x in a] for k, (a, _) in got.items()}
+    assert kinds["44/F"] == ["AGE_GENDER"] and kinds["o-"] == kinds["O+"] == ["BLOOD_TYPE"] and kinds["12"] == ["AGE"] and kinds["A-M-1"] == ["BED"] and kinds["212345678901"] == ["CIVIL_ID"]
+    assert kinds["b12"] == kinds["bed 4"] == ["BED"] and kinds["9 years"] == ["AGE"] and kinds["mrn 12345"] == ["CIVIL_ID"] and kinds["ICU 2"] == ["WARD"] and kinds["Sara"] == ["NAME"]
