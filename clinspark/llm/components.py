@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import remove, written
+from clinspark.llm.common import few_files, remove, written
 
 MAX_ROUNDS = 60
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -19,21 +19,21 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     dropped (a node that has only self edges is a component of its own).
     """
     clean = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
-    nodes, _ = written(spark, clean.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    nodes, _ = written(spark, few_files(clean.select(F.explode(F.array("src", "dst")).alias("node")).distinct()), "nodes")
     pairs = clean.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    current, path = written(spark, pairs, "edges")
+    current, path = written(spark, few_files(pairs), "edges")
     before = _state(current)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
         # Large step. u > v: each edge seen from both ends.
         both = current.select(F.col("u").alias("n"), F.col("v").alias("m")).union(current.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least, least_at = written(spark, both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r")), "minima")
-        large, large_at = written(spark, both.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct(), "large")
+        least, least_at = written(spark, few_files(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("r"))), "minima")
+        large, large_at = written(spark, few_files(both.where("m > n").join(least, "n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct()), "large")
         # Small step: u keeps its least neighbour, and hands it to the others.
-        root, root_at = written(spark, large.groupBy("u").agg(F.min("v").alias("r")), "minima")
+        root, root_at = written(spark, few_files(large.groupBy("u").agg(F.min("v").alias("r"))), "minima")
         small = large.join(root, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("r").alias("v")), F.struct("u", F.col("r").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new, at = written(spark, small, "edges")
+        new, at = written(spark, few_files(small), "edges")
         state = _state(new)
         for gone in (path, least_at, large_at, root_at):
             remove(spark, gone)

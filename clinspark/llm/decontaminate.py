@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import written
+from clinspark.llm.common import few_files, written
 
 WIDTH = 8
 ANCHOR = 3
@@ -210,7 +210,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "do
     document that repeats an item has the best figures; repeated rows give one leak.
     """
     found = matches(spark, docs, items, key, text, item_key, item_text, width)
-    found, _ = written(spark, found.distinct(), "window-matches")
+    found, _ = written(spark, few_files(found.distinct()), "window-matches")
     run = ["key", "of", "item", "grid", "cell"]
     shift = F.col("doc_at") - F.col("at")
     # Two grids of bands, half a band apart, so that offsets within half a band meet in one; and each offset alone.

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import without, written
+from clinspark.llm.common import few_files, without, written
 
 MIN_WORDS = 3
 #: Lines of at least LONG_WORDS words are passages: they hardly recur by chance, so fewer sites make them spread.
@@ -60,11 +60,11 @@ def spread_lines(spark: SparkSession, docs: DataFrame, text: str = "text", site:
     lines = docs.where(F.col(site).isNotNull()).select(F.xxhash64(F.col(site)).alias("site"), F.explode(line_keys(F.col(text))).alias("k")).select("site", "k.h", "k.w").where(F.col("w") >= min_words)
     need = F.when(F.col("w") >= long_words, long_sites).otherwise(min_sites)
     seen = lines.groupBy("h", "w").agg(F.count("*").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
-    likely, _ = written(spark, seen.where((F.col("n") >= need) & ((F.col("lo") != F.col("hi")) | (need <= 1))).select("h", "w"), "likely-lines")
+    likely, _ = written(spark, few_files(seen.where((F.col("n") >= need) & ((F.col("lo") != F.col("hi")) | (need <= 1))).select("h", "w")), "likely-lines")
     few = likely.count() <= BROADCAST_LINES
     found, _ = written(spark, lines.join(F.broadcast(likely) if few else likely, ["h", "w"]), "line-occurrences")
     sketched = found.groupBy("h", "w").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-    decided, _ = written(spark, sketched.withColumn("near", F.abs(F.col("sites") - need) <= need * BAND), "line-estimates")
+    decided, _ = written(spark, few_files(sketched.withColumn("near", F.abs(F.col("sites") - need) <= need * BAND)), "line-estimates")
     sure = decided.where(~F.col("near") & (F.col("sites") >= need)).select("h")
     near = decided.where("near").select("h", "w")
     exact = found.join(F.broadcast(near) if few else near, ["h", "w"]).groupBy("h", "w").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= need).select("h")
@@ -114,14 +114,14 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, key: str = "doc_id"
     are, joined by newlines. Repeated rows are treated alike. Clashing columns of the new names are replaced. An empty
     table stays one. Texts are taken whole, however long.
     """
-    spread, _ = written(spark, spread_lines(spark, docs, text, site, **limits), "spread-lines")
+    spread, _ = written(spark, few_files(spread_lines(spark, docs, text, site, **limits)), "spread-lines")
     kept = without(docs, "n_removed", "is_copy")
     marked = marked_lines(spark, kept, spread, key, text)
     hit = F.filter(F.zip_with("__lines", "__marks", lambda k, m: F.when(m, k["w"])), lambda w: w.isNotNull())
     marked = marked.withColumn("__hit", F.coalesce(hit, F.array().cast("array<int>"))).withColumns(
         {"__lost": F.aggregate("__hit", F.lit(0), lambda a, w: a + w), "__total": F.aggregate("__lines", F.lit(0), lambda a, k: a + k["w"])}
     )
-    copies, _ = written(spark, whole_copies(spark, marked, key, text, copy_from, copy_share), "whole-copies")
+    copies, _ = written(spark, few_files(whole_copies(spark, marked, key, text, copy_from, copy_share)), "whole-copies")
     few = copies.count() <= BROADCAST_LINES
     copies = copies.select(F.col("__k").alias("__k2"), F.col("__t").alias("__t2"), F.lit(True).alias("__whole"))
     joined = marked.join(F.broadcast(copies) if few else copies, F.col(key).eqNullSafe(F.col("__k2")) & (F.col("__t") == F.col("__t2")), "left")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinspark.llm.common import ship_package, written
+from clinspark.llm.common import few_files, ship_package, written
 from clinspark.llm.components import connected_components
 from clinspark.llm.simhash import BKTree, forest, shingle_hashes
 
@@ -139,7 +139,7 @@ def _pairs(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
 def candidates(members: DataFrame, radius: int, max_shard: int) -> DataFrame:
     """src, dst: a spanning forest of each shard's pairs within the radius. members: shard, node, fingerprint, each node once in a shard."""
     # Written first, so that both sides of the join are plain tables and a hot shard is split at run time.
-    sizes, _ = written(members.sparkSession, members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1"), "shard-sizes")
+    sizes, _ = written(members.sparkSession, few_files(members.groupBy("shard").agg(F.count("*").alias("size")).where("size > 1")), "shard-sizes")
     sized = members.join(sizes, "shard")
     groups = F.ceil(F.col("size") / max_shard).cast("int")
     own = F.pmod(F.xxhash64("node"), groups).cast("int")
@@ -201,7 +201,7 @@ def exact_links(block: list[tuple], radius: int, similarity: float) -> list[tupl
 
 def links(spark: SparkSession, members: DataFrame, radius: int, similarity: float, max_block: int) -> DataFrame:
     """src, dst: links of at least this exact similarity that connect all that are linked within a class. members: component, least, node, fingerprint, shingles."""
-    sizes, _ = written(spark, members.groupBy("component").agg(F.count("*").alias("size")), "class-sizes")
+    sizes, _ = written(spark, few_files(members.groupBy("component").agg(F.count("*").alias("size"))), "class-sizes")
     columns = ["component", "node", "fingerprint", "shingles"]
     keys = ["component", "a", "b"]
     small = members.join(sizes.where(F.col("size") <= max_block), "component")
@@ -210,7 +210,7 @@ def links(spark: SparkSession, members: DataFrame, radius: int, similarity: floa
     large = sizes.where(F.col("size") > max_block)
     if large.limit(1).count():
         inside = members.join(large.select("component"), "component")
-        pivots, _ = written(spark, inside.groupBy("component").agg(F.min_by(F.struct("node", "shingles"), F.struct("least", "node")).alias("pivot")), "pivots")
+        pivots, _ = written(spark, few_files(inside.groupBy("component").agg(F.min_by(F.struct("node", "shingles"), F.struct("least", "node")).alias("pivot"))), "pivots")
         weight = pivots.agg(F.sum(F.length("pivot.shingles") + 64)).first()[0]
         held = F.broadcast(pivots) if weight <= BROADCAST_BYTES else pivots
 
@@ -221,7 +221,7 @@ def links(spark: SparkSession, members: DataFrame, radius: int, similarity: floa
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], batch.column(5), pa.array(yes, pa.bool_())], names=[*columns, "pivot", "linked"])
 
         judged = inside.join(held, "component").select(*columns, F.col("pivot.shingles").alias("other"), F.col("pivot.node").alias("pivot")).mapInArrow(against, "component long, node long, fingerprint binary, shingles binary, pivot long, linked boolean")
-        judged, _ = written(spark, judged, "pivot-links")
+        judged, _ = written(spark, few_files(judged), "pivot-links")
         found.append(judged.where("linked AND node <> pivot").select(F.col("pivot").alias("src"), F.col("node").alias("dst")))
         groups = judged.groupBy("component").agg(F.ceil(F.sum((~F.col("linked")).cast("long")) / max_block).cast("int").alias("rest"), F.ceil(F.sum(F.col("linked").cast("long")) / max_block).cast("int").alias("copies"))
         own = F.when(F.col("linked"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("copies"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
@@ -240,13 +240,13 @@ def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str
     """
     marked, _ = written(spark, sketches(docs, key, text, width), "sketches")
     row = F.struct("key", "text_hash")
-    distinct, _ = written(spark, marked.groupBy("node").agg(F.min(row).alias("least"), F.min_by("fingerprint", row).alias("fingerprint"), F.min_by("shards", row).alias("shards")), "distinct-sketches")
-    pairs, _ = written(spark, candidates(distinct.select(F.explode("shards").alias("shard"), "node", "fingerprint"), radius, max_shard), "candidates")
-    loose, _ = written(spark, connected_components(spark, pairs), "loose-classes")
+    distinct, _ = written(spark, few_files(marked.groupBy("node").agg(F.min(row).alias("least"), F.min_by("fingerprint", row).alias("fingerprint"), F.min_by("shards", row).alias("shards"))), "distinct-sketches")
+    pairs, _ = written(spark, few_files(candidates(distinct.select(F.explode("shards").alias("shard"), "node", "fingerprint"), radius, max_shard)), "candidates")
+    loose, _ = written(spark, few_files(connected_components(spark, pairs)), "loose-classes")
     named = loose.join(distinct.select("node", "least", "fingerprint"), "node")
     first = marked.select("node", row.alias("least"), "shingles").dropDuplicates(["node", "least"]) if _repeats(marked) else marked.select("node", row.alias("least"), "shingles")
     members = named.join(first, ["node", "least"]).select("component", "least", "node", "fingerprint", "shingles")
-    edges, _ = written(spark, links(spark, members, radius, similarity, max_block), "near-links")
+    edges, _ = written(spark, few_files(links(spark, members, radius, similarity, max_block)), "near-links")
     labels = connected_components(spark, edges)
     named = distinct.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.join(named.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", "first")
@@ -265,7 +265,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     so a key that repeats with another text loses only the copies among its texts; of rows that repeat both, one stays.
     Texts of any length are taken whole. An empty table stays one. Keys may be of any type that has an order.
     """
-    judged, _ = written(spark, classes(spark, docs, key, text, **options), "near-classes")
+    judged, _ = written(spark, few_files(classes(spark, docs, key, text, **options)), "near-classes")
     gone = judged.where(~F.col("kept")).select(F.col(key).alias("__gone"), F.col("text_hash").alias("__gone_text"))
     same = (docs[key] == gone["__gone"]) & (F.xxhash64(docs[text]) == gone["__gone_text"])
     rest = docs.join(gone, same, "left_anti")

@@ -180,3 +180,30 @@ def test_near_dedup_of_odd_rows(spark, edge_texts):
 def test_split_shards_lose_no_link(spark):
     texts = ["alpha beta gamma delta epsilon zeta eta theta iota kappa " * 30 + f"end {i}" for i in range(60)]
     assert near_dedup.deduplicate(spark, documents(spark, texts), max_shard=7).count() == 1
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    """A table of a few rows over many parts isn't a file for each row; rows and components stay the same."""
+    from clinspark.llm import components
+
+    files = []
+
+    def count(session, df, name, **more):
+        out, path = written(session, df, name, **more)
+        files.append(len(out.inputFiles()))
+        return out, path
+
+    from clinspark.llm.common import written
+
+    monkeypatch.setattr(components, "written", count)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(300).selectExpr("id AS src", "IF(id % 3 = 2, id, id + 1) AS dst")
+        got = {r.node: r.component for r in components.connected_components(spark, edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 3 for i in range(300)}
+    assert files and max(files) <= max(4 * spark.sparkContext.defaultParallelism, 13)
