@@ -274,8 +274,9 @@ def top_terms(spark, d):
 @query("""
 SELECT o_custkey, CAST(floor(sum(o_totalprice) / count(*) + 0.5) AS BIGINT) AS avg_price, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1""")
 def running_means(spark, d):
-    """Rounded means; prices are added in the order of the orders, as a sum of doubles by parts may end on the other side of a half."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = scan(spark, d, "orders").select("o_custkey", F.sum("o_totalprice").over(w).alias("total"), F.count("*").over(w).alias("n"))
+    """Rounded means; prices are added in the order of the files' rows, as a sum of doubles by parts or in another order may end on the other side of a half."""
+    w = Window.partitionBy("o_custkey").orderBy("file_path", "row_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = scan(spark, d, "orders").select("o_custkey", "o_totalprice", "_metadata.file_path", "_metadata.row_index")
+    sums = placed.select("o_custkey", F.sum("o_totalprice").over(w).alias("total"), F.count("*").over(w).alias("n"))
     ends = sums.groupBy("o_custkey").agg(F.max(F.struct("n", "total")).alias("e"))
     return ends.where("e.n > 1").select("o_custkey", js_round(F.col("e.total") / F.col("e.n")).alias("avg_price"), F.col("e.n").alias("n"))

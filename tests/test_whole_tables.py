@@ -46,6 +46,33 @@ def test_means_add_prices_in_the_order_of_orders(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_means_add_prices_in_the_order_of_the_files_rows(spark, tmp_path):
+    """Orders that lie in their files in another order than that of their keys."""
+    import random
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r, groups = random.Random(8), []
+    while len(groups) < 40:
+        p = [r.randrange(100_000, 40_000_000) for _ in range(7)]
+        p.append(100_000 + (400 - (sum(p) + 100_000) % 800) % 800)
+        x = [v / 100 for v in p]
+        if math.floor(sum_of(x) / 8 + 0.5) != math.floor(sum_of(x[::-1]) / 8 + 0.5):
+            groups.append(x)
+    n = len(groups)
+    (tmp_path / "orders.parquet").mkdir()
+    for part in range(2):
+        places = range(4 * n * part, 4 * n * (part + 1))
+        rows = pa.table({"o_orderkey": [8 * n - i for i in places], "o_custkey": [i % n for i in places], "o_totalprice": [groups[i % n][i // n] for i in places]})
+        pq.write_table(rows, f"{tmp_path}/orders.parquet/part-{part}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    want = con.sql(catalog.oracle_sql()["running_means"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
+    got = [tuple(x) for x in catalog.queries()["running_means"](spark, str(tmp_path)).select("o_custkey", "avg_price", "n").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def sum_of(values):
     total = 0.0
     for v in values:
