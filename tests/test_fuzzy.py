@@ -48,6 +48,41 @@ def test_nearest_terms_equal_brute_force(spark, words):
     assert got == {a: (w[1], w[0]) for a, w in want.items() if w}
 
 
+def least_near(spark, left, right, limit):
+    pairs = spark.createDataFrame([(x,) for x in left], "a string").crossJoin(spark.createDataFrame([(x,) for x in right], "b string"))
+    best = pairs.withColumn("d", F.levenshtein("a", "b")).where(F.col("d") <= limit).groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+    return {r.a: (r.m.b, r.m.d) for r in best.collect()}
+
+
+def test_terms_close_to_each_other_are_not_met_in_pairs(spark, monkeypatch):
+    terms, tokens = [f"Supplier#{i:09d}" for i in range(2000)], [f"Supplier#{i:09d}" for i in range(0, 60000, 41)]
+    asked, pairs = [], fuzzy.segment_pairs
+
+    def counted(l, t, r, u, e):
+        asked.append(e)
+        return pairs(l, t, r, u, e)
+
+    monkeypatch.setattr(fuzzy, "segment_pairs", counted)
+    got = {r.a: (r.b, r.distance) for r in fuzzy.nearest_terms(rows(spark, tokens, "a"), "a", rows(spark, terms, "b"), "b", 2).collect()}
+    assert got == least_near(spark, tokens, terms, 2) and {d for _, d in got.values()} == {0, 1, 2}
+    assert set(asked) == {0}
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_nearest_terms_of_any_start_and_length_equal_brute_force(spark, limit):
+    r = random.Random(5)
+    base = ["ab12" + "".join(r.choice("01,|é😀") for _ in range(r.randint(0, n))) for n in (3, 6, 20) for _ in range(25)]
+    tokens = [*base[::5], "", "a", "ab1", "b12", "ab12"]
+    for x in base * 2:
+        for _ in range(r.randint(1, 3)):
+            k = r.randint(0, len(x))
+            x = r.choice([x[:k] + x[k + 1 :], x[:k] + r.choice("01x") + x[k:], x[:k] + r.choice("01,é") + x[k + 1 :]])
+        tokens.append(x)
+    got = {x.a: (x.b, x.distance) for x in fuzzy.nearest_terms(rows(spark, tokens, "a"), "a", rows(spark, base, "b"), "b", limit).collect()}
+    assert got == least_near(spark, sorted(set(tokens)), sorted(set(base)), limit)
+    assert fuzzy.nearest_terms(rows(spark, tokens, "a"), "a", rows(spark, base, "b").limit(0), "b", limit).count() == 0
+
+
 def test_nearest_by_weight_equals_brute_force(spark, words):
     left, right = words
     got = fuzzy.nearest_by_weight(rows(spark, left, "a"), "a", rows(spark, right, "b"), "b", canonical_token, distance.ocr_distance, 2.0).collect()
