@@ -1,7 +1,7 @@
 """Correction of texts in passes over lexicon tables of any size, with a list of what was changed and flags of odd values.
 
 1. Confusables: parts of words, case kept, all found at once by a multi-pattern automaton that runs over the different words.
-2. Phrases: runs of words, found at their rarest word by a hash join and then compared in place.
+2. Phrases: runs of words, found by a hash of all their words and then compared in place.
 3. Words: entries of a dictionary; else spellings repaired by swaps of characters, which must be known.
 4. Flags: laboratory values far beyond their limits. They change nothing.
 
@@ -26,7 +26,6 @@ from clinspark.sources.store import cut_lineage
 PUNCTUATION = ".,;:!?()[]{}\"'"
 _BLANK = r" \t\n\r\f\x0B"
 _TOKENS = f"[{_BLANK}]+|[^{_BLANK}]+"
-_ENDS = r"^[.,;:!?()\[\]{}\"']+|[.,;:!?()\[\]{}\"']+$"
 #: Swaps of one kind that are tried on words that the dictionary doesn't hold, in this order.
 SWAPS = (("0", "o"), ("1", "i"), ("l", "i"), ("i", "l"), ("vv", "w"), ("cl", "d"), ("5", "s"), ("8", "b"))
 #: Bytes of patterns that one automaton holds; more are dealt to several.
@@ -36,19 +35,19 @@ BROADCAST_BYTES = 32 << 20
 CHANGE = "array<struct<pass:int,place:int,original:string,corrected:string,method:string>>"
 
 
-def tokens(text: Column) -> Column:
-    """White space and words of a text in turn; joined they are the text again."""
-    return F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+def words(text: Column) -> Column:
+    """The words of a text with what punctuation they have, and an empty one at the end where white space trails."""
+    return F.split(F.ltrim(text, F.lit(" \t\n\r\f\v")), f"[{_BLANK}]+")
 
 
 def core(token: Column) -> Column:
-    return F.regexp_replace(token, _ENDS, "")
+    return F.btrim(token, F.lit(PUNCTUATION))
 
 
 def words_of(rows: DataFrame) -> DataFrame:
     """row, place and core of every word of ``rows`` (row, text)."""
-    words = F.filter(tokens(F.col("text")), lambda t: ~t.rlike(f"^[{_BLANK}]"))
-    return rows.select("row", F.posexplode(words).alias("place", "token")).select("row", "place", core(F.col("token")).alias("core")).where("core <> ''")
+    found = rows.select("row", F.posexplode_outer(words(F.col("text"))).alias("place", "token"))  # an inner one would split texts once more, to see which have words
+    return found.select("row", "place", core(F.col("token")).alias("core")).where("core <> ''")
 
 
 def cased(model: Column, word: Column) -> Column:
@@ -104,13 +103,26 @@ def confusable_fixes(words: DataFrame, confusables: DataFrame, most_bytes: int =
     return whole.unionByName(parts.join(whole.select("core"), "core", "left_anti")).where("core <> meant")
 
 
-def phrase_anchors(words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """low (the rarest word, lower-cased), back (its place), words, n and meant of the phrases (seen, meant) of which all words occur in ``words`` (core, n)."""
-    counts = words.groupBy(F.lower("core").alias("low")).agg(F.sum("n").alias("count"))
+def split_phrases(phrases: DataFrame) -> DataFrame:
+    """key, n, words and meant of the different phrases (seen, meant), case ignored; of several for the same words the least meant."""
     split = _first_meant(phrases.select(F.lower(F.trim("seen")).alias("seen"), "meant")).select("meant", F.split("seen", f"[{_BLANK}]+").alias("words"))
-    each = split.select("meant", "words", F.posexplode("words").alias("back", "low")).join(counts, "low")
-    rarest = each.groupBy("words", "meant").agg(F.min(F.struct("count", "back", "low")).alias("a"), F.count("*").alias("met"))
-    return rarest.where(F.col("met") == F.size("words")).select("a.low", "a.back", "words", F.size("words").alias("n"), "meant")
+    once = split.where(~F.array_contains("words", "")).groupBy("words").agg(F.min("meant").alias("meant"))
+    return once.select(F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("key"), F.size("words").alias("n"), "words", "meant")
+
+
+def phrase_hits(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """row, place, n, words and meant of the phrases of :func:`split_phrases` in ``rows`` (row, text), by a hash of all their words.
+
+    Each run of words as long as any phrase asks once, so the hits don't grow with the phrases that share a word. A hit
+    whose hash alone agrees is sorted out where its text lies.
+    """
+    lengths = sorted(r[0] for r in phrases.select("n").distinct().collect())  # numbers of words of phrases
+    if not lengths:
+        return rows.select("row", F.lit(0).alias("place")).crossJoin(phrases.drop("key")).limit(0)
+    hashed = rows.select("row", F.transform(words(F.col("text")), lambda t: F.xxhash64(F.lower(core(t)))).alias("h"))
+    of = lambda n: F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(i.alias("place"), F.lit(n).alias("n"), F.xxhash64(F.slice("h", i + 1, n)).alias("key"))))
+    runs = hashed.select("row", F.inline(F.flatten(F.array_compact(F.array(*[of(n) for n in lengths])))))
+    return runs.join(phrases, ["n", "key"]).select("row", "place", "n", "words", "meant")
 
 
 def spellings(low: Column, swaps: Sequence[tuple[str, str]]) -> Column:
@@ -213,10 +225,7 @@ def correct(texts: DataFrame, text: str, confusables: DataFrame, phrases: DataFr
     fixes = _carried(confusable_fixes(vocabulary, confusables).withColumn("method", F.lit("confusable")))
     rows = cut_lineage(_apply(rows, single(words_of(rows).join(fixes, "core")), 1))
 
-    vocabulary = cut_lineage(words_of(rows).groupBy("core").agg(F.count("*").alias("n")))
-    anchors = _carried(phrase_anchors(vocabulary, phrases))
-    places = words_of(rows).withColumn("low", F.lower("core"))
-    met = places.join(anchors, "low").select("row", (F.col("place") - F.col("back")).alias("place"), "n", "words", "meant", F.lit("phrase").alias("method")).where("place >= 0")
+    met = phrase_hits(rows, _carried(split_phrases(phrases))).withColumn("method", F.lit("phrase"))
     rows = cut_lineage(_apply(rows, met, 2))
 
     vocabulary = cut_lineage(words_of(rows).groupBy("core").agg(F.count("*").alias("n")))

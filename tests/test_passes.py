@@ -147,6 +147,24 @@ def test_many_automata_find_the_same(spark, tables):
     assert few == sorted(map(str, passes.confusable_fixes(words, tables[0], most_bytes=4).collect())) and len(few) == 3
 
 
+def test_phrases_that_share_words_meet_only_where_they_are(spark, tables, monkeypatch):
+    words = [f"w{i}x" for i in range(10)]
+    phrases = [(f"{a}  {b.upper()}", f"{a}_{b}") for i, a in enumerate(words) for j, b in enumerate(words) if j != (i + 1) % 10 or i == 3]
+    phrases += [("w5x w6x w7x", "longer"), ("w5x w6x  w7x", "long"), ("w8x w9x w0x w2x", "never"), ("(( w1x", "never")]
+    texts = [" ".join(f"({words[(k + i) % 10]}," for i in range(40)) for k in range(10)] + ["w5x w6x", "\n w3x\tW4X \n", "(( w1x"]
+    met, apply = {}, passes._apply
+
+    def counted(rows, hits, number):
+        met[number] = hits.count()
+        return apply(rows, hits, number)
+
+    monkeypatch.setattr(passes, "_apply", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = passes.correct(rows, "t", tables[0], spark.createDataFrame(phrases, "seen string, meant string"), tables[2].limit(0), tables[3].limit(0)).collect()
+    compare(got, texts, (CONFUSABLES, phrases, [], []))
+    assert met[2] == sum(c["pass"] == 2 for r in got for c in r.corrections) > 70
+
+
 def test_the_tables_texts_equal_a_plain_version(spark, tiny):
     rows = lexicons.misread_texts(spark, tiny)
     tables = [[tuple(r) for r in t.collect()] for t in lexicons.lexicon_tables(spark, tiny)]
